@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandry.operators import forecast as FC
+from demandry.session import materialize
 
 MIN_OBS = 24
 _IN_UNITS = [c for c in FC.FEATURES if c.startswith(("lag_", "roll_mean", "roll_std"))]
@@ -109,23 +110,34 @@ def next_month_forest(series: DataFrame, *, trees: int = 400, depth: int = 12, s
     )
 
 
-def multi_period_forest(series: DataFrame, periods: int, **params: object) -> DataFrame:
-    """Forecasts for the next 1..``periods`` months: each step's forecast joins the history of the next."""
-    trees, depth, seed = params.get("trees", 400), params.get("depth", 12), params.get("seed", 42)
+def multi_period_forest(
+    series: DataFrame, periods: int, *, trees: int = 400, depth: int = 12, seed: int = 42
+) -> DataFrame:
+    """Forecasts for the next 1..``periods`` months: each step's forecast joins the history of the next.
+
+    Every step is written to the shared folder, so the plan of a step does not contain those before it.
+    """
+    if not 1 <= periods <= 24:
+        raise ValueError("periods must be between 1 and 24")
     model = _fit(_prepared(FC.features(series)).select("features", "label"), trees, depth, seed)
-    size = series.groupBy("product_id").agg(F.count("*").alias("__n"))
-    known, out = series.select("product_id", "month", "demand"), None
-    # Only a year of history feeds the features.
+    whole = Window.partitionBy("product_id")
+    sized = series.select("product_id", "month", "demand", F.count("*").over(whole).alias("size"), F.max("month").over(whole).alias("last"))
+    # A year and a month of history feed the features of the next month.
+    known = materialize(sized.where(F.col("month") > F.add_months("last", -13)).drop("last"), "history")
+    out = None
     for step in range(1, periods + 1):
-        recent = known.withColumn("__last", F.max("month").over(Window.partitionBy("product_id"))).where(
-            F.col("month") > F.add_months("__last", -13)
-        ).drop("__last")
-        ask = _prepared(FC.next_month_features(recent, "advanced"))
-        seasonal = FC.next_month(recent).where(F.col("model") == FC.SEASONAL).select("product_id", F.col("forecast").alias("__fallback"))
-        one = _predicted(model, ask).join(seasonal, "product_id").join(size, "product_id").select(
-            "product_id", "month", _usable(F.col("raw"), F.col("__fallback"), F.col("__n") >= MIN_OBS).alias("demand")
+        history = known.select("product_id", "month", "demand")
+        ask = _prepared(FC.next_month_features(history, "advanced"))
+        facts = known.groupBy("product_id").agg(
+            F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("month", "demand")), asc=False).alias("h")
+        )
+        # Histories are as long as the season plus one month.
+        fallback = F.coalesce(F.get("h", F.lit(FC.SEASON - 1))["demand"], F.col("h")[0]["demand"])
+        one = _predicted(model, ask).join(facts, "product_id").select(
+            "product_id", "month", _usable(F.col("raw"), fallback, F.col("size") >= MIN_OBS).alias("demand"), "size"
         )
-        known = recent.unionByName(one)
-        labelled = one.select("product_id", "month", F.lit(step).alias("step"), F.lit(FC.FOREST).alias("model"), F.col("demand").alias("forecast"))
+        new = materialize(one, "step")
+        known = known.unionByName(new)
+        labelled = new.select("product_id", "month", F.lit(step).alias("step"), F.lit(FC.FOREST).alias("model"), F.col("demand").alias("forecast"))
         out = labelled if out is None else out.unionByName(labelled)
     return out

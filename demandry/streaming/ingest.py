@@ -36,6 +36,9 @@ def apply_batch(raw: DataFrame, batch_id: int, store: Store) -> None:
     """
     spark = raw.sparkSession
     seen = Observation()
+    if "row_seq" not in raw.columns:
+        # Rows of one file split stay in one task and in order, so this numbers them within the split.
+        raw = raw.withColumn("row_seq", F.monotonically_increasing_id())
     cleaned = C.clean(raw.observe(seen, F.count("*").alias("n_raw"))).withColumns(
         {"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)}
     )
@@ -71,7 +74,6 @@ def ingest(spark: SparkSession, inbox: str, store: Store, layout: CsvLayout = Cs
             "*",
             F.col("_metadata.file_name").alias("source_file"),
             F.col("_metadata.file_block_start").alias("row_block"),
-            F.monotonically_increasing_id().alias("row_seq"),
         )
     )
     return (

@@ -163,22 +163,22 @@ def _constancy(keys: str, having: str = "") -> str:
       FROM ledger WHERE kind = 'production' GROUP BY {keys} {having}"""
 
 
-@query("cost_constancy", _constancy("product_id"), each("min_cost max_cost", 6))
+@query("cost_constancy", _constancy("product_id"))
 def cost_constancy(spark, sf):
     return Q.cost_constancy(ledger(spark, sf, "product_id", "kind", "unit_cost"), ["product_id"])
 
 
-@query("cost_varying_by_day", _constancy("date, product_id", "HAVING count(DISTINCT unit_cost) > 1"), each("min_cost max_cost", 6))
+@query("cost_varying_by_day", _constancy("date, product_id", "HAVING count(DISTINCT unit_cost) > 1"))
 def cost_varying_by_day(spark, sf):
     return Q.varying_costs(ledger(spark, sf, "date", "product_id", "kind", "unit_cost"), ["date", "product_id"])
 
 
-@query("cost_varying_by_month", _constancy("month, product_id", "HAVING count(DISTINCT unit_cost) > 1"), each("min_cost max_cost", 6))
+@query("cost_varying_by_month", _constancy("month, product_id", "HAVING count(DISTINCT unit_cost) > 1"))
 def cost_varying_by_month(spark, sf):
     return Q.varying_costs(ledger(spark, sf, "month", "product_id", "kind", "unit_cost"), ["month", "product_id"])
 
 
-@query("cost_by_warehouse", _constancy("product_id, warehouse"), each("min_cost max_cost", 6))
+@query("cost_by_warehouse", _constancy("product_id, warehouse"))
 def cost_by_warehouse(spark, sf):
     return Q.cost_constancy(ledger(spark, sf, "product_id", "warehouse", "kind", "unit_cost"), ["product_id", "warehouse"])
 
@@ -188,7 +188,6 @@ def cost_by_warehouse(spark, sf):
     T.chain(T.LEDGER)
     + """ SELECT product_id, unit_cost, n_rows, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY unit_cost) AS place FROM (
       SELECT product_id, unit_cost, count(*) AS n_rows FROM ledger WHERE kind = 'production' GROUP BY product_id, unit_cost)) WHERE place <= 3""",
-    each("unit_cost", 6),
 )
 def first_costs(spark, sf):
     return Q.first_costs(ledger(spark, sf, "product_id", "kind", "unit_cost"))

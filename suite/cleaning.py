@@ -41,7 +41,6 @@ def typed_values(spark, sf):
 @query(
     "clean_movements",
     T.chain(T.LEDGER) + _DIRTY + " SELECT date, product_id, product_name, kind, qty, stock_before, stock_after, unit_cost FROM marked WHERE reason IS NULL",
-    each("unit_cost", 6),
 )
 def clean_movements(spark, sf):
     return K.clean(tpch.raw_ledger(spark, sf)).select("date", "product_id", "product_name", "kind", "qty", "stock_before", "stock_after", "unit_cost")

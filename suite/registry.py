@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None, digits: dict[str, int] | None = Non
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            swaps = ", ".join(f"round({c}, {d}) + 0.0 AS {c}" for c, d in digits.items())
+            swaps = ", ".join(f'round("{c}", {d}) + 0.0 AS "{c}"' for c, d in digits.items())
             ORACLE[name] = f"SELECT * REPLACE ({swaps}) FROM ({sql}) AS q" if digits else sql
         return fn
 

@@ -1 +1,242 @@
+"""Readers and writers. Files are written from the given tables into the shared folder, then read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from demandry import schema as S
+from demandry.operators import clean as K
+from demandry.operators import sqlapi as A
+from demandry.plans import load
+from demandry.session import fresh_path
+from demandry.sources import files, snapshot, tpch
+from demandry.sources.tpch import ledger
+from suite import common as C
+from suite import twin as T
+from suite.registry import each, query
+
+_TEXT = ["Fecha", "Producto_id", "Producto_nombre", "Tipo_movimiento", "Cantidad", "Stock_anterior", "Stock_posterior", "Canal_venta", "Punto_venta"]
+_RAW = """, raw AS (SELECT CASE WHEN ok % 211 = 0 THEN 'abc' WHEN ok % 97 = 0 THEN strftime(date, '%d/%m/%Y') ELSE strftime(date, '%Y-%m-%d') END AS "Fecha",
+  CASE WHEN ok % 199 = 0 THEN '  ' WHEN ok % 53 = 0 THEN ' ' || product_id || ' ' ELSE product_id END AS "Producto_id",
+  CASE WHEN ok % 53 = 0 THEN ' ' || product_name || ' ' ELSE product_name END AS "Producto_nombre",
+  CASE WHEN ok % 53 = 0 THEN ' ' ELSE '' END || CASE kind WHEN 'sale' THEN 'Venta' ELSE 'Producción' END || CASE WHEN ok % 53 = 0 THEN ' ' ELSE '' END AS "Tipo_movimiento",
+  CASE WHEN ok % 307 = 0 THEN '1,' || q || '.5' WHEN ok % 89 = 0 THEN q || ',0' WHEN ok % 83 = 0 THEN ' ' || q || ' ' ELSE q END AS "Cantidad",
+  CAST(CAST(stock_before AS BIGINT) AS VARCHAR) AS "Stock_anterior", CAST(CAST(CASE WHEN ok % 101 = 0 THEN stock_after * 2 + 7 ELSE stock_after END AS BIGINT) AS VARCHAR) AS "Stock_posterior",
+  channel AS "Canal_venta", pos AS "Punto_venta" FROM (SELECT *, CAST(CAST(qty AS BIGINT) AS VARCHAR) AS q FROM ledger))"""
+
+
+@query("csv_ledger_scan", T.chain(T.LEDGER) + _RAW + " SELECT * FROM raw")
+def csv_ledger_scan(spark, sf):
+    path = fresh_path(spark, "csv")
+    files.write_csv(tpch.raw_ledger(spark, sf), path)
+    return files.require(files.read_text_csv(spark, path), S.REQUIRED).select(*_TEXT)
+
+
+@query(
+    "csv_clean_to_stock",
+    T.chain(T.LEDGER)
+    + " SELECT product_id, kind, count(*) AS n, sum(qty) AS qty, min(date) AS first_date, max(date) AS last_date FROM ledger WHERE ok % 211 <> 0 AND ok % 307 <> 0 AND ok % 199 <> 0 AND ok % 101 <> 0 GROUP BY product_id, kind",
+)
+def csv_clean_to_stock(spark, sf):
+    path = fresh_path(spark, "csv")
+    files.write_csv(tpch.raw_ledger(spark, sf), path)
+    rows = load.run(spark, [path], keep=False).movements
+    return rows.groupBy("product_id", "kind").agg(
+        F.count("*").alias("n"), F.sum("qty").alias("qty"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+@query(
+    "csv_many_files",
+    T.chain(T.LEDGER) + " SELECT year, count(*) AS n, count(CASE WHEN year < 1998 THEN channel END) AS n_channel, sum(qty) FILTER (ok % 307 <> 0) AS qty FROM ledger GROUP BY year",
+)
+def csv_many_files(spark, sf):
+    root = fresh_path(spark, "years")
+    raw = tpch.raw_ledger(spark, sf)
+    first, later = raw.where(F.col("Año") < "1998"), raw.where(F.col("Año") >= "1998").drop("Canal_venta")
+    files.write_csv(first, f"{root}/a")
+    files.write_csv(later, f"{root}/b")
+    rows = K.typed(files.read_ledger(spark, [f"{root}/a", f"{root}/b"]))
+    return rows.where(F.col("source_file").isNotNull()).groupBy("year").agg(
+        F.count("*").alias("n"), F.count("channel").alias("n_channel"), F.sum("qty").alias("qty")
+    )
+
+
+def _legacy(spark, sf):
+    rows = ledger(spark, sf, "product_id", "product_name", "date", "doc", "doc_no", "warehouse", "in_units", "out_units", "discount_pct", "qty")
+    return rows.select(
+        F.col("product_id").alias("Codigo"), F.col("product_name").alias("Descripcion"), F.col("date").alias("Fecha"), F.col("doc").alias("Documento"),
+        F.col("doc_no").alias("Numero"), F.col("warehouse").alias("Bodega"), F.col("in_units").alias("Entrada_unid"),
+        (F.col("out_units") + F.lit(0.25)).alias("Salida_unid"), (F.col("qty") / 4).alias("Saldo_unid"),
+    )
+
+
+@query(
+    "legacy_csv",
+    T.chain(T.LEDGER)
+    + """ SELECT product_id AS "Codigo", doc AS "Documento", warehouse AS "Bodega", count(*) AS n, sum(in_units) AS units_in, sum(out_units + 0.25::DOUBLE) AS units_out, sum(qty / 4) AS balance
+    FROM ledger GROUP BY product_id, doc, warehouse""",
+)
+def legacy_csv(spark, sf):
+    path = fresh_path(spark, "legacy")
+    files.write_csv(_legacy(spark, sf), path, sep=";", decimal=",")
+    return files.read_legacy(spark, path).groupBy("Codigo", "Documento", "Bodega").agg(
+        F.count("*").alias("n"), F.sum("Entrada_unid").alias("units_in"), F.sum("Salida_unid").alias("units_out"), F.sum("Saldo_unid").alias("balance")
+    )
+
+
+@query(
+    "tenant_csv_layout",
+    T.chain(T.LEDGER) + " SELECT 'ñ-' || product_id AS product, client AS company, count(*) AS n, sum(qty) AS quantity FROM ledger WHERE kind = 'sale' GROUP BY product_id, client",
+)
+def tenant_csv_layout(spark, sf):
+    path = fresh_path(spark, "tenant")
+    rows = ledger(spark, sf, "product_id", "date", "qty", "client", "kind").where(F.col("kind") == S.SALE)
+    own = rows.select(F.concat(F.lit("ñ-"), F.col("product_id")).alias("SKU"), F.col("date").alias("Dia"), F.col("qty").alias("Unidades"), F.col("client").alias("Empresa"))
+    files.write_csv(own, path, sep="|", encoding="ISO-8859-1")
+    layout = files.CsvLayout("|", "ISO-8859-1", {"SKU": "product", "Dia": "date", "Unidades": "quantity", "Empresa": "company"})
+    got = files.read_tenant_csv(spark, path, layout)
+    return got.groupBy("product", "company").agg(F.count("*").alias("n"), F.sum(F.col("quantity").try_cast("double")).alias("quantity"))
+
+
+@query(
+    "year_tables",
+    T.chain(T.LEDGER) + " SELECT year, count(*) AS n, sum(qty) AS qty, CAST(2 AS INTEGER) AS n_absent FROM ledger WHERE org_id = 'org2' AND year BETWEEN 1996 AND 1998 GROUP BY year",
+)
+def year_tables(spark, sf):
+    root = fresh_path(spark, "bucket")
+    rows = ledger(spark, sf, "org_id", "year", "product_id", "qty")
+    for y in (1996, 1997, 1998):
+        files.write_csv(rows.where((F.col("org_id") == "org2") & (F.col("year") == y)), f"{root}/org2/raw/data_{y}.csv")
+    found, absent = files.load_years(spark, root, "org2", list(range(1994, 1999)))
+    union = " UNION ALL ".join(f"SELECT year, qty FROM data_{y}" for y in found)
+    return A.query(spark, f"SELECT year, count(*) AS n, sum(qty) AS qty, {len(absent)} AS n_absent FROM ({union}) GROUP BY year")
+
+
+@query(
+    "parquet_by_tenant",
+    T.chain(T.LEDGER) + " SELECT year, product_id, sum(qty) AS qty FROM ledger WHERE org_id = 'org3' AND year = 1999 GROUP BY year, product_id",
+)
+def parquet_by_tenant(spark, sf):
+    path = fresh_path(spark, "ledger")
+    files.write_parquet(ledger(spark, sf, "org_id", "year", "product_id", "kind", "qty"), path, ["org_id", "year"])
+    mine = files.read_parquet(spark, path, "org3")
+    return mine.where(F.col("year") == 1999).groupBy("year", "product_id").agg(F.sum("qty").alias("qty"))
+
+
+@query("parquet_export", T.chain(T.LEDGER, T.DEMAND) + " SELECT * FROM demand")
+def parquet_export(spark, sf):
+    path = fresh_path(spark, "processed")
+    files.write_parquet(C.demand(spark, sf), path)
+    return files.read_parquet(spark, path)
+
+
+@query("csv_export", T.chain(T.LEDGER, T.DEMAND) + " SELECT * FROM demand")
+def csv_export(spark, sf):
+    path = fresh_path(spark, "export")
+    files.write_csv(C.demand(spark, sf), path)
+    got = files.read_text_csv(spark, path)
+    return got.select("product_id", F.col("month").cast("date").alias("month"), F.col("demand").cast("double").alias("demand"))
+
+
+@query("split_by_year", T.chain(T.LEDGER) + " SELECT year, count(*) AS n, sum(qty) AS qty, min(date) AS first_date FROM ledger GROUP BY year")
+def split_by_year(spark, sf):
+    path = fresh_path(spark, "by-year")
+    files.split_by_year(ledger(spark, sf, "date", "product_id", "qty"), path)
+    return files.read_parquet(spark, path).groupBy("year").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.min("date").alias("first_date"))
+
+
+@query(
+    "split_in_parts",
+    T.chain(T.LEDGER)
+    + """, r AS (SELECT *, row_number() OVER (ORDER BY date, ok, ln, pk, sk) - 1 AS i, count(*) OVER () AS t FROM ledger)
+    SELECT CAST(CASE WHEN i < t // 3 THEN 0 WHEN i < 2 * t // 3 THEN 1 ELSE 2 END AS INTEGER) AS part, count(*) AS n, sum(qty) AS qty, min(date) AS first_date, max(date) AS last_date FROM r GROUP BY 1""",
+)
+def split_in_parts(spark, sf):
+    path = fresh_path(spark, "parts")
+    files.split_in_parts(ledger(spark, sf, "date", "qty", "row_seq"), path, 3, [F.asc("date"), F.asc("row_seq")])
+    return files.read_parquet(spark, path).groupBy("part").agg(
+        F.count("*").alias("n"), F.sum("qty").alias("qty"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+@query(
+    "snapshot_per_organization",
+    T.chain(T.LEDGER) + " SELECT org_id, product_id, month, sum(qty) * CASE WHEN org_id = 'org1' THEN 2 ELSE 1 END AS demand FROM ledger WHERE kind = 'sale' GROUP BY org_id, product_id, month",
+)
+def snapshot_per_organization(spark, sf):
+    root = fresh_path(spark, "snapshot")
+    rows = ledger(spark, sf, "org_id", "product_id", "month", "kind", "qty").where(F.col("kind") == S.SALE)
+    demand = rows.groupBy("org_id", "product_id", "month").agg(F.sum("qty").alias("demand"))
+    snapshot.save_snapshot({"demand_monthly": demand}, root, demand, 6)
+    # A second run for one organization replaces only that one.
+    again = demand.where(F.col("org_id") == "org1").withColumn("demand", F.col("demand") * 2)
+    snapshot.save_snapshot({"demand_monthly": again}, root, again, 7)
+    return snapshot.load_snapshot(spark, root, "demand_monthly").select("org_id", "product_id", "month", "demand")
+
+
+@query("snapshot_freshness", T.chain(T.LEDGER) + " SELECT org_id, CAST(max(year) AS INTEGER) AS files_processed, max(date) AS updated_at FROM ledger GROUP BY org_id")
+def snapshot_freshness(spark, sf):
+    # One load per organization and year, dated by its last movement.
+    rows = ledger(spark, sf, "org_id", "year", "date")
+    loads = rows.groupBy("org_id", "year").agg(F.max("date").alias("updated_at")).withColumnRenamed("year", "files_processed")
+    return snapshot.freshness(loads)
+
+
+_FIELDS = [("product_id", "string"), ("date", "date"), ("kind", "string"), ("qty", "double"), ("doc_no", "string")]
+
+
+@query(
+    "table_description",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows FROM lineitem" for c, t in _FIELDS),
+)
+def table_description(spark, sf):
+    A.register({"movements_described": ledger(spark, sf, *[c for c, _ in _FIELDS])})
+    assert "movements_described" in A.list_tables(spark)
+    return A.describe_table(spark.table("movements_described")).select("column", "type", "n_rows")
+
+
+@query("file_inventory")
+def file_inventory(spark, sf):
+    root = fresh_path(spark, "store")
+    rows = ledger(spark, sf, "org_id", "year", "product_id", "qty")
+    for org in ("org0", "org1"):
+        mine = rows.where(F.col("org_id") == org)
+        files.write_csv(mine, f"{root}/{org}/raw")
+        files.write_parquet(mine, f"{root}/{org}/processed")
+    return files.inventory_totals(files.inventory(spark, root))
+
+
+@query("result_validation")
+def result_validation(spark, sf):
+    demand = C.demand(spark, sf)
+    checks = {
+        "complete": (demand, ["product_id", "month", "demand"]),
+        "without_column": (demand.drop("demand"), ["product_id", "month", "demand"]),
+        "without_rows": (demand.where("demand < 0"), ["product_id", "month", "demand"]),
+    }
+    out = None
+    for name, (df, cols) in checks.items():
+        ok = snapshot.is_valid_result(df, cols)
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("result"), F.lit(ok).alias("valid"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "erp_report",
+    T.chain(T.LEDGER) + " SELECT product_id AS code, product_name AS description, count(*) AS n, sum(in_units) AS units_in, sum(out_units) AS units_out FROM ledger GROUP BY product_id, product_name",
+)
+def erp_report(spark, sf):
+    path = fresh_path(spark, "erp")
+    rows = ledger(spark, sf, "product_id", "product_name", "date", "in_units", "out_units")
+    line = F.concat_ws(";", F.concat(F.lit("'"), F.col("product_id"), F.lit("'")), "product_name", F.col("date").cast("string"), F.col("in_units").cast("string"), F.col("out_units").cast("string"))
+    body = rows.select(line.alias("value"))
+    # A period line and a header with repeated names above the rows of each year's report.
+    years = ledger(spark, sf, "year").distinct()
+    head = years.select(F.explode(F.array(F.concat(F.lit("Período: "), F.col("year").cast("string"), F.lit(";;;;")), F.lit("Código;Descripción;Fecha;Unidades;Unidades"))).alias("value"))
+    head.unionByName(body).write.option("encoding", "ISO-8859-1").text(path)
+    got = files.read_erp_report(spark, path, ["code", "description", "date", "units_in", "units_out"], "UTF-8")
+    return got.groupBy("code", "description").agg(
+        F.count("*").alias("n"), F.sum(F.col("units_in").try_cast("double")).alias("units_in"), F.sum(F.col("units_out").try_cast("double")).alias("units_out")
+    )

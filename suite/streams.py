@@ -1 +1,61 @@
+"""Incremental and live processing."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from demandry.operators import build as B
+from demandry.session import fresh_path
+from demandry.sources import files, tpch
+from demandry.streaming import ingest, live
+from suite import twin as T
+from suite.registry import each, query
+
+_KEPT = "ok % 211 <> 0 AND ok % 307 <> 0 AND ok % 199 <> 0 AND ok % 101 <> 0"
+
+
+def _two_batches(spark, sf):
+    """Two arrivals whose months overlap, as two runs of the ingest."""
+    root = fresh_path(spark, "ingest")
+    raw = tpch.raw_ledger(spark, sf)
+    early = F.col("Año") < "1999"
+    inbox, store = f"{root}/inbox", ingest.Store(f"{root}/store")
+    half = F.col("Cantidad").contains("1")
+    for part in (raw.where(early | half), raw.where(~early & ~half)):
+        part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox)
+        ingest.ingest(spark, inbox, store).awaitTermination()
+    return store
+
+
+@query("ingest_demand", T.chain(T.LEDGER) + f" SELECT product_id, month, abs(sum(qty)) AS demand FROM ledger WHERE kind = 'sale' AND {_KEPT} GROUP BY product_id, month")
+def ingest_demand(spark, sf):
+    return spark.read.parquet(_two_batches(spark, sf).path("demand_monthly")).select("product_id", "month", "demand")
+
+
+@query("ingest_audit")
+def ingest_audit(spark, sf):
+    return spark.read.parquet(_two_batches(spark, sf).path("audit")).drop("processed_at")
+
+
+@query(
+    "live_daily_totals",
+    "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2",
+    each("total", 4),
+)
+def live_daily_totals(spark, sf):
+    root = fresh_path(spark, "live")
+    schema = tpch.table(spark, sf, "events").schema
+    events = live.read_events(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    daily = live.daily_totals(events, "event_type", "value")
+    live.start_daily(daily, f"{root}/daily", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/daily")
+
+
+@query(
+    "live_monthly_totals",
+    """SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, sum(value) AS total FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2""",
+    each("total", 4),
+)
+def live_monthly_totals(spark, sf):
+    return live.monthly_from_daily(live_daily_totals(spark, sf), "event_type")
