@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from demandry import schema as S
 
 _BLANKS = " \t\n\r\x0b\x0c"
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def col(c: str | Column) -> Column:
@@ -22,15 +21,20 @@ def strip(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """Text to double: blanks dropped, comma as decimal point, anything else null."""
-    s = F.regexp_replace(F.regexp_replace(col(c).cast("string"), " ", ""), ",", ".")
-    return F.when(s.rlike(_NUMBER), s.try_cast("double"))
+    """Text to double: blanks dropped, comma as decimal point, anything else null.
+
+    One character mapping and one cast, because this runs on every numeric field of every row read. The letters
+    are mapped to a mark no number has: the cast alone would take number suffixes, hexadecimal floats and
+    the words for infinity and not-a-number.
+    """
+    return F.translate(col(c).cast("string"), ",dDfFxXnNiI ", ".##########").try_cast("double")
 
 
 def to_day(c: str | Column) -> Column:
     """Text to date, ISO first, then day/month/year."""
     s = strip(c)
-    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "dd/MM/yyyy"))
+    slashed = F.substring(s, 3, 1) == "/"
+    return F.when(slashed, F.try_to_date(s, "dd/MM/yyyy")).otherwise(F.try_to_date(s, "yyyy-MM-dd"))
 
 
 def month_of(c: str | Column) -> Column:
@@ -49,20 +53,20 @@ def month_name(c: str | Column) -> Column:
 
 
 def expected_balance() -> Column:
-    return F.when(F.col("kind") == S.SALE, F.col("stock_before") - F.col("qty")).when(
-        F.col("kind") == S.PRODUCTION, F.col("stock_before") + F.col("qty")
-    )
+    """Balance that follows from the movement; null for other kinds."""
+    sign = F.when(F.col("kind") == S.SALE, -1.0).when(F.col("kind") == S.PRODUCTION, 1.0)
+    return F.col("stock_before") + sign * F.col("qty")
 
 
 def balance_broken(tolerance: float = S.STOCK_TOLERANCE) -> Column:
     """True where the stated balance is off by more than ``tolerance``; false for nulls and other kinds.
 
-    A stated balance of -1 makes the relative error infinite unless the balance is exactly right.
+    A stated balance of -1 makes the relative error infinite unless the balance is exactly right, in
+    which case it is undefined and the row stays.
     """
     gap = F.abs(expected_balance() - F.col("stock_after"))
-    base = F.abs(F.col("stock_after") + 1)
-    bad = F.when(base == 0, gap > 0).otherwise(F.try_divide(gap, base) > tolerance)
-    return F.coalesce(bad, F.lit(False))
+    off = F.try_divide(gap, F.abs(F.col("stock_after") + 1)) > tolerance
+    return F.coalesce(off, F.coalesce(gap > 0, F.lit(False)) & (F.col("stock_after") == -1), F.lit(False))
 
 
 def ratio(a: Column, b: Column, default: float = 0.0) -> Column:

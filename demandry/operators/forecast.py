@@ -126,17 +126,28 @@ def winner_predictions(predictions: DataFrame, best: DataFrame) -> DataFrame:
     return predictions.join(chosen, ["product_id", "model"])
 
 
+def _set_errors(scores: DataFrame, over: Window | None) -> dict[str, Column]:
+    best = lambda drop: F.min(F.when(F.col("model").isin(NAIVE, SEASONAL, drop), F.round("mae", 9)))
+    cols = {"mae_set3": best(MA3), "mae_set6": best(MA6)}
+    return {k: c.over(over) for k, c in cols.items()} if over is not None else cols
+
+
+def _window_choice() -> Column:
+    return F.when(F.col("mae_set3") < F.col("mae_set6"), 3).otherwise(6)
+
+
 def ma_window(scores: DataFrame) -> DataFrame:
     """3 or 6 per product: the set whose best baseline has the lower MAE; 6 on a tie."""
-    best = lambda drop: F.min(F.when(F.col("model").isin(NAIVE, SEASONAL, drop), F.round("mae", 9)))
-    sets = scores.where(F.col("model").isin(*BASELINES)).groupBy("product_id").agg(best(MA3).alias("mae_set3"), best(MA6).alias("mae_set6"))
-    return sets.withColumn("ma_window", F.when(F.col("mae_set3") < F.col("mae_set6"), 3).otherwise(6))
+    sets = _set_errors(scores, None)
+    out = scores.where(F.col("model").isin(*BASELINES)).groupBy("product_id").agg(*[c.alias(k) for k, c in sets.items()])
+    return out.withColumn("ma_window", _window_choice())
 
 
 def with_chosen_window(scores: DataFrame) -> DataFrame:
-    """Scores without the moving average that lost the window choice."""
-    chosen = ma_window(scores).select("product_id", F.concat(F.lit("MA"), F.col("ma_window").cast("string")).alias("__ma"))
-    return scores.join(chosen, "product_id").where(~F.col("model").isin(MA3, MA6) | (F.col("model") == F.col("__ma"))).drop("__ma")
+    """Scores without the moving average that lost the window choice. A handful of rows per product, one pass."""
+    out = scores.withColumns(_set_errors(scores, Window.partitionBy("product_id")))
+    loser = F.when(_window_choice() == 3, MA6).otherwise(MA3)
+    return out.where(F.col("model") != loser).drop("mae_set3", "mae_set6")
 
 
 def next_month(series: DataFrame) -> DataFrame:
@@ -156,14 +167,18 @@ def next_month(series: DataFrame) -> DataFrame:
     return hist.select("product_id", F.add_months("last_month", 1).alias("month"), F.inline(rows))
 
 
-def forecast_with_winner(forecasts: DataFrame, best: DataFrame) -> DataFrame:
-    """Next-month forecast of the winning model; a product whose winner is unknown gets the naive one."""
-    per_product = forecasts.groupBy("product_id", "month").agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "forecast"))).alias("by_model")
+def forecast_with_winner(forecasts: DataFrame, best: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Next-month forecast of the winning model; a product whose winner is unknown gets the naive one.
+
+    ``keep`` names columns of ``best`` to carry along.
+    """
+    per_product = forecasts.groupBy("product_id").agg(
+        F.max("month").alias("month"), F.map_from_entries(F.collect_list(F.struct("model", "forecast"))).alias("by_model")
     )
     pick = F.coalesce(F.try_element_at("by_model", F.col("winner")), F.try_element_at("by_model", F.lit(NAIVE)))
-    return per_product.join(best.select("product_id", "winner"), "product_id").select(
-        "product_id", "month", "winner", F.greatest(pick, F.lit(0.0)).alias("forecast")
+    carried = keep or []
+    return per_product.join(best.select("product_id", "winner", *carried), "product_id").select(
+        "product_id", "month", "winner", F.greatest(pick, F.lit(0.0)).alias("forecast"), *carried
     )
 
 

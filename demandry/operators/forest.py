@@ -74,7 +74,8 @@ def backtest_forest(
         held = held.withColumns({"ask": F.col("features"), "ask_level": F.col("level")})
     else:
         raise ValueError(f"unknown mode {mode}")
-    held = held.persist()
+    # Read by every fit; written once, so that a fit sees the same rows again after a lost executor.
+    held = materialize(held, "training")
     # At most test_months dates.
     last = [r.month for r in held.select("month").distinct().orderBy(F.desc("month")).limit(test_months).collect()][::-1]
     out, model = None, None

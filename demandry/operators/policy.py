@@ -97,13 +97,18 @@ def _winner_forecast(rows: DataFrame, predictions: DataFrame | None) -> DataFram
     )
 
 
-def _start_stock(rows: DataFrame, stock: DataFrame | None, start: Column) -> DataFrame:
-    """Adds s0: stock of the month at position ``start``, 0 if there is none or it is negative."""
+def _start_stock(series: DataFrame, stock: DataFrame | None, start: Column) -> DataFrame:
+    """(product, s0): stock of the month at position ``start``, 0 if there is none or it is negative.
+
+    Histories meet as one row per product, so the replayed rows are not shuffled again.
+    """
+    months = series.groupBy("product_id").agg(F.sort_array(F.collect_list("month")).alias("__months"))
+    at = months.withColumn("n", F.size("__months")).select("product_id", F.get("__months", start).alias("__at"))
     if stock is None:
-        return rows.withColumn("s0", F.lit(0.0))
-    joined = rows.join(stock.select("product_id", "month", "stock"), ["product_id", "month"], "left")
-    at = F.max(F.when(F.col("pos") == start, F.col("stock"))).over(Window.partitionBy("product_id"))
-    return joined.withColumn("s0", F.greatest(F.lit(0.0), F.coalesce(at, F.lit(0.0)))).drop("stock")
+        return at.select("product_id", F.lit(0.0).alias("s0"))
+    by_month = stock.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "stock"))).alias("__stock"))
+    held = F.coalesce(F.try_element_at("__stock", F.col("__at")), F.lit(0.0))
+    return at.join(by_month, "product_id", "left").select("product_id", F.greatest(F.lit(0.0), held).alias("s0"))
 
 
 def replay_policy(
@@ -122,7 +127,7 @@ def replay_policy(
     spread = F.col(sigma) if sigma else F.coalesce(F.avg("__change").over(_by_product().rowsBetween(-5, -1)), F.lit(0.0))
     rows = rows.join(best.select(*keep), "product_id")
     rows = _winner_forecast(rows, predictions).withColumn("sigma", F.greatest(F.lit(0.0), spread))
-    rows = _start_stock(rows, stock, start).where(F.col("pos") > start)
+    rows = rows.join(_start_stock(series, stock, start), "product_id").where(F.col("pos") > start)
     rows = rows.join(policy_levels(classes.select("product_id", "abc")), "product_id")
     rows = rows.withColumn("ss", F.col("z_policy") * F.col("sigma") * math.sqrt(float(lead_time)))
     out = _order_up_to(rows.withColumn("__T", F.col("forecast") + F.col("ss")), "__T", "")
@@ -168,7 +173,7 @@ def replay_comparison(
     sig = winner_sigma(series, best, test_months, predictions)
     rows = FC.baseline_columns(series).withColumn("prev_demand", F.lag("demand", 1).over(_by_product()))
     rows = _winner_forecast(rows.join(sig, "product_id"), predictions)
-    rows = _start_stock(rows, stock, start - 1).where(F.col("pos") >= start)
+    rows = rows.join(_start_stock(series, stock, start - 1), "product_id").where(F.col("pos") >= start)
     rows = rows.withColumn("sys_ss", safety_stock(newsvendor_z(cost_stockout, cost_inventory), F.col("sigma"), lead_time))
     rows = _repeat_last(rows, "base_")
     rows = _order_up_to(rows.withColumn("__T", F.col("forecast") + F.col("sys_ss")), "__T", "sys_")

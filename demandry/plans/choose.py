@@ -64,12 +64,11 @@ def recommend(
         classes = classes.where(F.col("abc") == abc_class)
     if top is not None:
         classes = classes.orderBy(F.desc("total"), "product_id").limit(top)
-    best = select(results).select("product_id", "winner", "mae")
-    ahead = FC.forecast_with_winner(results.ahead, best).drop("winner", "month")
+    ahead = FC.forecast_with_winner(results.ahead, select(results), ["mae"]).drop("month")
     last = stock.groupBy("product_id").agg(F.max_by("stock", "month").alias("stock"))
     sigma = F.greatest(F.lit(0.0), F.coalesce(F.when(~F.isnan("mae"), F.col("mae")), F.lit(0.0)))
     out = (
-        P.policy_levels(classes).join(best, "product_id").join(ahead, "product_id").join(last, "product_id", "left")
+        P.policy_levels(classes).join(ahead, "product_id").join(last, "product_id", "left")
         .withColumns({"stock": F.coalesce("stock", F.lit(0.0)), "mae": sigma})
     )
     out = out.withColumn("ss", P.safety_stock(newsvendor_z(cost_stockout, cost_inventory), F.col("mae"), lead_time))

@@ -58,3 +58,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def grouped_for(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows gathered by partition column before a partitioned write: few files per folder, and a column
+    value with very many rows is still split over several tasks."""
+    return df.hint("rebalance", *columns)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from demandry import schema as S
 from demandry.functions.columns import strip, to_number
 from demandry.functions.ordered import in_order
+from demandry.session import grouped_for
 
 
 @dataclass(frozen=True)
@@ -146,8 +147,10 @@ def read_parquet(spark: SparkSession, path: str, org_id: str | None = None) -> D
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*by) if by else w).parquet(path)
+    if by:
+        grouped_for(df, *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", decimal: str = ".", encoding: str = "UTF-8") -> None:
@@ -163,7 +166,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", decimal: str = ".", enco
 
 def split_by_year(df: DataFrame, path: str, date: str = "date", fmt: str = "parquet") -> None:
     """One folder per calendar year."""
-    w = df.withColumn("year", F.year(date)).write.mode("overwrite").partitionBy("year")
+    w = grouped_for(df.withColumn("year", F.year(date)), "year").write.mode("overwrite").partitionBy("year")
     (w.option("header", True) if fmt == "csv" else w).format(fmt).save(path)
 
 

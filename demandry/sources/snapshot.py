@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandry.session import grouped_for
+
 
 def save_snapshot(tables: dict[str, DataFrame], root: str, org_ids: DataFrame, files_processed: int) -> None:
     """Replace the organizations present in each table; others stay. Adds a manifest row per organization.
@@ -14,7 +16,7 @@ def save_snapshot(tables: dict[str, DataFrame], root: str, org_ids: DataFrame, f
     """
     for name, df in tables.items():
         (
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            grouped_for(df, "org_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("org_id").parquet(f"{root.rstrip('/')}/{name}")
         )
     manifest = org_ids.select("org_id").distinct().select(

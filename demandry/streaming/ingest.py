@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from demandry import schema as S
 from demandry.operators import build as B
 from demandry.operators import clean as C
+from demandry.session import grouped_for
 from demandry.sources.files import CsvLayout
 
 
@@ -25,7 +26,7 @@ class Store:
 
 
 def _overwrite(df: DataFrame, path: str, by: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    grouped_for(df, *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def apply_batch(raw: DataFrame, batch_id: int, store: Store) -> None:
