@@ -20,8 +20,12 @@ def running_balance(
 
     ``coarse`` has few values per key (months); ``fine`` are order-compatible blocks inside it that
     are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by block.
+    Rows without a key, month or block have no place in the order and are left out.
     """
     block = [*keys, coarse, *fine]
+    # Said here once, so that both uses of the block sums are the same plan and share one shuffle.
+    for c in block:
+        df = df.where(F.col(c).isNotNull())
     per_block = df.groupBy(*block).agg(F.sum(value).alias("__sum"))
     upto = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     base = (
@@ -74,20 +78,20 @@ def in_order(df: DataFrame, *, keys: list[str], order: list[Column], values: dic
 
 
 def with_group_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, spread: Column, hot_rows: int = 1_000_000) -> DataFrame:
-    """Left join of group totals back to their rows, with hot groups spread over many tasks.
+    """Left join of group totals back to their rows, whatever the size of a group.
 
-    ``size`` is the row count of a group in ``totals``. Only groups above ``hot_rows`` are broadcast
-    (there are at most rows/hot_rows of them); they get one copy of the totals per ``hot_rows`` rows, and their
-    rows are dealt to the copies by ``spread``.
+    ``size`` is the row count of a group in ``totals``. Totals of groups above ``hot_rows`` rows are broadcast:
+    there are at most rows / hot_rows of them. Their rows are then dealt over many tasks by ``spread`` instead of
+    meeting in one; all other rows meet their totals in a shuffle.
     """
+    values = [c for c in totals.columns if c not in keys and c != size]
     parts = F.floor(F.col(size) / F.lit(hot_rows)).cast("int")
-    hot = totals.where(F.col(size) > hot_rows).select(*keys, parts.alias("__parts"))
-    dealt = totals.withColumn(
-        "__copy", F.explode(F.when(F.col(size) > hot_rows, F.sequence(F.lit(0), parts)).otherwise(F.array(F.lit(0))))
-    )
-    tagged = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("__copy", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts") + 1), F.lit(0)).cast("int"))
-        .drop("__parts")
+    hot = totals.where(F.col(size) > hot_rows).select(*keys, parts.alias("__parts"), *[F.col(c).alias(f"__hot_{c}") for c in values])
+    cold = totals.where(F.col(size) <= hot_rows).select(*keys, F.lit(0).alias("__part"), *values)
+    dealt = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int") + 1)
+    tagged = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", dealt)
+    return (
+        tagged.join(cold, [*keys, "__part"], "left")
+        .withColumns({c: F.coalesce(F.col(c), F.col(f"__hot_{c}")) for c in values})
+        .drop("__part", "__parts", *[f"__hot_{c}" for c in values])
     )
-    return tagged.join(dealt.drop(size), [*keys, "__copy"], "left").drop("__copy")

@@ -102,11 +102,12 @@ def first_costs(df: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def cost_stats(df: DataFrame) -> DataFrame:
+def cost_stats(df: DataFrame, digits: int = 3) -> DataFrame:
+    """Spread of production cost per product, rounded."""
     m, s = F.avg("unit_cost"), F.stddev_samp("unit_cost")
     return df.where(F.col("kind") == S.PRODUCTION).groupBy("product_id").agg(
-        F.round(F.min("unit_cost"), 3).alias("min"), F.round(F.max("unit_cost"), 3).alias("max"), F.round(m, 3).alias("mean"),
-        F.round(s, 3).alias("std"), F.round(s / m * 100, 3).alias("cv_pct"),
+        F.round(F.min("unit_cost"), digits).alias("min"), F.round(F.max("unit_cost"), digits).alias("max"), F.round(m, digits).alias("mean"),
+        F.round(s, digits).alias("std"), F.round(s / m * 100, digits).alias("cv_pct"),
     )
 
 

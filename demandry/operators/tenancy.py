@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandry import schema as S
+from demandry.session import broadcast_if_small
 
 
 def permission_table(spark: SparkSession) -> DataFrame:
@@ -47,7 +48,8 @@ def visible_rows(rows: DataFrame, assignments: DataFrame, user_id: str) -> DataF
     """Rows of the organizations assigned to the user; all rows for a master."""
     mine = assignments.where(F.col("user_id") == user_id)
     master = mine.agg(F.coalesce(F.max(F.col("role") == S.MASTER_ROLE), F.lit(False)).alias("m")).scalar()
-    orgs = mine.select("org_id").distinct().withColumn("__mine", F.lit(True))
+    # The rows of a large organization should not be shuffled to meet a user's few organizations.
+    orgs = broadcast_if_small(mine.select("org_id").distinct().withColumn("__mine", F.lit(True)))
     return rows.join(orgs, "org_id", "left").where(master | F.col("__mine").isNotNull()).drop("__mine")
 
 

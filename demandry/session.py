@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -64,3 +65,9 @@ def grouped_for(df: DataFrame, *columns: str) -> DataFrame:
     """Rows gathered by partition column before a partitioned write: few files per folder, and a column
     value with very many rows is still split over several tasks."""
     return df.hint("rebalance", *columns)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if a count, stopped at the limit, shows it is small; else unmarked, for a
+    shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

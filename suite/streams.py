@@ -45,6 +45,7 @@ def ingest_audit(spark, sf):
 def live_daily_totals(spark, sf):
     root = fresh_path(spark, "live")
     schema = tpch.table(spark, sf, "events").schema
+    # Watermarks need a timestamp with time zone.
     events = live.read_events(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     daily = live.daily_totals(events, "event_type", "value")
     live.start_daily(daily, f"{root}/daily", f"{root}/checkpoint").awaitTermination()
