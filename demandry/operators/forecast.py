@@ -35,9 +35,8 @@ def moving_average(window: int, y: str = "demand") -> Column:
 def baseline_columns(series: DataFrame) -> DataFrame:
     """Each month with its position and the forecasts made for it from the months before."""
     w = _w()
-    return series.withColumns(
+    ordered = series.withColumns(
         {
-            "n": F.count("*").over(Window.partitionBy("product_id")),
             "pos": F.row_number().over(w) - 1,
             NAIVE: F.lag("demand", 1).over(w),
             SEASONAL: F.coalesce(F.lag("demand", SEASON).over(w), F.lag("demand", 1).over(w)),
@@ -45,6 +44,8 @@ def baseline_columns(series: DataFrame) -> DataFrame:
             MA6: moving_average(6),
         }
     )
+    # After the ordered windows, so that one sort by product and month serves all of them.
+    return ordered.withColumn("n", F.count("*").over(Window.partitionBy("product_id")))
 
 
 def auto_horizon(n: Column) -> Column:

@@ -286,7 +286,10 @@ def ledger_transform(spark, sf):
 
 @query(
     "detected_versions",
-    None,
+    T.chain(T.LEDGER, T.STOCK)
+    + """ SELECT 'ledger' AS "table", 'v4' AS version, 0.95::DOUBLE AS confidence, '' AS missing, 'Producto_id' AS product_column, count(*) AS n_rows FROM ledger
+    UNION ALL SELECT 'older_ledger', 'v4', 0.5, 'Cantidad,Producto_id,Tipo_movimiento', 'Producto_id', count(*) FROM ledger
+    UNION ALL SELECT 'stock', 'legacy', 0.5, 'Codigo,Documento,Entrada_unid,Fecha,Saldo_unid,Salida_unid', 'Codigo', count(*) FROM stock""",
 )
 def detected_versions(spark, sf):
     raw = tpch.raw_ledger(spark, sf)

@@ -207,7 +207,12 @@ def file_inventory(spark, sf):
     return files.inventory_totals(files.inventory(spark, root))
 
 
-@query("result_validation")
+@query(
+    "result_validation",
+    T.chain(T.LEDGER, T.DEMAND)
+    + """ SELECT 'complete' AS result, true AS valid, count(*) AS n_rows FROM demand UNION ALL SELECT 'without_column', false, count(*) FROM demand
+    UNION ALL SELECT 'without_rows', false, count(*) FROM demand WHERE demand < 0""",
+)
 def result_validation(spark, sf):
     demand = C.demand(spark, sf)
     checks = {

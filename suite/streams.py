@@ -32,7 +32,16 @@ def ingest_demand(spark, sf):
     return spark.read.parquet(_two_batches(spark, sf).path("demand_monthly")).select("product_id", "month", "demand")
 
 
-@query("ingest_audit")
+@query(
+    "ingest_audit",
+    T.chain(T.LEDGER)
+    + f""", arrivals AS (SELECT *, CASE WHEN year < 1999 OR contains(CASE WHEN ok % 307 = 0 THEN '1,' ELSE '' END || CAST(CAST(qty AS BIGINT) AS VARCHAR), '1') THEN 0 ELSE 1 END AS batch_id FROM ledger),
+    kept AS (SELECT * FROM arrivals WHERE {_KEPT})
+    SELECT CAST(b.batch_id AS INTEGER) AS batch_id, (SELECT count(*) FROM arrivals a WHERE a.batch_id = b.batch_id) AS n_raw, (SELECT count(*) FROM kept k WHERE k.batch_id = b.batch_id) AS n_clean,
+      (SELECT count(DISTINCT (product_id, month)) FROM kept k WHERE kind = 'sale' AND k.batch_id <= b.batch_id AND month IN (SELECT month FROM kept m WHERE m.batch_id = b.batch_id)) AS n_demand,
+      (SELECT count(DISTINCT (product_id, month)) FROM kept k WHERE k.batch_id <= b.batch_id AND month IN (SELECT month FROM kept m WHERE m.batch_id = b.batch_id)) AS n_stock
+    FROM (VALUES (0), (1)) b(batch_id)""",
+)
 def ingest_audit(spark, sf):
     return spark.read.parquet(_two_batches(spark, sf).path("audit")).drop("processed_at")
 
