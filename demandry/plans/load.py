@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandry import schema as S
+from demandry.functions.columns import strip, to_day, to_number
 from demandry.operators import build as B
 from demandry.operators import clean as C
 from demandry.session import materialize
@@ -26,28 +27,70 @@ class LoadResult:
         return self.error is None
 
 
-def monthly_tables(raw: DataFrame, keep: bool = False, guide_docs: list[str] | None = None) -> LoadResult:
-    """Clean, reconcile (older ledgers only) and build demand and stock.
+def monthly_tables(raw: DataFrame, keep: bool = False) -> LoadResult:
+    """Clean a daily ledger and build demand and stock. Its sales need no reconciliation.
 
     ``keep`` writes the cleaned rows to the shared folder once, for callers that use several of the
     tables; otherwise the tables are lazy views on ``raw``.
     """
     cleaned = C.clean(raw)
     cleaned = cleaned.withColumn("month", F.trunc("date", "month"))
-    if guide_docs and {"doc", "doc_no", "in_units", "out_units"} <= set(cleaned.columns):
-        cleaned = B.reconcile_guides(cleaned, guide_docs)
     if keep:
         cleaned = materialize(cleaned, "movements")
-    order = ["date", *[c for c in ("source_file", "row_block", "row_seq") if c in cleaned.columns]]
-    return LoadResult(cleaned, B.demand_monthly(cleaned), B.stock_monthly(cleaned, order=order))
+    return LoadResult(cleaned, B.demand_monthly(cleaned), B.stock_monthly(cleaned, order=_order(cleaned)))
+
+
+def legacy_movements(raw: DataFrame) -> DataFrame:
+    """Older ledger rows under our names with types; rows without a date or a product are dropped."""
+    files.require(raw, S.LEGACY_REQUIRED)
+    out = []
+    for c in raw.columns:
+        name = S.LEGACY_NAMES.get(c, c)
+        e = to_number(c) if name in S.NUMERIC else to_day(c) if name == "date" else strip(c) if name in ("product_id", "doc", "doc_no") else F.col(c)
+        out.append(e.alias(name))
+    df = raw.select(*out)
+    for c in ("doc_no", "warehouse"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(""))
+    return df.dropna(subset=["date", "product_id"]).where(F.col("product_id") != "").withColumn("month", F.trunc("date", "month"))
+
+
+def legacy_tables(
+    raw: DataFrame, keep: bool = False, *, sale_docs: list[str] = [S.DOC_STORE_SALE], consumption_docs: list[str] = [S.DOC_CONSUMPTION],  # noqa: B006
+    guide_docs: list[str] = [S.DOC_GUIDE],  # noqa: B006
+) -> LoadResult:
+    """Older ledger: demand from sales, consumption and external guides; stock per product and warehouse."""
+    rows = B.reconcile_guides(legacy_movements(raw), guide_docs)
+    if keep:
+        rows = materialize(rows, "movements")
+    demand = B.demand_components(rows, sale_docs, consumption_docs).select("product_id", "month", "demand")
+    return LoadResult(rows, demand, B.stock_monthly(rows, ["product_id", "warehouse"], _order(rows)))
+
+
+def _order(rows: DataFrame) -> list[str]:
+    return ["date", *[c for c in ("source_file", "row_block", "row_seq") if c in rows.columns]]
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    names = spark.read.option("header", True).csv(path).columns
+    return names[0].split(";") if len(names) == 1 else names
 
 
 def run(spark: SparkSession, paths: list[str], keep: bool = True) -> LoadResult:
-    """Load ledger files; a bad layout comes back as ``error`` instead of an exception."""
+    """Load ledger files of one format, told by their headers.
+
+    A bad layout or a mixed batch comes back as ``error`` instead of an exception.
+    """
     try:
-        raw = files.read_ledger(spark, paths)
-        files.require(raw, S.REQUIRED)
-        result = monthly_tables(raw, keep)
+        if not paths:
+            return LoadResult(error="no files given")
+        older = [set(S.LEGACY_REQUIRED) <= set(_header(spark, p)) for p in paths]
+        if any(older) and not all(older):
+            return LoadResult(error="files of mixed formats")
+        if older[0]:
+            result = legacy_tables(files.read_legacy(spark, paths), keep)
+        else:
+            result = monthly_tables(files.read_ledger(spark, paths), keep)
         if result.movements.isEmpty():
             return LoadResult(error="no valid rows after cleaning")
         return result

@@ -11,6 +11,7 @@ from demandry.plans import load
 from demandry.session import fresh_path
 from demandry.sources import files, snapshot, tpch
 from demandry.sources.tpch import ledger
+from suite import builders
 from suite import common as C
 from suite import twin as T
 from suite.registry import each, query
@@ -85,6 +86,34 @@ def legacy_csv(spark, sf):
     )
 
 
+def _legacy_run(spark, sf):
+    path = fresh_path(spark, "legacy")
+    rows = ledger(spark, sf, "product_id", "date", "doc", "doc_no", "warehouse", "in_units", "out_units", "qty")
+    names = {"product_id": "Codigo", "date": "Fecha", "doc": "Documento", "doc_no": "Numero", "warehouse": "Bodega", "in_units": "Entrada_unid", "out_units": "Salida_unid", "qty": "Saldo_unid"}
+    files.write_csv(rows.withColumnsRenamed(names), path, sep=";", decimal=",")
+    return load.run(spark, [path])
+
+
+@query("legacy_to_demand", T.chain(T.LEDGER) + builders._COMPONENTS + " SELECT product_id, month, demand FROM components")
+def legacy_to_demand(spark, sf):
+    return _legacy_run(spark, sf).demand_monthly
+
+
+@query(
+    "legacy_to_stock",
+    T.chain(T.LEDGER)
+    + """, last AS (SELECT product_id, warehouse, month, max(date) AS date FROM ledger GROUP BY product_id, warehouse, month)
+    SELECT l.product_id, l.warehouse, l.month, l.qty AS stock FROM ledger l JOIN last ON l.product_id = last.product_id AND l.warehouse = last.warehouse AND l.date = last.date
+    QUALIFY count(*) OVER (PARTITION BY l.product_id, l.warehouse, l.month) = 1""",
+)
+def legacy_to_stock(spark, sf):
+    r = _legacy_run(spark, sf)
+    # Files hold no order within a day here: compare where the month's last day has one movement.
+    days = r.movements.groupBy("product_id", "warehouse", "month", "date").agg(F.count("*").alias("n"))
+    single = days.groupBy("product_id", "warehouse", "month").agg(F.max_by("n", "date").alias("n")).where("n = 1").drop("n")
+    return r.stock_monthly.join(single, ["product_id", "warehouse", "month"], "left_semi").select("product_id", "warehouse", "month", "stock")
+
+
 @query(
     "tenant_csv_layout",
     T.chain(T.LEDGER) + " SELECT 'ñ-' || product_id AS product, client AS company, count(*) AS n, sum(qty) AS quantity FROM ledger WHERE kind = 'sale' GROUP BY product_id, client",

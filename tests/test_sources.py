@@ -37,6 +37,20 @@ def test_load_reports_errors(spark, tmp_path):
     assert "no valid rows" in load.run(spark, [empty]).error
 
 
+def test_formats_are_told_apart(spark, tmp_path):
+    v4 = lines(tmp_path / "v4.csv", HEAD, "2024-01-05,P1,n,Venta,5,10,5")
+    old = lines(
+        tmp_path / "old.csv", "Codigo;Fecha;Documento;Numero;Bodega;Entrada_unid;Salida_unid;Saldo_unid", "P1;2024-01-05;VO;1;W;0;2,5;9", "P1;2024-03-05;GU;7;W;0;4;5",
+        "P1;2024-03-06;GU;8;W;3;0;8", "P1;x;VO;1;W;0;1;1",
+    )
+    assert "mixed" in load.run(spark, [v4, old]).error
+    assert load.run(spark, []).error
+    r = load.run(spark, [old])
+    assert r.ok and r.movements.count() == 3
+    assert [(x.month.month, x.demand) for x in r.demand_monthly.orderBy("month").collect()] == [(1, 2.5), (2, 0.0), (3, 4.0)]
+    assert [(x.warehouse, x.month.month, x.stock) for x in r.stock_monthly.orderBy("month").collect()] == [("W", 1, 9.0), ("W", 3, 8.0)]
+
+
 def test_load_end_to_end(spark, tmp_path):
     a = lines(tmp_path / "a.csv", HEAD, "2024-01-05,P1,n,Venta,5,10,5", "2024-01-20,P1,n,Venta,2,5,3", "2024-02-01,P1,n,Producción,9,3,12")
     b = lines(tmp_path / "b.csv", HEAD + ",Canal_venta", "05/02/2024,P1,n,Venta,4,12,8,Online", "06/02/2024,P1,n,Venta,4,8,99,Online")
