@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -63,8 +64,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def grouped_for(df: DataFrame, *columns: str) -> DataFrame:
     """Rows gathered by partition column before a partitioned write: few files per folder, and a column
-    value with very many rows is still split over several tasks."""
-    return df.hint("rebalance", *columns)
+    value with very many rows is still split over several tasks.
+
+    With adaptive execution the split follows the measured sizes; without it (inside streaming batches) every
+    value is dealt over about the square root of the shuffle partitions.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        return df.hint("rebalance", *columns)
+    deals = max(1, math.isqrt(int(conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(*columns, F.pmod(F.xxhash64(*df.columns), F.lit(deals)))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
