@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,21 +105,6 @@ def read_erp_report(spark: SparkSession, path: str | list[str], names: list[str]
     return raw.where((first != "") & ~heading).withColumn(names[0], F.btrim(first, F.lit("'")))
 
 
-def existing_years(spark: SparkSession, root: str, org_id: str, years: list[int], prefix: str = "raw") -> tuple[dict[int, str], list[int]]:
-    """Paths of the yearly files that exist, and the years without one."""
-    found, absent = {}, []
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for y in years:
-        p = f"{root.rstrip('/')}/{org_id}/{prefix}/data_{y}.csv"
-        hp = jvm_path(p)
-        if hp.getFileSystem(conf).exists(hp):
-            found[y] = guard_tenant(p, root, org_id)
-        else:
-            absent.append(y)
-    return found, absent
-
-
 def guard_tenant(path: str, root: str, org_id: str) -> str:
     """``path`` if it lies in the tenant's folder; refuses anything else, parent references included."""
     rest = path[len(root.rstrip("/")) + 1 :] if path.startswith(root.rstrip("/") + "/") else ""
@@ -132,13 +118,19 @@ def load_years(
     spark: SparkSession, root: str, org_id: str, years: list[int], *, prefix: str = "raw", sep: str = ",", infer: bool = True
 ) -> tuple[dict[int, DataFrame], list[int]]:
     """Register ``data_{year}`` for every yearly file of a tenant; also returns the years not found."""
-    found, absent = existing_years(spark, root, org_id, years, prefix)
-    out = {}
-    for y, p in found.items():
-        df = spark.read.option("header", True).option("inferSchema", infer).option("sep", sep).csv(p)
-        df.createOrReplaceTempView(f"data_{y}")
-        out[y] = df
-    return out, absent
+    found, absent = {}, []
+    reader = spark.read.option("header", True).option("inferSchema", infer).option("sep", sep)
+    for y in years:
+        path = guard_tenant(f"{root.rstrip('/')}/{org_id}/{prefix}/data_{y}.csv", root, org_id)
+        try:
+            found[y] = reader.csv(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            absent.append(y)
+        else:
+            found[y].createOrReplaceTempView(f"data_{y}")
+    return found, absent
 
 
 def read_parquet(spark: SparkSession, path: str, org_id: str | None = None) -> DataFrame:

@@ -23,10 +23,19 @@ def duck(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _text(v: object) -> str:
+    """One spelling per value, whichever engine it came from."""
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return "null"
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return repr(float(v))
+    return str(v)[:10] if hasattr(v, "year") else str(v)
+
+
 def _plain(df: pd.DataFrame) -> pd.DataFrame:
     out = df[sorted(df.columns)].copy()
     for c in out.columns:
-        out[c] = out[c].map(lambda v: "null" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:10] if hasattr(v, "year") else str(v))
+        out[c] = out[c].map(_text)
     return out.sort_values(list(out.columns)).reset_index(drop=True) if len(out.columns) else out
 
 
