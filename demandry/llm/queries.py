@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import sharding
+from demandry.llm import rules, sharding
 from demandry.llm.common import table
+from demandry.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +45,53 @@ placed AS (
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
     row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1 AS slot, grown::INTEGER AS grown_shard
 FROM placed"""
+
+
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = materialize(rules.measure(table(spark, sf_dir, "documents")), "counts")
+    cutoffs = materialize(rules.certify(measured, table(spark, sf_dir, "labels")), "cutoffs")
+    return rules.judge(measured, cutoffs).select(
+        "doc_id", "c.n_words", "c.word_chars", "c.n_symbols", "c.n_dup_lines", "c.n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES["op6_risk_controlled_rules"] = op6_risk_controlled_rules
+
+
+def _rules_sql() -> str:
+    share = rules.ALPHA / len(rules.RULES)
+    hit = lambda r, cut: f"(coalesce({r.whole} > 0 AND 100 * {r.part} >= {cut} * {r.whole}, false))"
+    grid = " UNION ALL ".join(
+        f"SELECT lang, '{name}' AS rule, {i} AS strict, {cut} AS cutoff, count(*) AS n, count(*) FILTER ({hit(r, cut)}) AS k FROM held GROUP BY lang"
+        for name, r in rules.RULES.items()
+        for i, cut in enumerate(r.cutoffs)
+    )
+    rejected = " OR ".join(
+        hit(r, f"(SELECT arg_max(cutoff, strict) FROM certified t WHERE t.lang IS NOT DISTINCT FROM c.lang AND rule = '{name}')")
+        for name, r in rules.RULES.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM split, unnest(range(1, greatest(len(w) - 6, 1))) r(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, sum(step) AS n FROM (
+    SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice) GROUP BY doc_id),
+c AS MATERIALIZED (
+    SELECT s.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, (length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_upper
+    FROM split s LEFT JOIN covered v ON v.doc_id = s.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+grid AS ({grid}),
+certified AS MATERIALIZED (SELECT * FROM grid WHERE
+    CASE WHEN k > n * {share} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
+        exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END
+    <= {rules.DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held) * {len(rules.RULES)}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {rejected}) AS kept FROM b c"""
+
+
+ORACLE["op6_risk_controlled_rules"] = _rules_sql()
