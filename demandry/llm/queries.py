@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import rules, sharding
+from demandry.llm import bpe, rules, sharding
 from demandry.llm.common import table
 from demandry.session import materialize
 
@@ -17,6 +17,20 @@ ORACLE: dict[str, str] = {}
 SHARDS = 40
 
 
+def rank_file() -> str:
+    """The rank file among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), rank_file())
+
+
+QUERIES["op1_byte_bpe"] = op1_byte_bpe
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
