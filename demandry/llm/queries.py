@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import bpe, rules, sharding
+from demandry.llm import bpe, pii, rules, sharding
 from demandry.llm.common import table
 from demandry.session import materialize
 
@@ -109,3 +109,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE["op6_risk_controlled_rules"] = _rules_sql()
+
+
+# The registered query's key; a user passes a secret one.
+PSEUDONYM_KEY = b"key of the registered query"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, spans="spans").select(
+        "doc_id", F.size("spans").cast("long").alias("n_found"), F.concat_ws(",", F.array_sort(F.array_distinct("spans.kind"))).alias("kinds"), "text"
+    )
+
+
+QUERIES["op7_pseudonyms"] = op7_pseudonyms
