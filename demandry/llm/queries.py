@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import bpe, decontam, pii, repeats, rules, sharding
+from demandry.llm import bpe, decontam, pii, repeats, rules, sharding, suffixes
 from demandry.llm.common import table
 from demandry.session import materialize
 
@@ -170,3 +170,10 @@ per_doc AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_i
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
     sha256(coalesce(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
 FROM d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"""
+
+
+def op10_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_column_suffixes"] = op10_column_suffixes
