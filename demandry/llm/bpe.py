@@ -28,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from demandry.llm.common import kind
 
 # Classes of code points. Small letters that can end an apostrophe's piece have classes of their own.
 LETTER, ONE, R, V, L, E, NUMBER, BLANK, WHITE, QUOTE, SIGN, BETWEEN = range(12)
@@ -47,25 +50,25 @@ _CACHE = 400_000  # pieces kept per worker in each of two generations
 _LONG_PIECE = 256  # bytes from which a heap finds the next pair
 
 
-def _next(kind: int, state: int) -> int:
-    if kind in _LETTERS:
+def _next(of: int, state: int) -> int:
+    if of in _LETTERS:
         if state == AT_QUOTE:
-            return {ONE: ENDED, R: QUOTE_R, V: QUOTE_V, L: QUOTE_L}.get(kind, IN_LETTERS)
-        whole = (state in (QUOTE_R, QUOTE_V) and kind == E) or (state == QUOTE_L and kind == L)
+            return {ONE: ENDED, R: QUOTE_R, V: QUOTE_V, L: QUOTE_L}.get(of, IN_LETTERS)
+        whole = (state in (QUOTE_R, QUOTE_V) and of == E) or (state == QUOTE_L and of == L)
         return ENDED if whole else IN_LETTERS
-    if kind == QUOTE:
+    if of == QUOTE:
         return IN_SIGNS if state in (IN_SIGNS, AT_BLANK, AT_QUOTE) else AT_QUOTE
-    return {NUMBER: IN_NUMBERS, BLANK: AT_BLANK, SIGN: IN_SIGNS}.get(kind, AT_WHITE)
+    return {NUMBER: IN_NUMBERS, BLANK: AT_BLANK, SIGN: IN_SIGNS}.get(of, AT_WHITE)
 
 
-def _begins(kind: int, before: int, after: int) -> bool:
+def _begins(of: int, before: int, after: int) -> bool:
     """Whether a code point begins a piece, as far as the states say; see piece_starts for the rest."""
-    if kind in _LETTERS:
+    if of in _LETTERS:
         joins = (IN_LETTERS, AT_BLANK, *_PENDING)
         return before not in joins and not (before == AT_QUOTE and after == ENDED)
-    if kind == NUMBER:
+    if of == NUMBER:
         return before not in (IN_NUMBERS, AT_BLANK)
-    if kind in (BLANK, WHITE):
+    if of in (BLANK, WHITE):
         return before not in (AT_BLANK, AT_WHITE)
     return before not in (IN_SIGNS, AT_BLANK, AT_QUOTE)
 
@@ -125,8 +128,8 @@ class Transitions:
 
 def class_table() -> np.ndarray:
     """Class of every code point, from the general categories, and of the mark between texts."""
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(i))[0], SIGN) for i in range(sys.maxunicode + 1)), np.uint8)
+    groups = {"L": LETTER, "N": NUMBER}
+    out = np.fromiter((groups.get(unicodedata.category(chr(i))[0], SIGN) for i in range(sys.maxunicode + 1)), np.uint8)
     out = np.append(out, np.uint8(BETWEEN))
     out[_WHITE] = WHITE
     out[ord(" ")] = BLANK
@@ -295,7 +298,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", off
     """``docs`` with token ids and the byte offset of each token; columns of those names are replaced."""
     held = _plain(docs, {ids, offsets} - {text})
     rows = docs.select(*[F.col(f"`{c}`") for c in held])
-    schema = rows.schema.add(ids, "array<int>").add(offsets, "array<long>")
+    schema = StructType([*rows.schema.fields]).add(ids, kind("array<int>")).add(offsets, kind("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -313,7 +316,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """``df`` with the bytes of its token ids; null ids count as none."""
     held = _plain(df, {out} - {ids})
     rows = df.select(*[F.col(f"`{c}`") for c in held])
-    schema = rows.schema.add(out, "binary")
+    schema = StructType([*rows.schema.fields]).add(out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 # White space that separates words wherever a contract speaks of words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,3 +32,8 @@ def words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; all other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def kind(ddl: str) -> DataType:
+    """A type by its name, nested ones included."""
+    return StructType.fromDDL(f"x {ddl}")["x"].dataType

@@ -23,6 +23,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from demandry.llm.common import kind
 
 ROUNDS = 10
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -217,13 +220,13 @@ def findings(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int,
     if not _ANY.search(text):
         return []
     found = []
-    for order, kind in enumerate(KINDS):
-        if kind.sign not in text:
+    for order, k in enumerate(KINDS):
+        if k.sign not in text:
             continue
-        for m in kind.pattern.finditer(text):
-            new = kind.renew(m, f, back)
+        for m in k.pattern.finditer(text):
+            new = k.renew(m, f, back)
             if new is not None:
-                found.append((m.start(), order, m.end(), kind.name, new))
+                found.append((m.start(), order, m.end(), k.name, new))
     out, end = [], 0
     for start, _, stop, name, new in sorted(found):
         if start >= end:
@@ -235,10 +238,10 @@ def findings(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int,
 def rewrite(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and where they now stand."""
     parts, spans, at, size = [], [], 0, 0
-    for start, end, kind, new in findings(text, f, back):
+    for start, end, name, new in findings(text, f, back):
         parts += [text[at:start], new]
         size += start - at
-        spans.append((size, size + len(new), kind))
+        spans.append((size, size + len(new), name))
         size += len(new)
         at = end
     return "".join([*parts, text[at:]]), spans
@@ -251,8 +254,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
     """``docs`` with pseudonyms in ``text``; if ``spans`` is given, a column with where they stand."""
     held = [c for c in docs.columns if c != spans]
     rows = docs.select(*[F.col(f"`{c}`") for c in held])
-    schema = rows.schema.add(spans, SPANS) if spans else rows.schema
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    schema = StructType([*rows.schema.fields]).add(spans, kind(SPANS)) if spans else rows.schema
+    where = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
@@ -261,7 +264,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
             at = batch.schema.get_field_index(text)
             out = batch.set_column(at, text, pa.array([t for t, _ in done], batch.schema.field(at).type))
             if spans:
-                out = out.append_column(spans, pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in done], kind))
+                out = out.append_column(spans, pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in done], where))
             yield out
 
     return rows.mapInArrow(run, schema)
