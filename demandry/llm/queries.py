@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import bpe, decontam, pii, repeats, rules, sharding, suffixes
+from demandry.llm import bpe, decontam, mil, pii, repeats, rules, sharding, suffixes
 from demandry.llm.common import table
 from demandry.session import materialize
 
@@ -177,3 +177,16 @@ def op10_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_column_suffixes"] = op10_column_suffixes
+
+PREDICTED_FROM = 0.7
+
+
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil.fit(docs, table(spark, sf_dir, "labels"))
+    return mil.score(docs, model).select(
+        "doc_id", mil.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted")
+    )
+
+
+QUERIES["op4_attention_quality"] = op4_attention_quality
