@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import bpe, decontam, mil, pii, repeats, rules, sharding, suffixes
+from demandry.llm import bpe, decontam, licenses, mil, pii, repeats, rules, sharding, suffixes
 from demandry.llm.common import table
 from demandry.session import materialize
 
@@ -190,3 +190,44 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_attention_quality"] = op4_attention_quality
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path: here each lies in the directory of its source and language."""
+    docs = table(spark, sf_dir, "documents")
+    placed = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))).alias("path"))
+    return licenses.scan(placed)
+
+
+QUERIES["op2_license_scan"] = op2_license_scan
+
+
+def _licenses_sql() -> str:
+    model = licenses.Model()
+    weights = ", ".join(f"({i}, '{name}', '{w}', {x!r}::DOUBLE)" for i, (name, v) in enumerate(model.vectors) for w, x in v.items())
+    idf = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in model.idf.items())
+    words = lambda t: f"regexp_extract_all(lower({t}), '[a-z0-9]+')"
+    best = lambda rel, by: f"""(
+    SELECT {by}, min(struct_pack(minus := minus, license := license)) AS best FROM (
+        SELECT {by}, t, license, -round(sum(x * weight) / any_value(norm), 9) AS minus FROM (
+            SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {by})) AS norm FROM (
+                SELECT {by}, w, count(*) * coalesce(any_value(idf), {model.unseen!r}) AS x FROM (SELECT {by}, unnest({words('txt')}) AS w FROM {rel})
+                LEFT JOIN idf USING (w) GROUP BY {by}, w)) JOIN weights USING (w) GROUP BY {by}, t, license)
+    GROUP BY {by})"""
+    return f"""
+WITH weights(t, license, w, weight) AS (VALUES {weights}),
+idf(w, idf) AS (VALUES {idf}),
+files AS (SELECT doc_id, source || '/' || lang AS dir, source, source || '/' || lang || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS txt FROM documents),
+lines AS (SELECT doc_id, i, l[i] AS txt FROM (SELECT doc_id, string_split(txt, chr(10)) AS l FROM files), unnest(range(1, len(l) + 1)) r(i)),
+by_line AS MATERIALIZED {best('lines', 'doc_id, i')},
+own AS (SELECT doc_id, min(best) AS own FROM by_line WHERE -best.minus >= {model.cosine} GROUP BY doc_id),
+whole AS MATERIALIZED {best('(SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM own))', 'doc_id')},
+f AS (SELECT files.*, own, coalesce(-best.minus >= {model.cosine}, false) AS is_file FROM files LEFT JOIN own USING (doc_id) LEFT JOIN whole USING (doc_id)),
+given AS (SELECT dir, min(struct_pack(m := own.minus, license := own.license, path := path)) AS g FROM f WHERE is_file GROUP BY dir)
+SELECT doc_id, path, coalesce(own.license, g.license) AS license, round(-own.minus, 6) AS score,
+    CASE WHEN is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN g IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+    CASE WHEN own IS NULL THEN g.path END AS license_from
+FROM f LEFT JOIN given USING (dir)"""
+
+
+ORACLE["op2_license_scan"] = _licenses_sql()
