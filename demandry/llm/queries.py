@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import bpe, decontam, licenses, mil, pii, repeats, rules, sharding, suffixes
+from demandry.llm import bpe, decontam, jaccard, licenses, mil, pii, repeats, rules, sharding, suffixes
 from demandry.llm.common import table
 from demandry.session import materialize
 
@@ -231,3 +231,23 @@ FROM f LEFT JOIN given USING (dir)"""
 
 
 ORACLE["op2_license_scan"] = _licenses_sql()
+
+
+def op5_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_heavy_light_jaccard"] = op5_heavy_light_jaccard
+ORACLE["op5_heavy_light_jaccard"] = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) r(i) WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+    JOIN sizes u ON u.doc_id = p.a JOIN sizes v ON v.doc_id = p.b WHERE 100 * k >= 90 * (u.n + v.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id
+FROM d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id"""
