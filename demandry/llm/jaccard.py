@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandry.llm import blocks as B
@@ -296,3 +296,15 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
         F.col("n").cast("long").alias("n_shingles"),
         F.when(shown != B.NULL_KEY, shown).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, that of least key, with its own columns.
+
+    Rows without a set are no duplicates of each other; of rows equal in key and text, one stays."""
+    found = components(docs, key=key, text=text, shingle=shingle, percent=percent)
+    gone = found.where((F.col("n_shingles") > 0) & ~F.col("component_id").eqNullSafe(F.col(key)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(B.NULL_KEY)).alias("k"), F.xxhash64(text).alias("h"))
+    kept = rows.join(gone.select(F.col(key).cast("long").alias("k")).distinct(), "k", "left_anti")
+    again = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
+    return kept.withColumn("again", again).where("again = 1").select("row.*")
