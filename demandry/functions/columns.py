@@ -31,10 +31,14 @@ def to_number(c: str | Column) -> Column:
 
 
 def to_day(c: str | Column) -> Column:
-    """Text to date, ISO first, then day/month/year."""
+    """Text to date, ISO or day/month/year, with or without leading zeros."""
     s = strip(c)
-    slashed = F.substring(s, 3, 1) == "/"
-    return F.when(slashed, F.try_to_date(s, "dd/MM/yyyy")).otherwise(F.try_to_date(s, "yyyy-MM-dd"))
+    return F.when(s.contains("/"), F.try_to_date(s, "d/M/yyyy")).otherwise(F.try_to_date(s, "yyyy-M-d"))
+
+
+def to_int(c: str | Column) -> Column:
+    """Text to a whole number; null where it is none or does not fit."""
+    return to_number(c).try_cast("int")
 
 
 def month_of(c: str | Column) -> Column:
@@ -42,10 +46,15 @@ def month_of(c: str | Column) -> Column:
 
 
 def month_from_parts(year: str | Column, month: str | Column) -> Column:
-    """First day of a month from two loose numbers; year defaults to 2024, month to 1 and is kept in 1..12."""
-    y = F.coalesce(col(year).cast("string").try_cast("double"), F.lit(2024.0)).cast("int")
-    m = F.coalesce(col(month).cast("string").try_cast("double"), F.lit(1.0)).cast("int")
-    return F.make_date(y, F.least(F.greatest(m, F.lit(1)), F.lit(12)), F.lit(1))
+    """First day of a month from two loose numbers; year defaults to 2024, month to 1 and is kept in 1..12.
+
+    Null where the year is none that a date can have."""
+    given = col(year).cast("string").try_cast("double")
+    y = F.when(given.isNull(), F.lit(2024)).otherwise(given.try_cast("int"))
+    m = F.coalesce(col(month).cast("string").try_cast("double"), F.lit(1.0))
+    m = F.least(F.greatest(m, F.lit(1.0)), F.lit(12.0)).cast("int")
+    fits = y.between(1, 9999)
+    return F.when(fits, F.make_date(F.when(fits, y), m, F.lit(1)))
 
 
 def month_name(c: str | Column) -> Column:

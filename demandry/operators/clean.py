@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandry import schema as S
-from demandry.functions.columns import balance_broken, expected_balance, strip, to_day, to_number
+from demandry.functions.columns import balance_broken, expected_balance, strip, to_day, to_int, to_number
 from demandry.sources.files import require
 
 
@@ -21,7 +21,7 @@ def typed(raw: DataFrame) -> DataFrame:
         elif name == "date":
             e = to_day(c)
         elif name in ("year", "month_no", "day"):
-            e = to_number(c).cast("int")
+            e = to_int(c)
         elif name == "kind":
             k = strip(c)
             e = F.when(k == S.SALE_LABEL, F.lit(S.SALE)).when(k == S.PRODUCTION_LABEL, F.lit(S.PRODUCTION)).otherwise(k)

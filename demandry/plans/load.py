@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,31 +69,39 @@ def legacy_tables(
 
 
 def _order(rows: DataFrame) -> list[str]:
-    return ["date", *[c for c in ("source_file", "row_block", "row_seq") if c in rows.columns]]
+    """Order within a month: by day, then as the files were given."""
+    return ["date", *[c for c in files.FILE_ORDER if c in rows.columns]]
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    names = spark.read.option("header", True).csv(path).columns
-    return names[0].split(";") if len(names) == 1 else names
+def _formats(spark: SparkSession, paths: list[str], sep: str | None) -> list[bool]:
+    """For each file with a header, whether it is of the older format."""
+    lines = files.header_lines(spark, [n for _, n in files.list_files(spark, paths)])
+    older = set(S.LEGACY_REQUIRED)
+    return [older <= {c.strip().strip('"') for c in line.split(sep or ";")} for line in lines.values()]
 
 
-def run(spark: SparkSession, paths: list[str], keep: bool = True) -> LoadResult:
+def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str | None = None, encoding: str = "UTF-8") -> LoadResult:
     """Load ledger files of one format, told by their headers.
 
-    A bad layout or a mixed batch comes back as ``error`` instead of an exception.
+    ``sep`` is that of the format unless given. A bad layout, a mixed batch or a missing file comes back as
+    ``error`` instead of an exception.
     """
     try:
         if not paths:
             return LoadResult(error="no files given")
-        older = [set(S.LEGACY_REQUIRED) <= set(_header(spark, p)) for p in paths]
+        older = _formats(spark, paths, sep)
         if any(older) and not all(older):
             return LoadResult(error="files of mixed formats")
-        if older[0]:
-            result = legacy_tables(files.read_legacy(spark, paths), keep)
+        if older and older[0]:
+            result = legacy_tables(files.read_legacy(spark, paths, encoding, sep or ";"), keep)
         else:
-            result = monthly_tables(files.read_ledger(spark, paths), keep)
+            result = monthly_tables(files.read_ledger(spark, paths, sep or ",", encoding), keep)
         if result.movements.isEmpty():
             return LoadResult(error="no valid rows after cleaning")
         return result
     except ValueError as e:
         return LoadResult(error=str(e))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return LoadResult(error=f"file not found: {e.getMessageParameters().get('path')}")

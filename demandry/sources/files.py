@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,48 +39,87 @@ def require(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
-def tidy_headers(df: DataFrame) -> DataFrame:
-    """Trim header names and drop blank and unnamed columns."""
-    keep = [(c, c.strip()) for c in df.columns]
-    keep = [(c, n) for c, n in keep if n and not n.startswith(("Unnamed", "_c"))]
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in keep])
+# Files whose header lines are read in one job.
+_HEADERS_AT_ONCE = 100
+
+
+def _blank_name(written: str) -> bool:
+    """Whether a header names nothing: blank, or the name that other tools give to a blank one."""
+    return not written.strip() or written.strip().lower().startswith("unnamed")
+
+
+def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
+    """(place of the given path, file) of every file under the paths, in order. Contents are not read."""
+    out = []
+    for i, p in enumerate(paths):
+        found = spark.read.format("binaryFile").load(p).select(F.col("_metadata.file_path").alias("path")).collect()
+        out += [(i, r["path"]) for r in sorted(found)]
+    return out
+
+
+def header_lines(spark: SparkSession, names: list[str]) -> dict[str, str]:
+    """The first line of each file, read in few jobs whatever the number of files; files without any are left out."""
+    out: dict[str, str] = {}
+    for k in range(0, len(names), _HEADERS_AT_ONCE):
+        one = [spark.read.text(n).limit(1).select(F.lit(n).alias("file"), "value") for n in names[k : k + _HEADERS_AT_ONCE]]
+        out |= {r["file"]: r["value"] for r in reduce(DataFrame.unionAll, one).collect()}
+    return out
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Every column as text, headers tidied, with the place of each row in its file.
+    """Every column as text under its own header, headers trimmed, columns without a name left out.
 
-    ``row_block`` is the file split (bounded by the split size) and ``row_seq`` the position in it, so
-    (source_file, row_block, row_seq) is the order of the file.
+    Files are read together with those of the same header line and the groups are joined by name, so neither
+    the order of columns nor a missing one moves a value. ``source_no`` (place of the given path), ``source_path``,
+    ``row_block`` (the file split, bounded by the split size) and ``row_seq`` (the place in it) are the order of the
+    rows as given; ``source_file`` is the file's bare name.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", encoding).csv(path)
-    named = tidy_headers(raw)
-    place = [
+    paths = [path] if isinstance(path, str) else list(path)
+    files = list_files(spark, paths)
+    lines = header_lines(spark, [n for _, n in files])
+    groups: dict[tuple[int, str], list[str]] = {}
+    for i, n in files:
+        if n in lines:
+            groups.setdefault((i, lines[n]), []).append(n)
+    out = None
+    for (i, line), names in groups.items():
+        df = _one_header(spark, names, line, sep, encoding, i)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no files with a header")
+    return out
+
+
+def _one_header(spark: SparkSession, names: list[str], line: str, sep: str, encoding: str, number: int) -> DataFrame:
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", sep).option("encoding", encoding)
+    raw = reader.csv(names)
+    written = next(csv.reader([line], delimiter=sep), [])
+    # Spark names a blank header by its place; only such columns, and those named "Unnamed", have no name.
+    kept = [c for c, w in zip(raw.columns, written) if not _blank_name(w)] if len(written) == len(raw.columns) else [c for c in raw.columns if not _blank_name(c)]
+    return raw.select(
+        *[F.col(f"`{c}`").alias(c.strip()) for c in kept],
         F.col("_metadata.file_name").alias("source_file"),
+        F.lit(number).alias("source_no"),
+        F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_block_start").alias("row_block"),
         F.monotonically_increasing_id().alias("row_seq"),
-    ]
-    pick = [c for c in raw.columns if c.strip() in named.columns]
-    return raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in pick], *place)
+    )
+
+
+# The order of rows as the files were given, within a day.
+FILE_ORDER = ["source_no", "source_path", "row_block", "row_seq"]
 
 
 def read_ledger(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Several ledger files as one table; headers may differ in order and in optional columns."""
-    parts: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        head = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(p).columns
-        parts.setdefault(tuple(head), []).append(p)
-    out = None
-    for group in parts.values():
-        df = require(read_text_csv(spark, group, sep, encoding), S.REQUIRED)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    if not paths:
         raise ValueError("no files given")
-    return out
+    return require(read_text_csv(spark, paths, sep, encoding), S.REQUIRED)
 
 
-def read_legacy(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+def read_legacy(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ";") -> DataFrame:
     """Older ledger: ``;`` between fields and a decimal comma."""
-    df = require(read_text_csv(spark, path, ";", encoding), S.LEGACY_REQUIRED)
+    df = require(read_text_csv(spark, path, sep, encoding), S.LEGACY_REQUIRED)
     numeric = {c for c, n in S.LEGACY_NAMES.items() if n in S.NUMERIC}
     return df.select(*[to_number(c).alias(c) if c in numeric else F.col(c) for c in df.columns])
 
@@ -92,8 +134,8 @@ def read_tenant_csv(spark: SparkSession, path: str | list[str], layout: CsvLayou
 def read_erp_report(spark: SparkSession, path: str | list[str], names: list[str], encoding: str = "ISO-8859-1") -> DataFrame:
     """ERP report: a period line and a header above the rows, repeated header names, ``;`` between fields.
 
-    Columns are named by position, which settles repeated names; lines whose first field is blank, or
-    which repeat the header or the period, are not data.
+    Columns are named by position, which settles repeated names; lines whose first field is blank, or is
+    the word that heads the column, or states the period, are not data. A code that only begins like them is data.
     """
     raw = (
         spark.read.schema(S.text_schema(names))
@@ -101,7 +143,7 @@ def read_erp_report(spark: SparkSession, path: str | list[str], names: list[str]
         .csv(path)
     )
     first = strip(names[0])
-    heading = first.rlike("(?i)^(codigo|código|periodo|período)")
+    heading = first.rlike(r"(?i)^(c[oó]digo|per[ií]odo\s*:.*|per[ií]odo)$")
     return raw.where((first != "") & ~heading).withColumn(names[0], F.btrim(first, F.lit("'")))
 
 
@@ -115,11 +157,15 @@ def guard_tenant(path: str, root: str, org_id: str) -> str:
 
 
 def load_years(
-    spark: SparkSession, root: str, org_id: str, years: list[int], *, prefix: str = "raw", sep: str = ",", infer: bool = True
+    spark: SparkSession, root: str, org_id: str, years: list[int], *, prefix: str = "raw", sep: str = ",", schema: str | T.StructType | None = None
 ) -> tuple[dict[int, DataFrame], list[int]]:
-    """Register ``data_{year}`` for every yearly file of a tenant; also returns the years not found."""
+    """Register ``data_{year}`` for every yearly file of a tenant; also returns the years not found.
+
+    With a ``schema`` a file whose header differs from it fails, and no file is read beforehand; without one, types
+    are inferred, which reads every file once more."""
     found, absent = {}, []
-    reader = spark.read.option("header", True).option("inferSchema", infer).option("sep", sep)
+    reader = spark.read.option("header", True).option("sep", sep)
+    reader = reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
     for y in years:
         path = guard_tenant(f"{root.rstrip('/')}/{org_id}/{prefix}/data_{y}.csv", root, org_id)
         try:
@@ -133,9 +179,14 @@ def load_years(
     return found, absent
 
 
-def read_parquet(spark: SparkSession, path: str, org_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df if org_id is None else df.where(F.col("org_id") == org_id)
+def read_parquet(spark: SparkSession, path: str, org_id: str) -> DataFrame:
+    """One organization's rows; the organization is never optional."""
+    return spark.read.parquet(path).where(F.col("org_id") == org_id)
+
+
+def read_parquet_all(spark: SparkSession, path: str) -> DataFrame:
+    """All rows, whoever they belong to: for tables without organizations and for administration."""
+    return spark.read.parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -175,12 +226,15 @@ def split_in_parts(df: DataFrame, path: str, n: int, order: list[Column]) -> Non
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` laid out as org/type/name: key, size and time. File contents are not read."""
+    """Files below ``root`` laid out as org/type/name: key, size and time, newest first. Contents are not read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
     )
-    rel = F.element_at(F.split("path", root.rstrip("/").split("/")[-1] + "/", 2), -1)
+    # The root as Spark qualifies it is a literal prefix of every path, whatever its last name repeats.
+    place = r"^[a-z0-9]+:(//[^/]*)?/*"
+    base = re.sub(place, "", root.rstrip("/")).lstrip("/") + "/"
+    rel = F.substr(F.regexp_replace("path", place, ""), F.lit(len(base) + 1))
     bits = F.split(rel, "/")
     return files.select(
         rel.alias("file_key"),
@@ -188,7 +242,7 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.size(bits) > 2, bits[1]).otherwise(F.lit("")).alias("file_type"),
         "size_bytes",
         "modified_at",
-    )
+    ).orderBy(F.desc("modified_at"), "file_key")
 
 
 def inventory_totals(files: DataFrame) -> DataFrame:

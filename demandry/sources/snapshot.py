@@ -2,35 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandry.session import grouped_for
 
 
+_MANIFEST = "org_id string, load_id string, data_loaded boolean, updated_at timestamp, files_processed int"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The newest load of each organization; no rows before the first."""
+    try:
+        found = spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+    return latest_per_key(found, ["org_id"], "updated_at")
+
+
 def save_snapshot(tables: dict[str, DataFrame], root: str, org_ids: DataFrame, files_processed: int) -> None:
-    """Replace the organizations present in each table; others stay. Adds a manifest row per organization.
+    """Replace the results of the organizations in ``org_ids``, also by nothing; others stay as they were.
 
-    Dynamic partition overwrite makes a retry write the same result. The manifest is written last, so an
-    organization shows as loaded only after its tables are complete.
+    Every load writes a folder of its own; readers follow the manifest, whose rows are written last. So a load is
+    seen as a whole or not at all, a retry writes a new folder, and an organization whose new result has no
+    rows has none from then on.
     """
+    spark, root, load = org_ids.sparkSession, root.rstrip("/"), uuid.uuid4().hex
+    orgs = org_ids.select("org_id").distinct()
     for name, df in tables.items():
-        (
-            grouped_for(df, "org_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("org_id").parquet(f"{root.rstrip('/')}/{name}")
-        )
-    manifest = org_ids.select("org_id").distinct().select(
-        "org_id", F.lit(True).alias("data_loaded"), F.current_timestamp().alias("updated_at"), F.lit(files_processed).alias("files_processed")
-    )
-    (
-        manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("org_id").parquet(f"{root.rstrip('/')}/manifest")
-    )
+        mine = df.join(orgs, "org_id", "left_semi")
+        grouped_for(mine, "org_id").write.partitionBy("org_id").parquet(f"{root}/{name}/load_id={load}")
+    orgs.select(
+        "org_id", F.lit(load).alias("load_id"), F.lit(True).alias("data_loaded"), F.current_timestamp().alias("updated_at"),
+        F.lit(files_processed).alias("files_processed"),
+    ).write.mode("append").parquet(f"{root}/manifest")
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str, org_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    return df if org_id is None else df.where(F.col("org_id") == org_id)
+    """The stored table ``name`` as of each organization's last load; ``org_id`` prunes to one."""
+    root = root.rstrip("/")
+    current = _manifest(spark, root).select("org_id", "load_id")
+    df = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    if org_id is not None:
+        df, current = df.where(F.col("org_id") == org_id), current.where(F.col("org_id") == org_id)
+    return df.join(current, ["org_id", "load_id"], "left_semi").drop("load_id")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """All loads so far."""
+    return spark.read.schema(_MANIFEST).parquet(f"{root.rstrip('/')}/manifest")
 
 
 def freshness(manifest: DataFrame) -> DataFrame:

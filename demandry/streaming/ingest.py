@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from demandry import schema as S
 from demandry.operators import build as B
 from demandry.operators import clean as C
-from demandry.session import grouped_for
-from demandry.sources.files import CsvLayout
+from demandry.session import grouped_for, materialize
+from demandry.sources.files import CsvLayout, read_text_csv, require
+
+
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 @dataclass(frozen=True)
@@ -29,55 +34,72 @@ def _overwrite(df: DataFrame, path: str, by: list[str]) -> None:
     grouped_for(df, *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _months(spark: SparkSession, store: Store, name: str, schema: StructType, months: list[dt.date]) -> DataFrame:
+    """The rows of some months; only their folders are listed, and a month without rows has none."""
+    base = store.path(name)
+    months = [m for m in months if _exists(spark, f"{base}/month={m}")]
+    if not months:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/month={m}" for m in months])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; planning a read lists it, and runs no job."""
+    try:
+        spark.read.format("binaryFile").schema(_FILES).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def apply_batch(raw: DataFrame, batch_id: int, store: Store) -> None:
     """Add one batch of raw rows and rebuild demand and stock of its months.
 
     Every write replaces whole partitions (the batch's own slice of the ledger, the touched months of
-    the tables, the batch's audit row), so running the same batch again changes nothing.
+    the tables, the batch's audit row), so running the same batch again changes nothing. A batch without any valid
+    row, or without sales, is a batch like any other.
     """
     spark = raw.sparkSession
-    seen = Observation()
     if "row_seq" not in raw.columns:
         # Rows of one file split stay in one task and in order, so this numbers them within the split.
         raw = raw.withColumn("row_seq", F.monotonically_increasing_id())
-    cleaned = C.clean(raw.observe(seen, F.count("*").alias("n_raw"))).withColumns(
-        {"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)}
-    )
-    _overwrite(cleaned, store.path("ledger"), ["batch_id", "month"])
-    ledger = spark.read.parquet(store.path("ledger"))
-    mine = ledger.where(F.col("batch_id") == batch_id)
-    # At most as many rows as there are months; the join prunes the ledger's month partitions.
-    months = F.broadcast(mine.select("month").distinct())
-    touched = ledger.join(months, "month", "left_semi")
-    order = ["date", "batch_id", *[c for c in ("source_file", "row_block", "row_seq") if c in ledger.columns]]
-    _overwrite(B.demand_monthly(touched), store.path("demand_monthly"), ["month"])
-    _overwrite(B.stock_monthly(touched, order=order), store.path("stock_monthly"), ["month"])
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    demand = spark.read.parquet(store.path("demand_monthly")).join(months, "month", "left_semi")
-    stock = spark.read.parquet(store.path("stock_monthly")).join(months, "month", "left_semi")
-    audit = count(mine, "n_clean").select(
+    # Written once: the files are parsed once, and what follows has its rows and months at hand.
+    cleaned = materialize(C.clean(raw).withColumns({"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)}), "batch")
+    kept = cleaned.agg(F.count("*").alias("n"), F.collect_set("month").alias("months")).first()
+    months = sorted(kept["months"])
+    _overwrite(cleaned, store.path("ledger"), ["month", "batch_id"])
+    touched = _months(spark, store, "ledger", cleaned.schema, months)
+    order = ["date", "batch_id", *[c for c in ("source_no", "source_path", "source_file", "row_block", "row_seq") if c in touched.columns]]
+    tables = {"demand_monthly": B.demand_monthly(touched), "stock_monthly": B.stock_monthly(touched, order=order)}
+    counts = {}
+    for name, df in tables.items():
+        _overwrite(df, store.path(name), ["month"])
+        counts[name] = _months(spark, store, name, df.schema, months).count()
+    audit = spark.range(1).select(
         F.lit(batch_id).alias("batch_id"),
-        F.lit(seen.get["n_raw"]).cast("bigint").alias("n_raw"),
-        "n_clean",
-        count(demand, "v").scalar().alias("n_demand"),
-        count(stock, "v").scalar().alias("n_stock"),
+        F.lit(raw.count()).cast("bigint").alias("n_raw"),
+        F.lit(kept["n"]).cast("bigint").alias("n_clean"),
+        F.lit(counts["demand_monthly"]).cast("bigint").alias("n_demand"),
+        F.lit(counts["stock_monthly"]).cast("bigint").alias("n_stock"),
         F.current_timestamp().alias("processed_at"),
     )
     _overwrite(audit, store.path("audit"), ["batch_id"])
 
 
-def ingest(spark: SparkSession, inbox: str, store: Store, layout: CsvLayout = CsvLayout(), columns: list[str] = S.LEDGER_COLUMNS) -> StreamingQuery:  # noqa: B008
-    """Process every file not seen before, then stop. Files already recorded in the checkpoint are skipped."""
-    stream = (
-        spark.readStream.schema(S.text_schema(columns)).option("header", True).option("sep", layout.sep)
-        .option("encoding", layout.encoding).csv(inbox)
-        .select(
-            "*",
-            F.col("_metadata.file_name").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("row_block"),
-        )
-    )
-    return (
-        stream.writeStream.foreachBatch(lambda df, i: apply_batch(df, i, store))
-        .option("checkpointLocation", store.path("_checkpoint")).trigger(availableNow=True).start()
-    )
+def ingest(spark: SparkSession, inbox: str, store: Store, layout: CsvLayout = CsvLayout()) -> StreamingQuery:  # noqa: B008
+    """Process every file not seen before, then stop. Files already recorded in the checkpoint are skipped.
+
+    The stream says which files are new; their rows are read by header name, as everywhere, so files of one batch may
+    order their columns differently.
+    """
+    new = spark.readStream.schema(_FILES).format("binaryFile").load(inbox).select("path")
+
+    def batch(found: DataFrame, batch_id: int) -> None:
+        paths = sorted(r["path"] for r in found.collect())  # one row per new file
+        if paths:
+            raw = read_text_csv(spark, paths, layout.sep, layout.encoding)
+            apply_batch(require(raw, list(layout.mapping)).withColumnsRenamed(layout.mapping), batch_id, store)
+
+    return new.writeStream.foreachBatch(batch).option("checkpointLocation", store.path("_checkpoint")).trigger(availableNow=True).start()

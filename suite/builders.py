@@ -197,11 +197,12 @@ def demand_groupings(spark, sf):
 
 @query(
     "union_of_years",
-    T.chain(T.LEDGER) + " SELECT year, kind, count(*) AS n_rows, sum(qty) AS qty FROM ledger WHERE year BETWEEN 1996 AND 1999 GROUP BY year, kind",
+    T.chain(T.LEDGER) + " SELECT year, kind, count(*) AS n_rows, sum(qty) AS qty FROM ledger GROUP BY year, kind",
 )
 def union_of_years(spark, sf):
     rows = ledger(spark, sf, "year", "kind", "qty", "doc")
-    parts = [rows.where(F.col("year") == y) for y in (1996, 1997)] + [rows.where(F.col("year") == y).drop("doc") for y in (1998, 1999)]
+    years = range(1995, 2002)  # all years of the tables; the later ones lack a column
+    parts = [rows.where(F.col("year") == y) if y < 1998 else rows.where(F.col("year") == y).drop("doc") for y in years]
     return B.union_ledgers(parts).groupBy("year", "kind").agg(F.count("*").alias("n_rows"), F.sum("qty").alias("qty"))
 
 

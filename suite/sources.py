@@ -88,9 +88,11 @@ def legacy_csv(spark, sf):
 
 def _legacy_run(spark, sf):
     path = fresh_path(spark, "legacy")
-    rows = ledger(spark, sf, "product_id", "date", "doc", "doc_no", "warehouse", "in_units", "out_units", "qty")
+    rows = ledger(spark, sf, "product_id", "date", "doc", "doc_no", "warehouse", "in_units", "out_units", "qty", "row_seq")
     names = {"product_id": "Codigo", "date": "Fecha", "doc": "Documento", "doc_no": "Numero", "warehouse": "Bodega", "in_units": "Entrada_unid", "out_units": "Salida_unid", "qty": "Saldo_unid"}
-    files.write_csv(rows.withColumnsRenamed(names), path, sep=";", decimal=",")
+    # The files hold the movements in order, so those of one day have one too.
+    placed = rows.repartitionByRange(4, "date", "row_seq").sortWithinPartitions("date", "row_seq").drop("row_seq")
+    files.write_csv(placed.withColumnsRenamed(names), path, sep=";", decimal=",")
     return load.run(spark, [path])
 
 
@@ -102,16 +104,11 @@ def legacy_to_demand(spark, sf):
 @query(
     "legacy_to_stock",
     T.chain(T.LEDGER)
-    + """, last AS (SELECT product_id, warehouse, month, max(date) AS date FROM ledger GROUP BY product_id, warehouse, month)
-    SELECT l.product_id, l.warehouse, l.month, l.qty AS stock FROM ledger l JOIN last ON l.product_id = last.product_id AND l.warehouse = last.warehouse AND l.date = last.date
-    QUALIFY count(*) OVER (PARTITION BY l.product_id, l.warehouse, l.month) = 1""",
+    + """, ends AS (SELECT *, row_number() OVER (PARTITION BY product_id, warehouse, month ORDER BY date DESC, ok DESC, ln DESC, pk DESC, sk DESC) AS k FROM ledger)
+    SELECT product_id, warehouse, month, qty AS stock FROM ends WHERE k = 1""",
 )
 def legacy_to_stock(spark, sf):
-    r = _legacy_run(spark, sf)
-    # Files hold no order within a day here: compare where the month's last day has one movement.
-    days = r.movements.groupBy("product_id", "warehouse", "month", "date").agg(F.count("*").alias("n"))
-    single = days.groupBy("product_id", "warehouse", "month").agg(F.max_by("n", "date").alias("n")).where("n = 1").drop("n")
-    return r.stock_monthly.join(single, ["product_id", "warehouse", "month"], "left_semi").select("product_id", "warehouse", "month", "stock")
+    return _legacy_run(spark, sf).stock_monthly.select("product_id", "warehouse", "month", "stock")
 
 
 @query(
@@ -157,7 +154,7 @@ def parquet_by_tenant(spark, sf):
 def parquet_export(spark, sf):
     path = fresh_path(spark, "processed")
     files.write_parquet(C.demand(spark, sf), path)
-    return files.read_parquet(spark, path)
+    return files.read_parquet_all(spark, path)
 
 
 @query("csv_export", T.chain(T.LEDGER, T.DEMAND) + " SELECT * FROM demand")
@@ -172,7 +169,7 @@ def csv_export(spark, sf):
 def split_by_year(spark, sf):
     path = fresh_path(spark, "by-year")
     files.split_by_year(ledger(spark, sf, "date", "product_id", "qty"), path)
-    return files.read_parquet(spark, path).groupBy("year").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.min("date").alias("first_date"))
+    return files.read_parquet_all(spark, path).groupBy("year").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.min("date").alias("first_date"))
 
 
 @query(
@@ -184,32 +181,39 @@ def split_by_year(spark, sf):
 def split_in_parts(spark, sf):
     path = fresh_path(spark, "parts")
     files.split_in_parts(ledger(spark, sf, "date", "qty", "row_seq"), path, 3, [F.asc("date"), F.asc("row_seq")])
-    return files.read_parquet(spark, path).groupBy("part").agg(
+    return files.read_parquet_all(spark, path).groupBy("part").agg(
         F.count("*").alias("n"), F.sum("qty").alias("qty"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
 
 
 @query(
     "snapshot_per_organization",
-    T.chain(T.LEDGER) + " SELECT org_id, product_id, month, sum(qty) * CASE WHEN org_id = 'org1' THEN 2 ELSE 1 END AS demand FROM ledger WHERE kind = 'sale' GROUP BY org_id, product_id, month",
+    T.chain(T.LEDGER) + " SELECT org_id, product_id, month, sum(qty) * CASE WHEN org_id = 'org1' THEN 2 ELSE 1 END AS demand FROM ledger WHERE kind = 'sale' AND org_id <> 'org2' GROUP BY org_id, product_id, month",
 )
 def snapshot_per_organization(spark, sf):
     root = fresh_path(spark, "snapshot")
     rows = ledger(spark, sf, "org_id", "product_id", "month", "kind", "qty").where(F.col("kind") == S.SALE)
     demand = rows.groupBy("org_id", "product_id", "month").agg(F.sum("qty").alias("demand"))
     snapshot.save_snapshot({"demand_monthly": demand}, root, demand, 6)
-    # A second run for one organization replaces only that one.
+    # A second run for two organizations replaces only those, one of them by nothing.
     again = demand.where(F.col("org_id") == "org1").withColumn("demand", F.col("demand") * 2)
-    snapshot.save_snapshot({"demand_monthly": again}, root, again, 7)
+    both = demand.where(F.col("org_id").isin("org1", "org2"))
+    snapshot.save_snapshot({"demand_monthly": again}, root, both, 7)
     return snapshot.load_snapshot(spark, root, "demand_monthly").select("org_id", "product_id", "month", "demand")
 
 
-@query("snapshot_freshness", T.chain(T.LEDGER) + " SELECT org_id, CAST(max(year) AS INTEGER) AS files_processed, max(date) AS updated_at FROM ledger GROUP BY org_id")
+@query(
+    "snapshot_freshness",
+    T.chain(T.LEDGER) + " SELECT DISTINCT org_id, CASE WHEN org_id IN ('org1', 'org2') THEN 7 ELSE 6 END::INTEGER AS files_processed, true AS data_loaded FROM ledger",
+)
 def snapshot_freshness(spark, sf):
-    # One load per organization and year, dated by its last movement.
-    rows = ledger(spark, sf, "org_id", "year", "date")
-    loads = rows.groupBy("org_id", "year").agg(F.max("date").alias("updated_at")).withColumnRenamed("year", "files_processed")
-    return snapshot.freshness(loads)
+    root = fresh_path(spark, "snapshot")
+    rows = ledger(spark, sf, "org_id", "product_id", "qty")
+    totals = rows.groupBy("org_id", "product_id").agg(F.sum("qty").alias("qty"))
+    snapshot.save_snapshot({"totals": totals}, root, totals, 6)
+    snapshot.save_snapshot({"totals": totals}, root, totals.where(F.col("org_id").isin("org1", "org2")), 7)
+    fresh = snapshot.freshness(snapshot.manifest(spark, root))
+    return fresh.select("org_id", "files_processed", F.col("updated_at").isNotNull().alias("data_loaded"))
 
 
 _FIELDS = [("product_id", "string"), ("date", "date"), ("kind", "string"), ("qty", "double"), ("doc_no", "string")]
@@ -225,15 +229,20 @@ def table_description(spark, sf):
     return A.describe_table(spark.table("movements_described")).select("column", "type", "n_rows")
 
 
-@query("file_inventory")
+@query(
+    "file_inventory",
+    T.chain(T.LEDGER) + " SELECT DISTINCT org_id, t AS file_type, 1::BIGINT AS n_files, true AS has_bytes FROM ledger, (VALUES ('raw'), ('processed')) v(t)",
+)
 def file_inventory(spark, sf):
     root = fresh_path(spark, "store")
     rows = ledger(spark, sf, "org_id", "year", "product_id", "qty")
-    for org in ("org0", "org1"):
-        mine = rows.where(F.col("org_id") == org)
-        files.write_csv(mine, f"{root}/{org}/raw")
-        files.write_parquet(mine, f"{root}/{org}/processed")
-    return files.inventory_totals(files.inventory(spark, root))
+    for i in range(5):
+        mine = rows.where(F.col("org_id") == f"org{i}")
+        files.write_csv(mine.coalesce(1), f"{root}/org{i}/raw")
+        files.write_parquet(mine.coalesce(1), f"{root}/org{i}/processed")
+    found = files.inventory(spark, root).where(F.col("file_key").rlike("part-[^/]*(csv|parquet)$"))
+    totals = files.inventory_totals(found)
+    return totals.select("org_id", "file_type", "n_files", (F.col("total_bytes") > 0).alias("has_bytes"))
 
 
 @query(
@@ -274,3 +283,88 @@ def erp_report(spark, sf):
     return got.groupBy("code", "description").agg(
         F.count("*").alias("n"), F.sum(F.col("units_in").try_cast("double")).alias("units_in"), F.sum(F.col("units_out").try_cast("double")).alias("units_out")
     )
+
+
+def _two_orders(rows, root):
+    """One folder whose files differ in the order of their columns, as two appends."""
+    names = rows.columns
+    for part, cols in ((rows.where("even"), names), (rows.where("NOT even"), names[::-1])):
+        part.select(*[c for c in cols if c != "even"]).write.mode("append").option("header", True).csv(root)
+
+
+@query(
+    "csv_header_orders",
+    T.chain(T.LEDGER)
+    + " SELECT product_id, kind, count(*) AS n, sum(qty) AS qty, sum(CASE WHEN ok % 2 = 0 THEN 2 * qty ELSE 3 * qty END) AS mixed, CAST(sum(ok) AS BIGINT) AS cost FROM ledger GROUP BY product_id, kind",
+)
+def csv_header_orders(spark, sf):
+    """Columns go by name, also within a folder; a column whose name begins like a blank one's is kept."""
+    path = fresh_path(spark, "orders")
+    rows = ledger(spark, sf, "product_id", "product_name", "date", "kind", "qty", "row_seq")
+    named = rows.select(
+        F.col("date").cast("string").alias("Fecha"), F.col("product_id").alias("Producto_id"), F.col("product_name").alias("Producto_nombre"),
+        F.when(F.col("kind") == S.SALE, S.SALE_LABEL).otherwise(S.PRODUCTION_LABEL).alias("Tipo_movimiento"), F.col("qty").alias("Cantidad"),
+        (3 * F.col("qty")).alias("Stock_anterior"), (2 * F.col("qty")).alias("Stock_posterior"), F.col("row_seq.l_orderkey").alias("_cost"),
+        (F.col("row_seq.l_orderkey") % 2 == 0).alias("even"),
+    )
+    _two_orders(named, path)
+    got = K.typed(files.read_ledger(spark, [path]))
+    mixed = F.when(F.col("_cost").cast("long") % 2 == 0, F.col("stock_after")).otherwise(F.col("stock_before"))
+    return got.groupBy("product_id", "kind").agg(
+        F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum(mixed).alias("mixed"), F.sum(F.col("_cost").cast("long")).alias("cost")
+    )
+
+
+@query(
+    "legacy_header_orders",
+    T.chain(T.LEDGER) + " SELECT product_id, month, sum(in_units) AS units_in, sum(out_units) AS units_out, count(*) AS n FROM ledger GROUP BY product_id, month",
+)
+def legacy_header_orders(spark, sf):
+    path = fresh_path(spark, "legacy")
+    rows = ledger(spark, sf, "product_id", "date", "doc", "in_units", "out_units", "qty")
+    names = {"product_id": "Codigo", "date": "Fecha", "doc": "Documento", "in_units": "Entrada_unid", "out_units": "Salida_unid", "qty": "Saldo_unid"}
+    old = rows.withColumnsRenamed(names)
+    files.write_csv(old.where(F.day("Fecha") <= 15), f"{path}/a", sep=";", decimal=",")
+    files.write_csv(old.where(F.day("Fecha") > 15).select(*old.columns[::-1]), f"{path}/b", sep=";", decimal=",")
+    moves = load.run(spark, [f"{path}/b", f"{path}/a"]).movements
+    return moves.groupBy("product_id", "month").agg(F.sum("in_units").alias("units_in"), F.sum("out_units").alias("units_out"), F.count("*").alias("n"))
+
+
+@query(
+    "unpadded_dates",
+    T.chain(T.LEDGER) + " SELECT date, year, CAST(NULL AS INTEGER) AS long_year, count(*) AS n FROM ledger GROUP BY date, year",
+)
+def unpadded_dates(spark, sf):
+    """Days and months without leading zeros, in both formats, and years too long to be any."""
+    path = fresh_path(spark, "dates")
+    rows = ledger(spark, sf, "product_id", "date", "year", "qty", "row_seq")
+    day, month, year = F.day("date"), F.month("date"), F.col("year")
+    written = F.when(F.col("row_seq.l_orderkey") % 2 == 0, F.concat_ws("/", day, month, year)).otherwise(F.concat_ws("-", year, month, day))
+    raw = rows.select(
+        written.alias("Fecha"), F.col("product_id").alias("Producto_id"), F.lit("n").alias("Producto_nombre"), F.lit(S.SALE_LABEL).alias("Tipo_movimiento"),
+        F.col("qty").alias("Cantidad"), F.lit("").alias("Stock_anterior"), F.lit("").alias("Stock_posterior"), F.concat("year", F.lit("0000000")).alias("Año"),
+    )
+    files.write_csv(raw, path)
+    rows = load.run(spark, [path], keep=False).movements
+    return rows.groupBy("date", F.year("date").alias("year"), F.col("year").alias("long_year")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "ties_in_given_order",
+    T.chain(T.LEDGER)
+    + """, ends AS (SELECT *, row_number() OVER (PARTITION BY product_id, month ORDER BY date DESC, ok % 2 DESC, ok DESC, ln DESC, pk DESC, sk DESC) AS k FROM ledger)
+    SELECT product_id, month, qty AS stock FROM ends WHERE k = 1""",
+)
+def ties_in_given_order(spark, sf):
+    """Of movements on one day, the last one in the order of the files as given, whatever their names, is the last."""
+    path = fresh_path(spark, "ties")
+    rows = ledger(spark, sf, "product_id", "date", "qty", "row_seq")
+    raw = rows.select(
+        F.col("date").cast("string").alias("Fecha"), F.col("product_id").alias("Producto_id"), F.lit("n").alias("Producto_nombre"), F.lit("Otro").alias("Tipo_movimiento"),
+        F.col("qty").alias("Cantidad"), F.lit("").alias("Stock_anterior"), F.col("qty").alias("Stock_posterior"), "row_seq",
+    )
+    # Given as z, then b; each holds its rows in order.
+    for name, rest in (("z", 0), ("b", 1)):
+        mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange(4, "Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
+        files.write_csv(mine.drop("row_seq"), f"{path}/{name}")
+    return load.run(spark, [f"{path}/z", f"{path}/b"], keep=False).stock_monthly.select("product_id", "month", "stock")

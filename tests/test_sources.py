@@ -24,7 +24,7 @@ HEAD = "Fecha,Producto_id,Producto_nombre,Tipo_movimiento,Cantidad,Stock_anterio
 def test_headers_are_tidied_and_rows_keep_their_order(spark, tmp_path):
     p = lines(tmp_path / "a.csv", " Fecha ,Producto_id,Unnamed: 2", "2024-01-01,P1,x", "2024-01-01,P2,y")
     df = files.read_text_csv(spark, p)
-    assert df.columns == ["Fecha", "Producto_id", "source_file", "row_block", "row_seq"]
+    assert df.columns == ["Fecha", "Producto_id", "source_file", "source_no", "source_path", "row_block", "row_seq"]
     assert [r.Producto_id for r in df.orderBy("row_seq").collect()] == ["P1", "P2"]
     assert {r.source_file for r in df.collect()} == {"a.csv"}
 
@@ -136,12 +136,11 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
     store = ingest.Store(str(tmp_path / "store"))
-    cols = HEAD.split(",")
     lines(inbox / "a.csv", HEAD, "2024-01-05,P1,n,Venta,5,10,5")
-    ingest.ingest(spark, str(inbox), store, columns=cols).awaitTermination()
+    ingest.ingest(spark, str(inbox), store).awaitTermination()
     lines(inbox / "b.csv", HEAD, "2024-01-09,P1,n,Venta,1,5,4")
-    ingest.ingest(spark, str(inbox), store, columns=cols).awaitTermination()
-    ingest.ingest(spark, str(inbox), store, columns=cols).awaitTermination()
+    ingest.ingest(spark, str(inbox), store).awaitTermination()
+    ingest.ingest(spark, str(inbox), store).awaitTermination()
     assert spark.read.parquet(store.path("ledger")).count() == 2
     assert spark.read.parquet(store.path("demand_monthly")).first().demand == 6.0
 
@@ -160,6 +159,72 @@ def test_live_view_drops_late_rows(spark, tmp_path):
     assert got == {(dt.date(2024, 1, 1), "a"): (2, 3.0), (dt.date(2024, 1, 8), "a"): (1, 5.0)}
 
 
+def test_ingest_of_batches_without_sales_or_rows(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    store = ingest.Store(str(tmp_path / "store"))
+    lines(inbox / "a.csv", HEAD, "bad,P1,n,Venta,5,10,5")
+    ingest.ingest(spark, str(inbox), store).awaitTermination()
+    lines(inbox / "b.csv", HEAD, "2024-01-05,P1,n,Producción,5,10,15")
+    ingest.ingest(spark, str(inbox), store).awaitTermination()
+    swapped = HEAD.replace("Producto_id,Producto_nombre", "Producto_nombre,Producto_id")
+    lines(inbox / "c.csv", swapped, "2024-01-06,name,P1,Venta,4,15,11")
+    ingest.ingest(spark, str(inbox), store).awaitTermination()
+    audit = {r.batch_id: (r.n_raw, r.n_clean, r.n_demand, r.n_stock) for r in spark.read.parquet(store.path("audit")).collect()}
+    assert audit == {0: (1, 0, 0, 0), 1: (1, 1, 0, 1), 2: (1, 1, 1, 1)}
+    assert [tuple(r) for r in spark.read.parquet(store.path("demand_monthly")).select("product_id", "demand").collect()] == [("P1", 4.0)]
+    assert [tuple(r) for r in spark.read.parquet(store.path("stock_monthly")).select("product_id", "stock").collect()] == [("P1", 11.0)]
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    """Header orders within a folder, a column that begins like a blank one's name, and the order of files as given."""
+    folder = tmp_path / "f"
+    folder.mkdir()
+    lines(folder / "a.csv", "x,_cost,y,", "1,2,3,")
+    lines(folder / "b.csv", "y,UNNAMED: 7,x", "30,q,10")
+    got = files.read_text_csv(spark, str(folder)).select("x", "y", "_cost").orderBy("x").collect()
+    assert [tuple(r) for r in got] == [("1", "3", "2"), ("10", "30", None)]
+    z = lines(tmp_path / "z.csv", HEAD, "2024-01-05,P1,n,Venta,1,2,1")
+    b = lines(tmp_path / "b.csv", HEAD, "2024-01-05,P1,n,Venta,1,1,0")
+    assert load.run(spark, [z, b]).stock_monthly.first().stock == 0.0
+    assert load.run(spark, [b, z]).stock_monthly.first().stock == 1.0
+    assert "not found" in load.run(spark, [z, str(tmp_path / "none.csv")]).error
+
+
+def test_legacy_files_of_two_header_orders(spark, tmp_path):
+    one = lines(tmp_path / "1.csv", "Codigo;Fecha;Documento;Entrada_unid;Salida_unid;Saldo_unid", "P1;2024-01-01;VO;0;1;9")
+    two = lines(tmp_path / "2.csv", "Codigo;Fecha;Documento;Salida_unid;Entrada_unid;Saldo_unid", "P2;2024-01-01;VO;5;0;9")
+    moves = load.run(spark, [one, two]).movements
+    assert {(r.product_id, r.in_units, r.out_units) for r in moves.collect()} == {("P1", 0.0, 1.0), ("P2", 0.0, 5.0)}
+
+
+def test_codes_like_headings_are_data(spark, tmp_path):
+    p = lines(tmp_path / "erp.csv", "Período: 2025;;", "Código;Descripción;Unidades", "CODIGO-7;Caja;3", "PERIODOR;Tapa;1")
+    got = files.read_erp_report(spark, p, ["code", "description", "units"], "UTF-8").select("code").collect()
+    assert {r.code for r in got} == {"CODIGO-7", "PERIODOR"}
+
+
+def test_an_overlong_year_is_null(spark, tmp_path):
+    p = lines(tmp_path / "y.csv", HEAD + ",Año", "5/1/2024,P1,n,Venta,1,2,1,99999999999", "2024-1-5,P1,n,Venta,1,1,0,2024")
+    r = load.run(spark, [p]).movements.orderBy("row_seq").collect()
+    assert [(x.date, x.year) for x in r] == [(dt.date(2024, 1, 5), None), (dt.date(2024, 1, 5), 2024)]
+
+
+def test_snapshot_can_empty_an_organization(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "org_id string, v int")
+    root = str(tmp_path / "snap")
+    snapshot.save_snapshot({"t": df}, root, df, 1)
+    snapshot.save_snapshot({"t": df.limit(0)}, root, df.where("org_id = 'a'"), 2)
+    assert [tuple(r) for r in snapshot.load_snapshot(spark, root, "t").select("org_id", "v").collect()] == [("b", 2)]
+
+
+def test_inventory_of_a_root_whose_name_repeats(spark, tmp_path):
+    root = tmp_path / "data" / "x" / "data"
+    (root / "o1" / "raw").mkdir(parents=True)
+    lines(root / "o1" / "raw" / "a.csv", "a")
+    assert [r.org_id for r in files.inventory(spark, str(root)).collect()] == ["o1"]
+
+
 def test_visibility(spark):
     rows = spark.createDataFrame([("o1", 1), ("o2", 2)], "org_id string, v int")
     links = spark.createDataFrame([("u", "o1", "viewer"), ("m", "o2", "master_admin")], "user_id string, org_id string, role string")
