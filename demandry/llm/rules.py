@@ -74,12 +74,12 @@ def repeated_words(word_list: Column) -> Column:
 
     Windows are compared by 64-bit hash inside one document."""
 
-    def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h))
-        return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(windows, count))
+    def windows(h: Column) -> Column:
+        each = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+        return F.slice(each, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
 
-    return let(word_list, of)
+    count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h))
+    return let(let(F.transform(word_list, lambda w: F.xxhash64(w)), windows), count)
 
 
 def counts(text: Column) -> Column:
@@ -141,7 +141,7 @@ def certify(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", stra
     ]
     by_stratum = held.groupBy(stratum).agg(F.count("*").alias("n"), *rejected)
     # One row per stratum, so few that the count of strata may be a plain aggregate beside it.
-    level = by_stratum.agg((F.lit(delta) / (F.count("*") * len(rules))).alias("level"))
+    level = by_stratum.agg((F.lit(delta) / (F.greatest(F.count("*"), F.lit(1)) * len(rules))).alias("level"))
     tested = by_stratum.join(F.broadcast(level))  # one row
 
     def chosen(name: str, rule: Rule) -> Column:
