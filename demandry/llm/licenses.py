@@ -1,9 +1,9 @@
 """Licences of files: by their own header lines, else by the nearest directory above with a licence file.
 
 Lines and whole files are compared with licence templates by the cosine of sparse TF-IDF vectors over lower-case
-words. A line that shares none of a template's heaviest words cannot reach the threshold (their share of the
-template's weight bounds the cosine), so a search for those words picks the lines that are compared; nothing above
-the threshold is missed. A file all of whose words together resemble a template, or that is named LICENSE, LICENCE,
+words. A line that shares none of a template's telling words cannot reach the threshold (the weight of the words that
+are left bounds the cosine), so a search for those words picks the lines that are compared; nothing above the
+threshold is missed. A file all of whose words together resemble a template, or that is named LICENSE, LICENCE,
 COPYING or NOTICE and has such a line, is a licence file: it gives its licence to its directory. Each directory
 inherits from its nearest ancestor by a join on paths, and files take it from their directory.
 
@@ -25,19 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandry.llm.common import let
+from demandry.session import materialize
 
 # Short notices of widely used licences; fixed values, more may be passed.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "BSD 3-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "Redistributions in binary form must reproduce the above copyright notice."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work.",),
+    "CC0-1.0": ("CC0 1.0 Universal Public Domain Dedication",),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy."),
+    "MPL-2.0": ("Subject to the terms of the Mozilla Public License, version 2.0.",),
 }
+# Common words of some languages; fixed values. They are the last to be searched for, whatever their weight.
+_COMMON = set(
+    "a above all an and any are as at be by copy de der des die en es est et form for free from general has in is la le les mit must of on or "
+    "person que the this to un une und use with without work".split()
+)
 COSINE = 0.75
 SALTS = 16
 _NAMES = r"(?i)(^|/)(LICEN[SC]E|COPYING|NOTICE)(\.[^/]*)?$"
@@ -68,7 +74,7 @@ class Model:
         out: set[str] = set()
         for _, v in self.vectors:
             rest = 1.0
-            for w, x in sorted(v.items(), key=lambda e: (-e[1], e[0])):
+            for w, x in sorted(v.items(), key=lambda e: (e[0] in _COMMON, -e[1], e[0])):
                 if math.sqrt(max(rest, 0)) < self.cosine - 1e-9:
                     break
                 out.add(w)
@@ -81,21 +87,14 @@ def tokens(text: Column) -> Column:
 
 
 def _counted(words: Column) -> Column:
-    """(word, times) of each different word."""
-    ordered = F.array_sort(words)
-    none = F.array().cast("array<struct<w:string,n:int>>")
-    state = F.struct(none.alias("done"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"))
+    """(w, n) of each different word and how often it occurs: runs of the sorted words."""
 
-    def close(acc: Column) -> Column:
-        return F.when(acc["w"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["w"].alias("w"), acc["n"].alias("n")))))
+    def runs(ordered: Column) -> Column:
+        begins = F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), F.struct(w.alias("w"), i.alias("i"))))
+        end = lambda all_, j: F.coalesce(F.get(all_, j + 1)["i"], F.size(ordered))
+        return let(F.filter(begins, lambda r: r.isNotNull()), lambda rs: F.transform(rs, lambda r, j: F.struct(r["w"].alias("w"), (end(rs, j) - r["i"]).alias("n"))))
 
-    def add(acc: Column, w: Column) -> Column:
-        same = F.coalesce(acc["w"] == w, F.lit(False))
-        return F.struct(
-            F.when(same, acc["done"]).otherwise(close(acc)).alias("done"), w.alias("w"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n")
-        )
-
-    return F.aggregate(ordered, state, add, close)
+    return let(F.array_sort(words), runs)
 
 
 def _dot(bag: Column, vector: Mapping[str, float]) -> Column:
@@ -111,10 +110,9 @@ def _best(words: Column, model: Model) -> Column:
 
     def scores(bag: Column) -> Column:
         norm = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda acc, e: acc + e["x"] * e["x"]))
-        each = []
-        for name, v in model.vectors:
-            each.append(F.struct((-F.round(_dot(bag, v) / norm, 9)).alias("minus"), F.lit(name).alias("license")))
-        return F.when(F.size(bag) > 0, F.array_min(F.array(*each)))
+        near = lambda some: F.array_min(F.array(*[F.struct((-F.round(_dot(some, v) / norm, 9)).alias("minus"), F.lit(name).alias("license")) for name, v in model.vectors]))
+        shared = F.filter(bag, lambda e: F.array_contains(F.array(*[F.lit(w) for w in model.idf]), e["w"]))
+        return F.when(F.size(bag) > 0, let(shared, near))
 
     return let(weighted, scores)
 
@@ -146,7 +144,8 @@ def above(place: Column) -> Column:
 def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str = "text", model: Model | None = None) -> DataFrame:
     """Per file: key, path, license, score (of its own line), origin (file, header, inherited, none) and license_from."""
     model = model or Model()
-    rows = own(files, key=key, path=path, text=text, model=model)
+    # Used three times below, and narrow: written once.
+    rows = materialize(own(files, key=key, path=path, text=text, model=model), "licenses")
     is_file = F.col("own").isNotNull() & ((-F.col("whole.minus") >= F.lit(model.cosine)) | F.coalesce(F.col("path").rlike(_NAMES), F.lit(False)))
     rows = rows.withColumn("is_file", is_file).withColumn("place", F.array_join(F.filter(F.split(directory(F.col("path")), "/", -1), lambda p: p != ""), "/"))
     given = rows.where("is_file").where(F.col("place").isNotNull()).groupBy("place").agg(F.min(F.struct("own.minus", "own.license", "path")).alias("given"))
