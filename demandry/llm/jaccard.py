@@ -1,7 +1,7 @@
 """Documents whose sets of word shingles are alike: an exact Jaccard join, heavy and light.
 
-Sets of equal documents are joined by digest first; from there on a node is a different set. How often a shingle
-occurs in the corpus (see blocks) orders each set from rare to common.
+Equal texts and equal sets are joined by digest first; from there on a node is a different set. How many different
+texts of the corpus have a shingle (see blocks) orders each set from rare to common.
 
 * **Light** sets, up to a boundary, list their subsets of just the size that a partner would have to share: two sets
   that share such a subset are linked. Of all sets with one subset, each is tied to the smallest, which links the
@@ -38,6 +38,7 @@ from demandry.session import materialize
 
 SHINGLE = 3
 PERCENT = 90
+_LEADS = -1  # marks what says which rows stand for their text, among the answers to a block
 MOST_LIGHT = 40  # no boundary above this: subsets of large sets are too many
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
@@ -98,14 +99,29 @@ class _Sets:
         self.nodes = [a.tobytes() for a in np.stack(digests, 1).astype(">u8")]
 
 
-def _set_rows(x: _Sets, rows: pa.Table, codes: np.ndarray, place: np.ndarray, t: Threshold) -> pa.Table:
-    """One row per document; the set itself with the first document of each different set."""
-    code = codes[place] if len(place) else np.empty(0, np.uint8)
+def _leads(docs: DataFrame, key: str, text: str, shape: B.Layout) -> DataFrame:
+    """The least key of each different text, in the form of an answer to its block; a hot text is aggregated first."""
+    rows = B.dealt(docs, key, text, shape).select("block", "key", F.md5(F.col("text").cast("binary")).alias("digest"))
+    least = rows.groupBy("digest").agg(F.min(F.struct("key", "block")).alias("l"))
+    return least.select(F.lit(_LEADS).alias("part"), "l.block", F.col("l.key").cast("string").cast("binary").alias("payload"))
+
+
+def _is_lead(rows: pa.Table, got: pa.Table) -> np.ndarray:
+    """Which rows of a block stand for their text. (Texts with one key may all do so; that costs no more than time.)"""
+    mine = got.filter(pa.array(got["part"].to_numpy() == _LEADS))["payload"].to_pylist()
+    return np.isin(rows["key"].to_numpy(), np.array([int(x) for x in mine], np.int64))
+
+
+def _set_rows(x: _Sets, rows: pa.Table, leads: np.ndarray, codes: np.ndarray, place: np.ndarray, t: Threshold) -> pa.Table:
+    """One row per document; the set itself with the first document of each different set among those of ``leads``."""
+    code = np.zeros(len(x.shingles), np.uint8)
+    code[leads[x.of]] = codes[place] if len(place) else 0
     seen: set[bytes] = set()
     lead, prefix_t, prefix_p, prefix_n, parity, members = [], [], [], [0], [], []
-    for i, (node, n, a, b) in enumerate(zip(x.nodes, x.sizes.tolist(), x.first.tolist(), x.last.tolist())):
-        first = n > 0 and node not in seen
-        seen.add(node)
+    for node, n, a, b, stands in zip(x.nodes, x.sizes.tolist(), x.first.tolist(), x.last.tolist(), leads.tolist()):
+        first = stands and n > 0 and node not in seen
+        if first:
+            seen.add(node)
         lead.append(first)
         count, held, words = 0, None, []
         if first:
@@ -152,16 +168,21 @@ def sets(docs: DataFrame, key: str, text: str, shingle: int, t: Threshold) -> Da
     rows = B.dealt(docs, key, text, shape)
     bits = np.uint64(64 - shape.bits)
 
-    def ask(block: int, table: pa.Table) -> pa.Table:
-        values, times, _ = B.distinct(_Sets(table, shingle).shingles >> bits)
+    leads = _leads(docs, key, text, shape)
+
+    def ask(block: int, table: pa.Table, got: pa.Table) -> pa.Table:
+        x = _Sets(table, shingle)
+        values, times, _ = B.distinct(x.shingles[_is_lead(table, got)[x.of]] >> bits)
         return B.requests(block, values, times, shape)
 
     def hold(block: int, table: pa.Table, got: pa.Table) -> pa.Table:
-        x = _Sets(table, shingle)
-        _, _, place = B.distinct(x.shingles >> bits)
-        return _set_rows(x, table, B.answer_for(got), place, t)
+        x, stands = _Sets(table, shingle), _is_lead(table, got)
+        _, _, place = B.distinct(x.shingles[stands[x.of]] >> bits)
+        codes = B.answer_for(got.filter(pa.array(got["part"].to_numpy() != _LEADS)))
+        return _set_rows(x, table, stands, codes, place, t)
 
-    return materialize(B.with_answers(rows, B.answered(B.each_block(rows, ask, B.REQUEST)), hold, _SETS), "sets")
+    answers = B.answered(B.with_answers(rows, leads, ask, B.REQUEST))
+    return materialize(B.with_answers(rows, answers.unionByName(leads), hold, _SETS), "sets")
 
 
 def choose_boundary(held: DataFrame, t: Threshold) -> int:
@@ -254,11 +275,15 @@ def _verified(pairs: DataFrame, held: DataFrame, t: Threshold) -> DataFrame:
 
 def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     """Links of sets that are both above the boundary."""
-    lists = held.where("lead").where(F.col("n") > boundary).select("node", "n", "parity", F.explode("prefix").alias("e"))
-    lists = lists.select(F.col("e.t").alias("t"), F.col("e.p").alias("p"), "n", "node", "parity")
-    lists = materialize(lists.dropDuplicates(["t", "node"]), "lists")
+    heavy = held.where("lead").where(F.col("n") > boundary)
+    entries = heavy.select("node", "n", F.inline("prefix")).select("t", "p", "n", "node").distinct()
+    # A list of one set is no list. What the others need to be compared comes to them only now.
+    several = entries.groupBy("t").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u != v").select("t")
+    entries = materialize(entries.join(several, "t", "left_semi"), "entries")
+    parities = heavy.select("node", "parity").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    lists = materialize(entries.join(parities, "node"), "lists")
     entry = F.struct("p", "n", "node", "parity")
-    center = lists.groupBy("t").agg(F.min(entry).alias("c"), F.count("*").alias("length")).where("length > 1").select("t", "c")
+    center = lists.groupBy("t").agg(F.min(entry).alias("c"))
     met = lists.select("t", F.struct("p", "n", "node", "parity").alias("e")).join(center, "t").where(F.col("e.node") != F.col("c.node"))
     larger = F.col("e.n") > F.col("c.n")
     met = met.select(F.when(larger, F.col("e")).otherwise(F.col("c")).alias("x"), F.when(larger, F.col("c")).otherwise(F.col("e")).alias("y"))
@@ -267,8 +292,8 @@ def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     # What hangs together so far; the rest of each list meets across these groups only.
     grouped = lists.join(roots(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = materialize(grouped, "grouped")
-    several = grouped.groupBy("t").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u != v").select("t")
-    open_lists = grouped.join(several, "t", "left_semi")
+    apart = grouped.groupBy("t").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u != v").select("t")
+    open_lists = grouped.join(apart, "t", "left_semi")
     fields = F.struct("p", "n", "node", "parity", "root")
     larger_side = open_lists.select("t", fields.alias("x"))
     # The smaller of two sets has the shingle among the few that any larger partner must share.
