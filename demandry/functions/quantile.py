@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandry.functions.ordered import in_order
+
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (column, value) per non-null number."""
@@ -15,53 +17,51 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 20_000) -> DataFrame:
     """(column, p, value) with linear interpolation between neighbours.
 
-    Pass 1 brackets each percentile by approximate ones (by the extremes where there are few values).
-    Pass 2 counts the rows below the bracket and the distinct values inside it (a few 1/accuracy parts of the rows).
-    Only those are sorted. If a bracket ever missed its rank the job fails rather than return a wrong number.
+    Pass 1 brackets each percentile by approximate ones, or by the extremes at the ends. Pass 2 counts the rows below
+    each bracket by sums, and lists only the values inside one (a few 1/accuracy parts of the rows), each with its
+    number. Those are ranked by blocks of their order, so no task holds a bracket. If a bracket ever missed its rank
+    the job fails rather than return a wrong number.
     """
     eps = 8.0 / accuracy
-    # Above this many values the bracket is at least 40 ranks wide on either side.
-    few = 5 * accuracy
     cuts = sorted({max(0.0, p - eps) for p in probs} | {min(1.0, p + eps) for p in probs})
     at = {c: i for i, c in enumerate(cuts)}
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     aggs: list[Column] = []
     for c in columns:
-        v = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        v = number(c)
         aggs += [
             F.count(v).alias(f"n_{c}"),
             F.percentile_approx(v, [float(x) for x in cuts], accuracy).alias(f"q_{c}"),
             F.min(v).alias(f"lo_{c}"),
             F.max(v).alias(f"hi_{c}"),
         ]
-    rows = []
+    ends = df.agg(*aggs).first()  # one row of 2 * len(probs) + 3 numbers a column
+    brackets = []
     for c in columns:
-        for p in probs:
-            lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
-            if p - eps > 0:
-                lo = F.when(F.col(f"n_{c}") > few, F.col(f"q_{c}")[at[p - eps]]).otherwise(lo)
-            if p + eps < 1:
-                hi = F.when(F.col(f"n_{c}") > few, F.col(f"q_{c}")[at[p + eps]]).otherwise(hi)
-            rows.append(
-                F.struct(
-                    F.lit(c).alias("column"), F.lit(float(p)).alias("p"), F.col(f"n_{c}").alias("n"),
-                    lo.alias("lo"), hi.alias("hi"),
-                )
-            )
-    # len(columns) * len(probs) rows, whatever the size of df.
-    brackets = df.agg(*aggs).select(F.inline(F.array(*rows)))
-    counted = (
-        long_values(df, columns)
-        .join(F.broadcast(brackets), "column")
-        .where(F.col("value") <= F.col("hi"))
-        .groupBy("column", "p", "n", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("v"))
-        .agg(F.count("*").alias("cnt"))
+        n, q, low, high = ends[f"n_{c}"], ends[f"q_{c}"], ends[f"lo_{c}"], ends[f"hi_{c}"]
+        for p in probs if n else []:
+            # The bracket is eps * n ranks wide on either side; where that is less than two ranks it is the column.
+            wide = eps * n >= 2
+            lo = q[at[p - eps]] if wide and p - eps > 0 else low
+            hi = q[at[p + eps]] if wide and p + eps < 1 else high
+            brackets.append((c, float(p), n, lo, hi))
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], "column string, p double, value double")
+    if not brackets:
+        return empty
+    below = [F.count_if(number(c) < F.lit(lo)).alias(f"b{i}") for i, (c, _, _, lo, _) in enumerate(brackets)]
+    under = df.agg(*below).first()
+    inside = F.array_compact(
+        F.array(*[F.when(number(c).between(lo, hi), F.struct(F.lit(i).alias("bracket"), number(c).alias("v"))) for i, (c, _, _, lo, hi) in enumerate(brackets)])
     )
-    w = Window.partitionBy("column", "p").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = df.select(F.inline(inside)).groupBy("bracket", "v").agg(F.count("*").alias("cnt"))
+    ranked = in_order(counted, keys=["bracket"], order=[F.col("v")], values={"upto": F.col("cnt")})
+    known = spark.createDataFrame([(i, c, p, n, under[i]) for i, (c, p, n, _, _) in enumerate(brackets)], "bracket int, column string, p double, n long, under long")
     pos = (F.col("n") - 1) * F.col("p")
-    upto = F.col("upto")
+    upto = F.col("under") + F.col("upto")
     holds = lambda k: (upto - F.col("cnt") <= k) & (k < upto)
     picked = (
-        counted.withColumn("upto", F.sum("cnt").over(w))
+        known.join(ranked, "bracket", "left")
         .groupBy("column", "p", "n")
         .agg(F.max(F.when(holds(F.floor(pos)), F.col("v"))).alias("a"), F.max(F.when(holds(F.ceil(pos)), F.col("v"))).alias("b"))
     )

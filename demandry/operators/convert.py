@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,38 +17,44 @@ _V4_OPTIONAL = {
     "Año", "Mes", "Dia", "Producto_nombre", "Empresa_cliente", "Departamento_cliente", "Canal_venta", "Punto_venta",
     "Precio_unitario", "Descuento_pct", "Valor_total", "Costo_unitario", "Campana",
 }
-# Name parts that mark a file's format.
-_V4_MARKERS = ["tipo_movimiento", "producto_id", "stock_anterior", "punto_venta"]
-_LEGACY_MARKERS = ["documento", "entrada", "salida", "bodega"]
+@dataclass(frozen=True)
+class _Layout:
+    """A ledger layout that a header may follow, and how far it does."""
+
+    version: str
+    fits: bool
+    confidence: float
+    missing: set[str]
+    extra: set[str]
 
 
 def detect_version(columns: list[str]) -> dict:
-    """Version of a ledger from its column names alone."""
+    """Version of a ledger from its column names alone: the first layout, from sure to likely, that they fit."""
     have = set(columns)
-    share = len(_V4_OPTIONAL & have) / len(_V4_OPTIONAL)
-    missing_v4, missing_old = _V4_REQUIRED - have, set(S.LEGACY_REQUIRED) - have
-    extra_v4 = have - _V4_REQUIRED - _V4_OPTIONAL
-    verdict = lambda v4, conf, missing, extra: {
-        "is_v4": v4, "version": "v4" if v4 else "legacy", "confidence": conf,
-        "missing_columns": sorted(missing), "extra_columns": sorted(extra),
+    optional = len(_V4_OPTIONAL & have) / len(_V4_OPTIONAL)
+    no_v4, no_old = _V4_REQUIRED - have, set(S.LEGACY_REQUIRED) - have
+    beyond_v4 = have - _V4_REQUIRED - _V4_OPTIONAL
+    layouts = (
+        _Layout("unknown", not have, 0.0, set(), set()),
+        _Layout("v4", not no_v4 and optional > 0.3, 0.95, no_v4, beyond_v4),
+        _Layout("legacy", not no_old, 0.95, no_old, set()),
+        _Layout("v4", optional > 0.2, 0.5, no_v4, beyond_v4),
+        _Layout("legacy", True, 0.5, no_old, have - set(S.LEGACY_REQUIRED)),
+    )
+    best = next(x for x in layouts if x.fits)
+    return {
+        "is_v4": best.version == "v4", "version": best.version, "confidence": best.confidence,
+        "missing_columns": sorted(best.missing), "extra_columns": sorted(best.extra),
     }
-    if not have:
-        return {"is_v4": False, "version": "unknown", "confidence": 0.0, "missing_columns": [], "extra_columns": []}
-    if not missing_v4 and share > 0.3:
-        return verdict(True, 0.95, missing_v4, extra_v4)
-    if not missing_old:
-        return verdict(False, 0.95, missing_old, set())
-    if share > 0.2:
-        return verdict(True, 0.5, missing_v4, extra_v4)
-    return verdict(False, 0.5, missing_old, have - set(S.LEGACY_REQUIRED))
 
 
 def detect_format(columns: list[str]) -> str:
-    lowered = [c.lower() for c in columns]
-    found = lambda m: any(m in c for c in lowered)
-    if all(found(m) for m in _V4_MARKERS):
+    """``v4`` where all columns that every daily ledger has are there, ``legacy`` where one is that only the older has."""
+    have = {c.strip().lower() for c in columns}
+    lower = lambda names: {n.lower() for n in names}
+    if lower(_V4_REQUIRED) <= have:
         return "v4"
-    if any(found(m) for m in _LEGACY_MARKERS):
+    if have & (lower(S.LEGACY_COLUMNS) - lower(S.LEDGER_COLUMNS)):
         return "legacy"
     raise ValueError(f"unknown ledger format: {columns}")
 

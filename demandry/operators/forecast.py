@@ -122,9 +122,26 @@ def winners(scores: DataFrame, by: str = "mae") -> DataFrame:
     return compare(scores, by).where(F.col("rank") == 1).drop("rank").withColumnRenamed("model", "winner")
 
 
-def winner_predictions(predictions: DataFrame, best: DataFrame) -> DataFrame:
-    chosen = best.select("product_id", F.col("winner").alias("model"))
-    return predictions.join(chosen, ["product_id", "model"])
+def winner_predictions(predictions: DataFrame, by: str = "mae") -> DataFrame:
+    """The scored predictions of each product's best model, chosen as by ``winners(with_chosen_window(metrics(...)))``.
+
+    Scores, the choice of the moving average and the winner are windows over the predictions of a product: one
+    shuffle, no join."""
+    metric = by if by in METRICS else "mae"
+    product, model = Window.partitionBy("product_id"), Window.partitionBy("product_id", "model")
+    e = F.abs(F.col("y_true") - F.col("y_pred"))
+    scale = F.greatest(F.abs("y_true") + F.abs("y_pred"), F.lit(EPS))
+    score = {
+        "mae": F.avg(e).over(model),
+        "rmse": F.sqrt(F.avg(e * e).over(model)),
+        "smape_pct": F.avg(2 * e / scale).over(model) * 100,
+        "mape_safe_pct": F.avg(e / F.greatest(F.abs("y_true"), F.lit(EPS))).over(model) * 100,
+    }
+    scored = predictions.withColumns({"mae": score["mae"], "__by": F.round(score[metric], 9)}).withColumns(_set_errors(predictions, product))
+    loser = F.when(_window_choice() == 3, MA6).otherwise(MA3)
+    order = F.struct(F.col("__by").isNull().alias("x"), F.col("__by"), _family(F.col("model")).alias("f"), F.round("mae", 9).alias("m"), _place(F.col("model")).alias("p"))
+    ranked = scored.where(F.col("model") != loser).withColumn("__order", order).withColumn("__best", F.min("__order").over(product))
+    return ranked.where(F.col("__order") == F.col("__best")).select(*predictions.columns)
 
 
 def _set_errors(scores: DataFrame, over: Window | None) -> dict[str, Column]:

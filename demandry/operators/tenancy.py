@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandry import schema as S
-from demandry.session import broadcast_if_small
+from demandry.session import grouped_for
 
 
 def permission_table(spark: SparkSession) -> DataFrame:
@@ -35,7 +35,7 @@ def with_permission(assignments: DataFrame, permissions: DataFrame, permission:
 
 
 def log_upload(entry: DataFrame, path: str) -> None:
-    entry.write.mode("append").partitionBy("org_id").parquet(path)
+    grouped_for(entry, "org_id").write.mode("append").partitionBy("org_id").parquet(path)
 
 
 def newest(df: DataFrame, keys: list[str], created: str, tie: str, n: int) -> DataFrame:
@@ -48,9 +48,10 @@ def visible_rows(rows: DataFrame, assignments: DataFrame, user_id: str) -> DataF
     """Rows of the organizations assigned to the user; all rows for a master."""
     mine = assignments.where(F.col("user_id") == user_id)
     master = mine.agg(F.coalesce(F.max(F.col("role") == S.MASTER_ROLE), F.lit(False)).alias("m")).scalar()
-    # The rows of a large organization should not be shuffled to meet a user's few organizations.
-    orgs = broadcast_if_small(mine.select("org_id").distinct().withColumn("__mine", F.lit(True)))
-    return rows.join(orgs, "org_id", "left").where(master | F.col("__mine").isNotNull()).drop("__mine")
+    # A semi join each way: a user's few organizations, or, for a master, those of the rows. Adaptive execution sends
+    # the short side to the rows, or splits a large organization, by the sizes it meets.
+    orgs = mine.where(~master).select("org_id").union(rows.select("org_id").distinct().where(master)).distinct()
+    return rows.join(orgs, "org_id", "left_semi")
 
 
 def all_users(users: DataFrame, assignments: DataFrame, organizations: DataFrame) -> DataFrame:

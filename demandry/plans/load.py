@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,7 @@ from demandry import schema as S
 from demandry.functions.columns import strip, to_day, to_number
 from demandry.operators import build as B
 from demandry.operators import clean as C
+from demandry.operators import convert as V
 from demandry.session import materialize
 from demandry.sources import files
 
@@ -73,11 +75,16 @@ def _order(rows: DataFrame) -> list[str]:
     return ["date", *[c for c in files.FILE_ORDER if c in rows.columns]]
 
 
-def _formats(spark: SparkSession, paths: list[str], sep: str | None) -> list[bool]:
-    """For each file with a header, whether it is of the older format."""
-    lines = files.header_lines(spark, [n for _, n in files.list_files(spark, paths)])
-    older = set(S.LEGACY_REQUIRED)
-    return [older <= {c.strip().strip('"') for c in line.split(sep or ";")} for line in lines.values()]
+def _format(spark: SparkSession, paths: list[str], sep: str | None) -> str:
+    """The one format of all files with a header; a header of neither is left to the check for missing columns."""
+    lines = files.header_lines(spark, [n for _, n in files.list_files(spark, paths)]).values()
+    headers = [[c.strip().strip('"') for c in re.split(re.escape(sep) if sep else "[;,]", line)] for line in lines]
+    try:
+        return V.common_format(headers)
+    except ValueError as e:
+        if "mixed" in str(e):
+            raise
+        return "v4"
 
 
 def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str | None = None, encoding: str = "UTF-8") -> LoadResult:
@@ -89,10 +96,7 @@ def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str |
     try:
         if not paths:
             return LoadResult(error="no files given")
-        older = _formats(spark, paths, sep)
-        if any(older) and not all(older):
-            return LoadResult(error="files of mixed formats")
-        if older and older[0]:
+        if _format(spark, paths, sep) == "legacy":
             result = legacy_tables(files.read_legacy(spark, paths, encoding, sep or ";"), keep)
         else:
             result = monthly_tables(files.read_ledger(spark, paths, sep or ",", encoding), keep)

@@ -74,9 +74,3 @@ def grouped_for(df: DataFrame, *columns: str) -> DataFrame:
         return df.hint("rebalance", *columns)
     deals = max(1, math.isqrt(int(conf.get("spark.sql.shuffle.partitions"))))
     return df.repartition(*columns, F.pmod(F.xxhash64(*df.columns), F.lit(deals)))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if a count, stopped at the limit, shows it is small; else unmarked, for a
-    shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -39,12 +39,17 @@ _SCORES = each("mae rmse smape_pct mape_safe_pct", 6)
 
 @query(
     "backtest_metrics",
-    T.chain(*T.FORECAST) + " SELECT product_id, model, mae, rmse, smape_pct, mape_safe_pct / 1e9 AS mape_safe_e9, n FROM scores",
-    each("mae rmse smape_pct mape_safe_e9", 6),
+    T.chain(*T.FORECAST)
+    + """ SELECT product_id, model, mae, rmse, smape_pct, CASE WHEN mape_safe_pct < 1e6 THEN mape_safe_pct END AS mape_safe_pct,
+    CASE WHEN mape_safe_pct >= 1e6 THEN mape_safe_pct / 1e9 END AS mape_safe_e9, n FROM scores""",
+    each("mae rmse smape_pct mape_safe_pct mape_safe_e9", 6),
 )
 def backtest_metrics(spark, sf):
-    # A month without demand puts 1e-9 under the error, so this metric is shown in units of 1e9.
-    return C.scores(spark, sf).select("product_id", "model", "mae", "rmse", "smape_pct", (F.col("mape_safe_pct") / 1e9).alias("mape_safe_e9"), "n")
+    # A month without demand puts 1e-9 under the error: such scores are shown in a column of their own, in units of 1e9.
+    mape = F.col("mape_safe_pct")
+    return C.scores(spark, sf).select(
+        "product_id", "model", "mae", "rmse", "smape_pct", F.when(mape < 1e6, mape).alias("mape_safe_pct"), F.when(mape >= 1e6, mape / 1e9).alias("mape_safe_e9"), "n"
+    )
 
 
 @query(
@@ -88,8 +93,7 @@ def model_comparison_by_smape(spark, sf):
     each("y_pred", 9),
 )
 def winner_predictions(spark, sf):
-    preds = FC.backtest_baselines(C.series(spark, sf))
-    return FC.winner_predictions(preds, FC.winners(FC.with_chosen_window(FC.metrics(preds))))
+    return FC.winner_predictions(FC.backtest_baselines(C.series(spark, sf)))
 
 
 @query("ma_window_choice", T.chain(*T.FORECAST, T.CHOSEN) + " SELECT product_id, mae_set3, mae_set6, ma_window FROM windows", each("mae_set3 mae_set6", 6))
@@ -246,8 +250,8 @@ _TREES = {"trees": 20, "depth": 6}
 
 @query("forest_backtest")
 def forest_backtest(spark, sf):
-    s = materialize(C.series(spark, sf, by_brand=True), "series")
-    return FC.metrics(R.backtest_forest(s, 12, **_TREES))
+    s = materialize(C.series(spark, sf), "series")
+    return FC.metrics(R.backtest_forest(s, 12, refit_every=3, **_TREES))
 
 
 @query("forest_next_month")
@@ -258,12 +262,12 @@ def forest_next_month(spark, sf):
 
 @query("forest_multi_period")
 def forest_multi_period(spark, sf):
-    s = materialize(C.series(spark, sf, by_brand=True), "series")
+    s = materialize(C.series(spark, sf), "series")
     return R.multi_period_forest(s, 3, **_TREES)
 
 
 @query("all_models_winners")
 def all_models_winners(spark, sf):
-    s = materialize(C.series(spark, sf, by_brand=True), "series")
-    results = choose.all_models(s, 12, forest={**_TREES, "refit_every": 4})
+    s = materialize(C.series(spark, sf), "series")
+    results = choose.all_models(s, 12, forest={**_TREES, "refit_every": 6})
     return choose.select(results)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def ledger(opening: int = 10_000, brand: bool = False) -> str:
     product = "p_brand" if brand else "CAST(l_partkey AS VARCHAR)"
@@ -125,8 +127,12 @@ ahead AS (
     unnest([greatest(f_naive, 0), greatest(f_seasonal, 0), greatest(f_ma3, 0), greatest(f_ma6, 0)]) AS forecast FROM ends)"""
 
 
+# Parts that several others of a chain read: worked out once.
+_SHARED = re.compile(r"^(\s*)(ledger|series|cols|preds|scores)((?:\([^)]*\))? AS) \(", re.MULTILINE)
+
+
 def chain(*parts: str) -> str:
-    return "WITH " + ",".join(parts)
+    return "WITH " + ",".join(_SHARED.sub(r"\1\2\3 MATERIALIZED (", p) for p in parts)
 
 
 FORECAST = (LEDGER, DEMAND, SERIES, COLUMNS, predictions(), METRICS)
