@@ -7,8 +7,8 @@ words alone. So documents and items that share a window share a fingerprint: fin
 is extended word by word to the windows around it. Nothing is missed, and hash collisions fall away.
 
 Documents are scanned row by row. Fingerprints of a benchmark within ``BROADCAST_FINGERPRINTS`` are broadcast (the
-bound is checked by a count) and the meeting is extended in the document's row, so texts are never shuffled; a
-larger benchmark is joined by a shuffle, and the few documents with a meeting are then fetched again by key.
+bound is checked by a count), so nothing of the documents is shuffled but hits; beyond it, a shuffle of fingerprints
+alone finds the documents that have one in common with an item, and only theirs are joined with their words.
 
 * Null text has no words and no hits; so has empty text. Items without words, or with a null text, have no windows.
 * Null item ids are left out of the list of items, but their windows count. Repeated items count once.
@@ -35,25 +35,35 @@ def item_words(text: Column) -> Column:
 
 
 def gram_hashes(words: Column, length: int) -> Column:
-    """Hash of the ``length`` words from each position on."""
-    n = F.size(words) - (length - 1)
-    some = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, length)))
-    return F.when(n > 0, some).otherwise(F.array().cast("array<bigint>"))
+    """Hash of the ``length`` words from each position on, made of the hashes of the words."""
 
+    def grams(h: Column) -> Column:
+        each = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, length)]))
+        return F.slice(each, F.lit(1), F.greatest(F.size(h) - (length - 1), F.lit(0)))
 
-def winnowed(hashes: Column) -> Column:
-    """The least of every NEIGHBOURS hashes in a row, each value once; none if there are fewer."""
-    n = F.size(hashes) - (NEIGHBOURS - 1)
-    least = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(*[F.get(hashes, i + k) for k in range(NEIGHBOURS)]))
-    return F.array_distinct(F.when(n > 0, least).otherwise(F.array().cast("array<bigint>")))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
 
 
-def _positions(hashes: Column, value: Column) -> Column:
-    """Zero-based positions of a hash."""
-    return F.filter(F.transform(hashes, lambda h, i: F.when(h == value, i)), lambda i: i.isNotNull())
+def _winnowed(words: Column) -> Column:
+    """(fp, at, left, around) of all grams with the least hash of some NEIGHBOURS hashes in a row that hold it.
 
+    around: the gram and up to NEIGHBOURS - 1 words on either side, ``left`` of them before it."""
 
-def _run(a: Column, b: Column, at_a: Column, at_b: Column, step: int) -> Column:
+    def chosen(h: Column) -> Column:
+        least = F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + k) for k in range(1, NEIGHBOURS)]))
+        whole = F.slice(least, F.lit(1), F.greatest(F.size(h) - (NEIGHBOURS - 1), F.lit(0)))
+        is_least = lambda m, x, i: x == F.greatest(*[F.get(m, i - k) for k in range(NEIGHBOURS)])
+        return let(whole, lambda m: F.filter(F.transform(h, lambda x, i: F.when(is_least(m, x, i), F.struct(x.alias("fp"), i.alias("at")))), lambda s: s.isNotNull()))
+
+    def with_words(s: Column) -> Column:
+        left = F.least(s["at"], F.lit(NEIGHBOURS - 1))
+        around = F.slice(words, s["at"] + 1 - left, left + (GRAM + NEIGHBOURS - 1))
+        return F.struct(s["fp"].alias("fp"), s["at"].alias("at"), left.alias("left"), around.alias("around"))
+
+    return F.transform(let(gram_hashes(words, GRAM), chosen), with_words)
+
+
+def _agree(a: Column, b: Column, at_a: Column, at_b: Column, step: int) -> Column:
     """How many words agree in a row from two places on, one way, up to NEIGHBOURS - 1."""
     agree = lambda k: F.coalesce(F.get(a, at_a + k * step) == F.get(b, at_b + k * step), F.lit(False))
     out = F.lit(NEIGHBOURS - 1)
@@ -62,18 +72,14 @@ def _run(a: Column, b: Column, at_a: Column, at_b: Column, step: int) -> Column:
     return out
 
 
-def _ranges(words: Column, item: Column, at: Column, item_at: Column) -> Column:
-    """Word ranges of a document, (start, end), in which windows of the item around a shared gram occur.
+def _range() -> Column:
+    """The words (start, end) around a gram met in document and item that windows of the item cover; null if none.
 
     A window with that gram begins at most NEIGHBOURS - 1 words before it."""
-
-    def one(p: Column, q: Column) -> Column:
-        same = F.slice(words, p + 1, GRAM) == F.slice(item, q + 1, GRAM)
-        left, right = _run(words, item, p - 1, q - 1, -1), _run(words, item, p + GRAM, q + GRAM, 1)
-        return F.when(same & (left + right + GRAM >= WINDOW), F.struct((p - left).alias("start"), (p + GRAM + right).alias("end")))
-
-    found = F.flatten(F.transform(at, lambda p: F.transform(item_at, lambda q: one(p, q))))
-    return F.filter(found, lambda r: r.isNotNull())
+    w, i, p, q = F.col("around"), F.col("item_around"), F.col("left"), F.col("item_left")
+    same = F.slice(w, p + 1, GRAM) == F.slice(i, q + 1, GRAM)
+    left, right = _agree(w, i, p - 1, q - 1, -1), _agree(w, i, p + GRAM, q + GRAM, 1)
+    return F.when(same & (left + right + GRAM >= WINDOW), F.struct((F.col("at") - left).alias("start"), (F.col("at") + GRAM + right).alias("end")))
 
 
 def _covered(ranges: Column) -> Column:
@@ -87,33 +93,37 @@ def _covered(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, add, lambda acc: acc["n"])
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS
+
+
 def _long_ranges(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """__key, __id, item and ranges, by fingerprints. docs: __key, __id, w; items: item, iw."""
-    hashed = items.where(F.size("iw") >= WINDOW).withColumn("ih", gram_hashes(F.col("iw"), GRAM))
-    prints = hashed.select("item", "iw", "ih", F.explode(winnowed(F.col("ih"))).alias("fp"))
-    prints = prints.select("fp", "item", "iw", _positions(F.col("ih"), F.col("fp")).alias("at_item"))
-    rows = docs.where(F.size("w") >= WINDOW)
-    hashed = rows.withColumn("h", let(F.col("w"), lambda w: gram_hashes(w, GRAM)))
-    met = hashed.select("*", F.explode(winnowed(F.col("h"))).alias("fp"))
-    if prints.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS:
-        met = met.join(F.broadcast(prints), "fp")
+    """__key, __id, item and range, by fingerprints. docs: __key, __id, w; items: item, iw.
+
+    A fingerprint goes with the words around it, never with its document."""
+    prints = items.where(F.size("iw") >= WINDOW).select("item", F.inline(_winnowed(F.col("iw"))))
+    prints = prints.select("fp", "item", F.col("left").alias("item_left"), F.col("around").alias("item_around")).distinct()
+    long = docs.where(F.size("w") >= WINDOW)
+    of = lambda rows: rows.select("__key", "__id", F.inline(let(F.col("w"), _winnowed)))
+    if _few(prints):
+        met = of(long).join(F.broadcast(prints), "fp")
     else:
-        pairs = met.select("__key", "__id", "fp").join(prints.select("fp", "item"), "fp").select("__key", "__id", "item", "fp")
-        met = hashed.join(pairs, [F.equal_null(hashed[c], pairs[c]) for c in ("__key", "__id")]).select(hashed["*"], "item", "fp")
-        met = met.join(prints, ["item", "fp"])
-    ranges = _ranges(F.col("w"), F.col("iw"), _positions(F.col("h"), F.col("fp")), F.col("at_item"))
-    return met.select("__key", "__id", "item", ranges.alias("ranges")).where(F.size("ranges") > 0)
+        some = of(long).select("__key", "__id", "fp").join(prints.select("fp").distinct(), "fp", "left_semi").select("__key", "__id").distinct()
+        some = some.withColumnsRenamed({"__key": "__k", "__id": "__i"})
+        met = of(long.join(some, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__id") == F.col("__i")), "left_semi")).join(prints, "fp")
+    return met.select("__key", "__id", "item", _range().alias("range")).where(F.col("range").isNotNull())
 
 
 def _short_ranges(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     """The same for items of ``length`` words, below a window."""
-    small = items.where(F.size("iw") == length).withColumn("fp", F.xxhash64("iw"))
-    met = docs.withColumn("h", let(F.col("w"), lambda w: gram_hashes(w, length)))
-    met = met.select("*", F.explode(F.array_distinct("h")).alias("fp"))
-    few = small.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS
-    met = met.join(F.broadcast(small) if few else small, "fp")
-    at = F.transform(_positions(F.col("h"), F.col("fp")), lambda p: F.when(F.slice("w", p + 1, length) == F.col("iw"), F.struct(p.alias("start"), (p + length).alias("end"))))
-    return met.select("__key", "__id", "item", F.filter(at, lambda r: r.isNotNull()).alias("ranges")).where(F.size("ranges") > 0)
+    small = items.where(F.size("iw") == length).select(F.element_at(gram_hashes(F.col("iw"), length), 1).alias("fp"), "item", "iw")
+
+    def grams(w: Column) -> Column:
+        return F.transform(gram_hashes(w, length), lambda h, i: F.struct(h.alias("fp"), i.alias("at"), F.slice(w, i + 1, length).alias("around")))
+
+    met = docs.select("__key", "__id", F.inline(let(F.col("w"), grams)))
+    met = met.join(F.broadcast(small) if _few(small) else small, "fp").where(F.col("around") == F.col("iw"))
+    return met.select("__key", "__id", "item", F.struct(F.col("at").alias("start"), (F.col("at") + length).alias("end")).alias("range"))
 
 
 def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -130,7 +140,7 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     for n in sorted(lengths):
         found = found.unionByName(_short_ranges(rows, bench, n))
     return found.groupBy("__key", "__id").agg(
-        _covered(F.array_distinct(F.flatten(F.collect_set("ranges")))).alias("n_hit"),
+        _covered(F.collect_set("range")).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item")))).alias("items"),
     )
 
