@@ -81,9 +81,13 @@ def reconcile_guides(movements: DataFrame, guide_docs: list[str] = [S.DOC_GUIDE]
     return others.unionByName(labelled)
 
 
-def complete_series(demand: DataFrame, key: str = "product_id", value: str = "demand", start: str | None = None, end: str | None = None) -> DataFrame:
+def complete_series(
+    demand: DataFrame, key: str = "product_id", value: str = "demand", start: str | None = None, end: str | None = None, scope: Column | None = None
+) -> DataFrame:
     """Every product in every month between the first and last month of the table (or ``start``/``end``); gaps are 0.
 
+    With a ``scope`` (the organization of a product) the months are those of its own scope.
+
     Each row is stretched up to the product's next month, so there is neither a products x months
     product nor a join, and the result stays partitioned by product for the windows that follow.
     """
@@ -91,11 +95,17 @@ def complete_series(demand: DataFrame, key: str = "product_id", value: str = "de
     first = F.lit(start).cast("date") if start else bounds.select("a").scalar()
     last = F.lit(end).cast("date") if end else bounds.select("b").scalar()
     per_product = Window.partitionBy(key).orderBy("month")
-    rows = demand.select(strip(key).alias(key), "month", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))
+    held = []
+    if scope is not None:
+        # One row per scope, joined to monthly rows; adaptive execution sends it to them.
+        own = demand.groupBy(scope.alias("__scope")).agg(F.min("month").alias("__first"), F.max("month").alias("__last"))
+        demand, held = demand.withColumn("__scope", scope).join(own, "__scope"), ["__first", "__last"]
+        first, last = (F.lit(start).cast("date") if start else F.col("__first")), (F.lit(end).cast("date") if end else F.col("__last"))
+    rows = demand.select(strip(key).alias(key), "month", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value), *held)
     if start or end:
         # A product without months inside the bounds still gets its row of zeros.
         inside = F.when(F.col("month").between(first, last), F.col("month"))
-        rows = rows.groupBy(key, inside.alias("month")).agg(F.sum(F.when(inside.isNotNull(), F.col(value)).otherwise(0.0)).alias(value))
+        rows = rows.groupBy(key, *held, inside.alias("month")).agg(F.sum(F.when(inside.isNotNull(), F.col(value)).otherwise(0.0)).alias(value))
         whole = Window.partitionBy(key)
         rows = rows.withColumn("__any", F.count("month").over(whole)).where(F.col("month").isNotNull() | (F.col("__any") == 0)).drop("__any")
     begin = F.when(F.lag("month").over(per_product).isNull() & (F.row_number().over(per_product) == 1), first).otherwise(F.col("month"))

@@ -153,6 +153,11 @@ def channel_by_text(document: str) -> Column:
     )
 
 
+def department_by_text(warehouse: str) -> Column:
+    """Department of a warehouse where the rules fix one; null for those that they leave to chance."""
+    return F.when(F.col(warehouse).contains("Central"), F.lit("Lima"))
+
+
 def product_type(name: str) -> Column:
     """Type from words in the description; the first rule that matches wins."""
     text = F.lower(F.col(name))

@@ -46,9 +46,11 @@ def select(results: ModelResults, by: str = "mae") -> DataFrame:
     return FC.winners(FC.with_chosen_window(FC.metrics(results.predictions)), by)
 
 
-def portfolio(series: DataFrame, demand: DataFrame, results: ModelResults, by: str = "mae") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Winner and class per product, wins per class, and winners' errors per class."""
-    best, classes = select(results, by), A.abc(demand)
+def portfolio(
+    series: DataFrame, demand: DataFrame, results: ModelResults, by: str = "mae", classes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Winner and class per product, wins per class, and winners' errors per class; ``classes`` if not those of all products."""
+    best, classes = select(results, by), A.abc(demand) if classes is None else classes
     per_product = best.join(classes.select("product_id", "abc", "total"), "product_id", "left")
     return per_product, FC.wins_by_class(best, classes), FC.errors_by_class(best, classes, by if by in FC.METRICS else "mae")
 
@@ -56,10 +58,11 @@ def portfolio(series: DataFrame, demand: DataFrame, results: ModelResults, by: s
 def recommend(
     series: DataFrame, demand: DataFrame, stock: DataFrame, results: ModelResults | None = None, *, test_months: int = 12,
     abc_class: str | None = None, top: int | None = None, cost_inventory: float = 1.0, cost_stockout: float = 5.0, lead_time: int = 1,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """What to produce next month for each product: forecast of its best model, safety stock, last stock, risk."""
     results = results or ModelResults(FC.backtest_baselines(series, test_months), FC.next_month(series))
-    classes = A.abc(demand)
+    classes = A.abc(demand) if classes is None else classes
     if abc_class is not None:
         classes = classes.where(F.col("abc") == abc_class)
     if top is not None:

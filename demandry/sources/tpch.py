@@ -70,13 +70,16 @@ def _expressions() -> dict[str, Column]:
     }
 
 
-def ledger(spark: SparkSession, sf_dir: str, *columns: str, by_brand: bool = False) -> DataFrame:
-    """The movement ledger with the named columns; ``by_brand`` makes the brand the product."""
+def ledger(spark: SparkSession, sf_dir: str, *columns: str, by_brand: bool = False, by_org: bool = False) -> DataFrame:
+    """The movement ledger with the named columns; ``by_brand`` makes the brand the product, ``by_org`` tells the
+    products of each organization apart."""
     ex = _expressions()
     wanted = list(columns)
     needs = set().union(*[_NEEDS.get(c, set()) for c in wanted], {"part"} if by_brand else set())
     if by_brand:
         ex["product_id"] = F.col("p_brand")
+    if by_org:
+        ex["product_id"] = F.concat_ws("\x1f", ex["org_id"], ex["product_id"])
     out = table(spark, sf_dir, "lineitem")
     on = {
         "part": F.col("l_partkey") == F.col("p_partkey"),
@@ -91,10 +94,10 @@ def ledger(spark: SparkSession, sf_dir: str, *columns: str, by_brand: bool = Fal
     return out.select(*[ex[c].alias(c) for c in wanted])
 
 
-def balanced_ledger(spark: SparkSession, sf_dir: str, *columns: str, opening: float = 10_000.0, by_brand: bool = False) -> DataFrame:
+def balanced_ledger(spark: SparkSession, sf_dir: str, *columns: str, opening: float = 10_000.0, by_brand: bool = False, by_org: bool = False) -> DataFrame:
     """:func:`ledger` with ``stock_before`` and ``stock_after`` per product."""
     base = ["product_id", "date", "month", "kind", "qty", "row_block", "row_seq"]
-    rows = ledger(spark, sf_dir, *base, *[c for c in columns if c not in base], by_brand=by_brand)
+    rows = ledger(spark, sf_dir, *base, *[c for c in columns if c not in base], by_brand=by_brand, by_org=by_org)
     signed = F.when(F.col("kind") == S.SALE, -F.col("qty")).otherwise(F.col("qty"))
     out = running_balance(
         rows, signed, keys=["product_id"], coarse="month", fine=["date", "row_block"], order=["row_seq"], out="stock_after"

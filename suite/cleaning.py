@@ -166,7 +166,7 @@ _STORES = """CASE sk % 4 WHEN 0 THEN 'Almacen Central' WHEN 1 THEN 'Almacen Punt
     SELECT label, store, CASE label WHEN 'Salida por Consumo' THEN 'consumo_interno' WHEN 'Venta Tienda Sin Doc' THEN 'mostrador' WHEN 'Guia de remision - R' THEN 'distribuído' END AS channel,
     CASE WHEN label LIKE '%Entrada%' THEN NULL WHEN label LIKE '%Guia de remision%' THEN 'Online' ELSE 'Tienda Física' END AS channel_by_text,
     CASE store WHEN 'Almacen Central' THEN 'Centro' WHEN 'Almacen Punto de Ventas 1' THEN 'Norte' WHEN 'Almacen Punto de Venta 2' THEN 'Sur' ELSE 'Este' END AS region,
-    count(*) AS n, sum(qty) AS qty FROM l GROUP BY ALL""",
+    CASE store WHEN 'Almacen Central' THEN 'Lima' END AS department, count(*) AS n, sum(qty) AS qty FROM l GROUP BY ALL""",
 )
 def labels_from_codes(spark, sf):
     rows = ledger(spark, sf, "kind", "doc", "qty", "row_seq")
@@ -178,9 +178,10 @@ def labels_from_codes(spark, sf):
     store = F.when(sk == 0, "Almacen Central").when(sk == 1, "Almacen Punto de Ventas 1").when(sk == 2, "Almacen Punto de Venta 2").otherwise("Almacen Punto de Venta 3")
     rows = rows.select(label.alias("label"), store.alias("store"), "qty")
     rows = rows.withColumns(
-        {"channel": V.label("label", S.DOCUMENT_CHANNEL), "channel_by_text": V.channel_by_text("label"), "region": V.label("store", S.WAREHOUSE_REGION)}
+        {"channel": V.label("label", S.DOCUMENT_CHANNEL), "channel_by_text": V.channel_by_text("label"), "region": V.label("store", S.WAREHOUSE_REGION),
+         "department": V.department_by_text("store")}
     )
-    return rows.groupBy("label", "store", "channel", "channel_by_text", "region").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+    return rows.groupBy("label", "store", "channel", "channel_by_text", "region", "department").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
 
 _TYPES = """CASE p_type WHEN 'ECONOMY' THEN 'Caja de pase ' WHEN 'SMALL' THEN 'BANDEJA ' WHEN 'MEDIUM' THEN 'tubo conduit ' WHEN 'PROMO' THEN 'Tapa ' WHEN 'LARGE' THEN 'Union tee ' ELSE '' END || p_name"""

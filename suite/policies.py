@@ -9,6 +9,7 @@ from demandry.operators import analytics as A
 from demandry.operators import build as B
 from demandry.operators import forecast as FC
 from demandry.operators import policy as P
+from demandry.operators import tenancy as N
 from demandry.plans import choose
 from demandry.sources import tpch
 from suite import common as C
@@ -71,7 +72,7 @@ def _recommend(spark, sf, **kw):
     return choose.recommend(B.complete_series(d), d, _stock_low(spark, sf), **kw)
 
 
-_RECO = _recommendation().replace(T.LEDGER, T.ledger(opening=0))
+_RECO = _recommendation().replace(T.shared(T.LEDGER), T.shared(T.ledger(opening=0)))
 _RD = each("forecast mae ss", 6)
 
 
@@ -80,7 +81,7 @@ def recommendations(spark, sf):
     return _recommend(spark, sf)
 
 
-@query("recommendations_class_a_top", _recommendation("WHERE abc = 'A' QUALIFY row_number() OVER (ORDER BY total DESC, abc.product_id) <= 50").replace(T.LEDGER, T.ledger(opening=0)) + " SELECT * FROM reco", _RD)
+@query("recommendations_class_a_top", _recommendation("WHERE abc = 'A' QUALIFY row_number() OVER (ORDER BY total DESC, abc.product_id) <= 50").replace(T.shared(T.LEDGER), T.shared(T.ledger(opening=0))) + " SELECT * FROM reco", _RD)
 def recommendations_class_a_top(spark, sf):
     return _recommend(spark, sf, abc_class="A", top=50)
 
@@ -115,7 +116,7 @@ def _replay_policy() -> str:
     f AS (SELECT *, coalesce(lag(se) OVER (PARTITION BY product_id ORDER BY month), s0) AS ss0 FROM e),
     replay AS (SELECT product_id, month, ss0 AS stock_start, forecast, sigma, ss, greatest(0, forecast + ss - ss0) AS "order", demand, least(demand, ss0 + greatest(0, forecast + ss - ss0)) AS served,
       greatest(0, round(demand - ss0 - greatest(0, forecast + ss - ss0), 9)) AS lost, greatest(0, se) AS stock_end, round(demand - ss0 - greatest(0, forecast + ss - ss0), 9) > 0 AS stockout FROM f)"""
-    ).replace(T.LEDGER, T.ledger(opening=0))
+    ).replace(T.shared(T.LEDGER), T.shared(T.ledger(opening=0)))
 
 
 def _replay(spark, sf):
@@ -155,7 +156,7 @@ _COMPARE = (
       CASE WHEN demand - a0 - greatest(0, forecast + ss - a0) < 1e-9 THEN 0 ELSE demand - a0 - greatest(0, forecast + ss - a0) END AS sys_lost FROM f),
     replay AS (SELECT *, base_stock_end * 1.0::DOUBLE AS base_cost_inventory, base_lost * 5.0::DOUBLE AS base_cost_stockout, base_stock_end + base_lost * 5.0::DOUBLE AS base_cost_total,
       sys_stock_end * 1.0::DOUBLE AS sys_cost_inventory, sys_lost * 5.0::DOUBLE AS sys_cost_stockout, sys_stock_end + sys_lost * 5.0::DOUBLE AS sys_cost_total FROM g)"""
-).replace(T.LEDGER, T.ledger(opening=0))
+).replace(T.shared(T.LEDGER), T.shared(T.ledger(opening=0)))
 
 _SIDES = "stock_start order stock_end lost cost_inventory cost_stockout cost_total".split()
 _SIDE_DIGITS = each(" ".join(f"{p}_{c}" for p in ("base", "sys") for c in _SIDES) + " sigma sys_forecast sys_ss", 6)
@@ -236,3 +237,28 @@ _NAMES = "['Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agos
 @query("demand_by_month_name", T.chain(T.LEDGER, T.DEMAND) + f" SELECT {_NAMES}[month(month)] AS month_name, sum(demand) AS demand FROM demand GROUP BY 1")
 def demand_by_month_name(spark, sf):
     return C.demand(spark, sf).groupBy(month_name("month").alias("month_name")).agg(F.sum("demand").alias("demand"))
+
+
+@query("recommendations_by_organization", T.by_org(_RECO + " SELECT * FROM reco", 0), _RD)
+def recommendations_by_organization(spark, sf):
+    d, s, stock = C.scoped_inputs(spark, sf, 0.0)
+    return N.split_scope(choose.recommend(s, d, stock, classes=N.abc_by_organization(d)))
+
+
+@query("replay_by_organization", T.by_org(_COMPARE + " SELECT * FROM replay", 0), _SIDE_DIGITS)
+def replay_by_organization(spark, sf):
+    _, s, stock = C.scoped_inputs(spark, sf, 0.0)
+    best = FC.winners(FC.with_chosen_window(FC.metrics(FC.backtest_baselines(s))))
+    return N.split_scope(P.replay_comparison(s, stock, best))
+
+
+@query(
+    "portfolio_by_organization",
+    T.by_org(T.chain(*_BEST, T.ABC) + " SELECT b.product_id, winner, mae, rmse, n, abc, total FROM best b LEFT JOIN abc ON abc.product_id = b.product_id"),
+    each("mae rmse", 6),
+)
+def portfolio_by_organization(spark, sf):
+    d, s, _ = C.scoped_inputs(spark, sf)
+    results = choose.ModelResults(FC.backtest_baselines(s), FC.next_month(s))
+    per_product = choose.portfolio(s, d, results, classes=N.abc_by_organization(d))[0]
+    return N.split_scope(per_product.select("product_id", "winner", "mae", "rmse", "n", "abc", "total"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 
-def ledger(opening: int = 10_000, brand: bool = False) -> str:
+def ledger(opening: int = 10_000, brand: bool = False, org: bool = False) -> str:
     product = "p_brand" if brand else "CAST(l_partkey AS VARCHAR)"
+    if org:
+        product = f"'org' || CAST(l_suppkey % 5 AS VARCHAR) || chr(31) || {product}"
     return f"""
 base AS (
   SELECT 'org' || CAST(l_suppkey % 5 AS VARCHAR) AS org_id,
@@ -131,8 +133,32 @@ ahead AS (
 _SHARED = re.compile(r"^(\s*)(ledger|series|cols|preds|scores)((?:\([^)]*\))? AS) \(", re.MULTILINE)
 
 
+def shared(part: str) -> str:
+    return _SHARED.sub(r"\1\2\3 MATERIALIZED (", part)
+
+
 def chain(*parts: str) -> str:
-    return "WITH " + ",".join(_SHARED.sub(r"\1\2\3 MATERIALIZED (", p) for p in parts)
+    return "WITH " + ",".join(map(shared, parts))
 
 
 FORECAST = (LEDGER, DEMAND, SERIES, COLUMNS, predictions(), METRICS)
+
+# The same parts where products are told apart by organization.
+_SCOPE = "split_part({}, chr(31), 1)"
+SERIES_BY_ORG = f"""
+bounds AS (SELECT {_SCOPE.format("product_id")} AS o, min(month) AS a, max(month) AS b FROM demand GROUP BY 1),
+months AS (SELECT o, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM bounds),
+series AS (
+  SELECT p.product_id, m.month, coalesce(d.demand, 0.0) AS demand
+  FROM (SELECT DISTINCT product_id FROM demand) p JOIN months m ON m.o = {_SCOPE.format("p.product_id")}
+  LEFT JOIN demand d ON d.product_id = p.product_id AND d.month = m.month)"""
+ABC_BY_ORG = ABC.replace("OVER ()", f"OVER (PARTITION BY {_SCOPE.format('product_id')})").replace(
+    "OVER (ORDER BY total DESC", f"OVER (PARTITION BY {_SCOPE.format('product_id')} ORDER BY total DESC"
+).replace("ORDER BY total DESC, product_id", f"ORDER BY total DESC, {_SCOPE.format('product_id').replace(', 1)', ', 2)')}")
+
+
+def by_org(sql: str, opening: int = 10_000) -> str:
+    """A twin by product as one by organization and product."""
+    for old, new in ((ledger(opening), ledger(opening, org=True)), (SERIES, SERIES_BY_ORG), (ABC, ABC_BY_ORG)):
+        sql = sql.replace(shared(old), shared(new))
+    return f"SELECT {_SCOPE.format('product_id')} AS org_id, * REPLACE (split_part(product_id, chr(31), 2) AS product_id) FROM ({sql}) q"
