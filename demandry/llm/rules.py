@@ -178,5 +178,9 @@ def judge(measured: DataFrame, cutoffs: DataFrame, rules: Mapping[str, Rule] = R
 def keep(docs: DataFrame, cutoffs: DataFrame, *, text: str = "text", stratum: Sequence[str] = ("lang",)) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; each row is judged by itself, without a shuffle."""
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    judged = judge(docs.select(held, _stratum(stratum).alias("stratum"), counts(F.col(text)).alias("c")), cutoffs)
+    # As a generator's columns the counts are worked out once a row; a filter would otherwise be moved below them
+    # and write them out again at each of its parts.
+    rows = docs.select(held, _stratum(stratum).alias("stratum"), F.inline(F.array(counts(F.col(text)))))
+    names = [c for c in rows.columns if c not in ("__row", "stratum")]
+    judged = judge(rows.select("__row", "stratum", F.struct(*names).alias("c")), cutoffs)
     return judged.where("kept").select("__row.*")
