@@ -26,6 +26,7 @@ from demandry.llm.common import let, lower_ascii
 WINDOW, GRAM = 10, 6
 NEIGHBOURS = WINDOW - GRAM + 1
 BROADCAST_FINGERPRINTS = 200_000
+_MOST_SIEVE_BITS = 23
 
 
 def item_words(text: Column) -> Column:
@@ -34,6 +35,14 @@ def item_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def _count_words(text: Column) -> Column:
+    """How many words item_words finds, without changing the case."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
+    blank = lambda e: F.when(e == "", F.lit(1)).otherwise(F.lit(0))
+    # Only the first and the last part can be empty; a text without words has one empty part or two.
+    return let(parts, lambda p: F.size(p) - blank(p[0]) - F.when(F.size(p) > 1, blank(F.element_at(p, -1))).otherwise(F.lit(0)))
+
+
 def gram_hashes(words: Column, length: int) -> Column:
     """Hash of the ``length`` words from each position on, made of the hashes of the words."""
 
@@ -44,23 +53,52 @@ def gram_hashes(words: Column, length: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
 
 
-def _winnowed(words: Column) -> Column:
-    """(fp, at, left, around) of all grams with the least hash of some NEIGHBOURS hashes in a row that hold it.
+def _least(hashes: Column) -> Column:
+    """The least of every NEIGHBOURS hashes in a row; none if there are fewer."""
+    each = F.transform(hashes, lambda x, i: F.least(x, *[F.get(hashes, i + k) for k in range(1, NEIGHBOURS)]))
+    return F.slice(each, F.lit(1), F.greatest(F.size(hashes) - (NEIGHBOURS - 1), F.lit(0)))
+
+
+def _winnowed(words: Column, sieve: Column | None = None) -> Column:
+    """(fp, at, left, around) of all grams whose hash is the least of some NEIGHBOURS hashes in a row.
+
+    around: the gram and up to NEIGHBOURS - 1 words on either side, ``left`` of them before it. A ``sieve`` leaves
+    out hashes that it does not hold (see _sieve)."""
+
+    def with_words(fp: Column, at: Column) -> Column:
+        left = F.least(at, F.lit(NEIGHBOURS - 1))
+        around = F.slice(words, at + 1 - left, left + (GRAM + NEIGHBOURS - 1))
+        return F.struct(fp.alias("fp"), at.alias("at"), left.alias("left"), around.alias("around"))
 
-    around: the gram and up to NEIGHBOURS - 1 words on either side, ``left`` of them before it."""
+    def places(h: Column) -> Column:
+        kept = _least(h) if sieve is None else F.filter(_least(h), lambda x: _held(sieve, x))
+        found = lambda k: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(k, x), with_words(x, i))), lambda s: s.isNotNull())
+        return let(F.array_distinct(kept), lambda k: F.when(F.size(k) > 0, found(k)))
 
-    def chosen(h: Column) -> Column:
-        least = F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + k) for k in range(1, NEIGHBOURS)]))
-        whole = F.slice(least, F.lit(1), F.greatest(F.size(h) - (NEIGHBOURS - 1), F.lit(0)))
+    def all_places(h: Column) -> Column:
         is_least = lambda m, x, i: x == F.greatest(*[F.get(m, i - k) for k in range(NEIGHBOURS)])
-        return let(whole, lambda m: F.filter(F.transform(h, lambda x, i: F.when(is_least(m, x, i), F.struct(x.alias("fp"), i.alias("at")))), lambda s: s.isNotNull()))
+        return let(_least(h), lambda m: F.filter(F.transform(h, lambda x, i: F.when(is_least(m, x, i), with_words(x, i))), lambda s: s.isNotNull()))
 
-    def with_words(s: Column) -> Column:
-        left = F.least(s["at"], F.lit(NEIGHBOURS - 1))
-        around = F.slice(words, s["at"] + 1 - left, left + (GRAM + NEIGHBOURS - 1))
-        return F.struct(s["fp"].alias("fp"), s["at"].alias("at"), left.alias("left"), around.alias("around"))
+    return let(gram_hashes(words, GRAM), all_places if sieve is None else places)
 
-    return F.transform(let(gram_hashes(words, GRAM), chosen), with_words)
+
+def _held(sieve: Column, x: Column) -> Column:
+    bits = F.size(sieve) * 64
+    place = F.pmod(x, bits.cast("long")).cast("int")
+    return F.getbit(F.get(sieve, F.shiftright(place, 6)), F.pmod(place, F.lit(64)).cast("int")) == 1
+
+
+def _sieve(prints: DataFrame) -> Column:
+    """A bit for each remainder that a fingerprint leaves: an array of 64-bit words, a constant of the plan.
+
+    Only for fingerprints within BROADCAST_FINGERPRINTS; they and the sieve (1 MB at most) pass through the driver."""
+    found = [r["fp"] for r in prints.select("fp").distinct().collect()]
+    bits = 1 << min(_MOST_SIEVE_BITS, max(12, (1024 * len(found)).bit_length()))
+    words = [0] * (bits // 64)
+    for x in found:
+        words[x % bits // 64] |= 1 << x % 64
+    signed = [w - (w >> 63 << 64) for w in words]
+    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
 
 
 def _agree(a: Column, b: Column, at_a: Column, at_b: Column, step: int) -> Column:
@@ -104,9 +142,9 @@ def _long_ranges(docs: DataFrame, items: DataFrame) -> DataFrame:
     prints = items.where(F.size("iw") >= WINDOW).select("item", F.inline(_winnowed(F.col("iw"))))
     prints = prints.select("fp", "item", F.col("left").alias("item_left"), F.col("around").alias("item_around")).distinct()
     long = docs.where(F.size("w") >= WINDOW)
-    of = lambda rows: rows.select("__key", "__id", F.inline(let(F.col("w"), _winnowed)))
+    of = lambda rows, sieve=None: rows.select("__key", "__id", F.inline(let(F.col("w"), lambda w: _winnowed(w, sieve))))
     if _few(prints):
-        met = of(long).join(F.broadcast(prints), "fp")
+        met = of(long, _sieve(prints)).join(F.broadcast(prints), "fp")
     else:
         some = of(long).select("__key", "__id", "fp").join(prints.select("fp").distinct(), "fp", "left_semi").select("__key", "__id").distinct()
         some = some.withColumnsRenamed({"__key": "__k", "__id": "__i"})
@@ -148,9 +186,7 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 def report(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: key, n_words, n_hit, n_items, items and contaminated."""
     found = hits(docs, items, key=key, text=text, item=item, item_text=item_text)
-    rows = docs.select(
-        F.col(key).alias("__key"), F.xxhash64(text).alias("__id"), F.size(item_words(F.col(text))).cast("long").alias("n_words")
-    )
+    rows = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__id"), _count_words(F.col(text)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(
         found.withColumnsRenamed({"__key": "__key2", "__id": "__id2"}), F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__id") == F.col("__id2")), "left"
