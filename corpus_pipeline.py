@@ -26,8 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of least key; documents without words are no duplicates."""
-    return jaccard.representatives(docs)
+    """One document of each group stays, the one of least key; documents without words are no duplicates.
+
+    Near are texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return jaccard.representatives(docs, shingle=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
