@@ -69,12 +69,12 @@ def repeated_bytes(rows: list[tuple], length: int) -> Counter:
     return Counter(out)
 
 
-def components(rows: list[tuple], percent: int = 90) -> Counter:
+def components(rows: list[tuple], percent: int = 90, shingle: int = 3) -> Counter:
     """(key, set size, least key of the component) of each row, null keys as the least."""
     sets = []
     for _, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
     at = list(range(len(rows)))
 
     def find(x: int) -> int:

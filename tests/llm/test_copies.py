@@ -86,6 +86,13 @@ def test_components_of_near_copies(spark, seed, words):
     assert got == components(rows)
 
 
+def test_components_at_other_thresholds(spark):
+    rows = edited(9, 100, 60)
+    for percent, shingle in ((80, 5), (60, 2), (100, 3)):
+        got = Counter(tuple(r) for r in jaccard.components(spark.createDataFrame(rows, SCHEMA), shingle=shingle, percent=percent).collect())
+        assert got == components(rows, percent, shingle), (percent, shingle)
+
+
 def test_components_of_odd_rows(spark):
     rows = odd_rows()
     df = with_clashes(spark.createDataFrame(rows, SCHEMA))

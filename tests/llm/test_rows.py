@@ -135,7 +135,7 @@ def test_pipeline_stage_by_stage(spark, sf):
     docs = spark.createDataFrame(out.collect(), docs.schema)
     out = stages["near duplicates"](spark, docs, sf)
     groups = defaultdict(set)
-    for key, _, least in components(list(left.items())):
+    for key, _, least in components(list(left.items()), 80, 5):
         groups[least].add(key)
     left = {r["doc_id"]: r["text"] for r in out.collect()}
     assert set(left) == set(groups) and out.columns == docs.columns
