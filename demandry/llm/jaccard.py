@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandry.llm import blocks as B
-from demandry.llm.components import roots
+from demandry.llm.components import roots, tightened
 from demandry.session import materialize
 
 SHINGLE = 3
 PERCENT = 90
 _LEADS = -1  # marks what says which rows stand for their text, among the answers to a block
+EARLY_ROUNDS = 2  # after the first links; more would spare a few meetings and cost a join each
 MOST_LIGHT = 40  # no boundary above this: subsets of large sets are too many
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
@@ -289,8 +290,10 @@ def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     met = met.select(F.when(larger, F.col("e")).otherwise(F.col("c")).alias("x"), F.when(larger, F.col("c")).otherwise(F.col("e")).alias("y"))
     pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
     first = materialize(_verified(met.where(_may_link("x", "y", t)).select(*pair).distinct(), held, t), "links")
-    # What hangs together so far; the rest of each list meets across these groups only.
-    grouped = lists.join(roots(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What hangs together so far, as far as a few rounds show; the rest of each list meets across these groups only.
+    first = tightened(first, rounds=EARLY_ROUNDS)
+    root = first.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
+    grouped = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = materialize(grouped, "grouped")
     apart = grouped.groupBy("t").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u != v").select("t")
     open_lists = grouped.join(apart, "t", "left_semi")
@@ -300,7 +303,7 @@ def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     smaller_side = open_lists.where(F.col("p") < F.col("n") - F.ceil(F.lit(2 * t.percent) * F.col("n") / F.lit(100 + t.percent)) + 1).select("t", fields.alias("y"))
     order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))
     rest = larger_side.join(smaller_side, "t").where(order & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", t))
-    return first.union(_verified(rest.select(*pair).distinct(), held, t))
+    return first.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(_verified(rest.select(*pair).distinct(), held, t))
 
 
 def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -313,7 +316,8 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
     root = roots(links)
     rows = held.select("key", "no_key", "n", "node").join(root, "node", "left")
     rows = rows.withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "node")))  # none without a set: alone
-    least = rows.where("n > 0").groupBy("group").agg(F.min("key").alias("least"))
+    # Written, so that what is joined is not what was aggregated: the join of a large group can then be split.
+    least = materialize(rows.where("n > 0").groupBy("group").agg(F.min("key").alias("least")), "least")
     out = rows.join(least, "group", "left")
     shown = F.coalesce("least", "key")
     return out.select(

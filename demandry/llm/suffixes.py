@@ -165,7 +165,10 @@ class _Files:
         self.folder = Path(folder)
 
     def write(self, name: str, a: np.ndarray) -> None:
-        a.tofile(self.folder / name)
+        """Over what the file held; no array gets shorter. (Some file systems wait for the disk when a file is cut.)"""
+        path = self.folder / name
+        with open(path, "r+b" if path.exists() else "wb") as f:
+            a.tofile(f)
 
     def read(self, name: str, dtype: type) -> np.ndarray:
         return np.fromfile(self.folder / name, dtype)
