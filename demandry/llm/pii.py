@@ -7,8 +7,14 @@ the same check, and equal values get equal pseudonyms in every document. With th
 
 Texts are handled row by row in Arrow batches, without a shuffle.
 
+Cards and IBANs are searched for among all numbers that the groups of a run of digits or capitals allow, not only in
+the longest one, so a number beside them hides none. Where a pseudonym would make such a neighbour pass its check and
+be found in its stead, the walk goes on until it does not, so that ``reveal`` finds the same places; only there may a
+value have another pseudonym than elsewhere.
+
 * Null text stays null, empty text stays empty; neither has findings. Repeated rows: one result each.
-* Of overlapping findings, the one that begins first is replaced; of two at one place, the kind named first in KINDS.
+* Of overlapping findings, the one that begins first is replaced; of two at one place, the kind named first in KINDS,
+  then an IBAN of its country's length, then the longer one.
 * All other columns are carried along as they are.
 """
 
@@ -17,6 +23,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -97,10 +104,15 @@ def luhn(digits: str) -> int:
     return -sum(d - 9 * (d > 9) for d in doubled) % 10
 
 
+def _is_card(value: str) -> bool:
+    number = value.replace(" ", "").replace("-", "")
+    return luhn(number[:-1]) == int(number[-1])
+
+
 def _card(m: re.Match, f: Feistel, back: bool) -> str | None:
-    number = re.sub(r"[ -]", "", m[0])
-    if luhn(number[:-1]) != int(number[-1]):
+    if not _is_card(m[0]):
         return None
+    number = re.sub(r"[ -]", "", m[0])
     payload = _digits(number[:-1], "card", f, back)
     return _kept_layout(m[0], payload + str(luhn(payload)))
 
@@ -110,11 +122,16 @@ def _iban_check(country: str, account: str) -> str:
     return f"{98 - int(as_number) % 97:02d}"
 
 
+def _is_iban(value: str) -> bool:
+    value = value.replace(" ", "")
+    return _iban_check(value[:2], value[4:]) == value[2:4]
+
+
 def _iban(m: re.Match, f: Feistel, back: bool) -> str | None:
-    value = m[0].replace(" ", "")
-    country, check, account = value[:2], value[2:4], value[4:]
-    if _iban_check(country, account) != check:
+    if not _is_iban(m[0]):
         return None
+    value = m[0].replace(" ", "")
+    country, account = value[:2], value[4:]
     new = _by_position(account, [_DIGITS if c.isdigit() else _UPPER for c in account], "iban" + country, f, back)
     return _kept_layout(m[0], country + _iban_check(country, new) + new)
 
@@ -184,12 +201,24 @@ def _secret(m: re.Match, f: Feistel, back: bool) -> str | None:
     return m[0][: m.start("value" if m["value"] else "key") - m.start()] + new + m[0][m.end("value" if m["value"] else "key") - m.start() :]
 
 
+# (start, end, rank) of what may be a value by its layout; of several from one start, the least rank comes first.
+Places = Iterator[tuple[int, int, int]]
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
     pattern: re.Pattern
+    core: re.Pattern  # without what must stand before and after
     renew: Callable[[re.Match, Feistel, bool], str | None]
     sign: str = ""  # what every such value holds
+    places: Callable[[str], Places] | None = None  # if not those of the pattern
+    passes: Callable[[str], bool] | None = None  # the check of a value, if it depends on one
+
+    def found(self, text: str) -> Places:
+        if self.places:
+            return self.places(text)
+        return ((m.start(), m.end(), 0) for m in self.pattern.finditer(text))
 
 
 # Layouts of dates: their parts in order and the mark between them.
@@ -197,42 +226,133 @@ _LAYOUTS = {"iso": (("year", "month", "day"), "-"), "dots": (("day", "month", "y
 _ALONE = r"(?<![\w.+-])", r"(?![\w-]|[.]\d)"
 
 
-def _kind(name: str, pattern: str, renew: Callable, before: str = _ALONE[0], after: str = _ALONE[1], sign: str = "") -> Kind:
-    return Kind(name, re.compile(before + pattern + after, re.ASCII), renew, sign)
+# Lengths of IBANs by country, from the registry; a number of another length or country is tried at the ends of groups.
+_IBAN_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+_IBAN_HEAD = re.compile(_ALONE[0] + r"[A-Z]{2}\d{2}(?=[ A-Z0-9])", re.ASCII)
+_GROUP, _TAIL = re.compile(r" ?[A-Z0-9]{4}"), re.compile(r" ?[A-Z0-9]{1,3}")
+_DIGIT_RUN, _DIGIT_GROUP = re.compile(r"\d(?:[ -]?\d){12,}", re.ASCII), re.compile(r"\d+", re.ASCII)
+_BEFORE, _AFTER = (re.compile(x, re.ASCII) for x in _ALONE)
+
+
+def _iban_places(text: str) -> Places:
+    """From each head, all ends that stand alone."""
+    for head in _IBAN_HEAD.finditer(text):
+        at, size, fixed = head.end(), 4, _IBAN_LENGTHS.get(head[0][:2])
+        for n in range(1, 8):
+            group = _GROUP.match(text, at)
+            if not group:
+                break
+            at, size = group.end(), size + 4
+            if n < 2:
+                continue
+            for end in {at, *(at + k for k in range(1, 5) if (m := _TAIL.fullmatch(text, at, at + k)) and m.end() == at + k)}:
+                if _AFTER.match(text, end):
+                    letters = size + len(text[at:end].strip())
+                    yield head.start(), end, 0 if letters == fixed else 100 - letters
+
+
+def _card_places(text: str) -> Places:
+    """All 13 to 19 digits from the beginning of a group to the end of one, within each run of groups."""
+    for run in _DIGIT_RUN.finditer(text):
+        groups = [m.span() for m in _DIGIT_GROUP.finditer(text, *run.span())]
+        for i, (start, _) in enumerate(groups):
+            if i == 0 and not _BEFORE.match(text, start):
+                continue
+            size = 0
+            for j in range(i, len(groups)):
+                size += groups[j][1] - groups[j][0]
+                if size > 19:
+                    break
+                if size >= 13 and (j + 1 < len(groups) or _AFTER.match(text, groups[j][1])):
+                    yield start, groups[j][1], 19 - size
+
+
+def _kind(name: str, pattern: str, renew: Callable, before: str = _ALONE[0], after: str = _ALONE[1], sign: str = "", places: Callable | None = None, passes: Callable | None = None) -> Kind:
+    return Kind(name, re.compile(before + pattern + after, re.ASCII), re.compile(pattern, re.ASCII), renew, sign, places, passes)
 
 
 KINDS = (
-    _kind("mail", r"(?P<name>[A-Za-z0-9._%+-]{1,64})(?P<domain>@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)", _mail, r"(?<![A-Za-z0-9._%+-])", r"(?![\w-])", "@"),
-    _kind("secret", r"(?:(?i:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?[\"']?(?P<value>[A-Za-z0-9]{8,128})(?![A-Za-z0-9])|(?P<key>(?<=AKIA)[A-Z0-9]{16}))", _secret, "", r""),
-    _kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban),
-    _kind("card", r"\d(?:[ -]?\d){12,18}", _card),
+    _kind("mail", r"(?P<name>[A-Za-z0-9._%+-]{1,64})(?P<domain>@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)", _mail, r"(?<![A-Za-z0-9._%+-])", r"(?![\w-])", "@", passes=lambda _: True),
+    _kind("secret", r"(?:(?i:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?[\"']?(?P<value>[A-Za-z0-9]{8,128})(?![A-Za-z0-9])|(?P<key>(?<=AKIA)[A-Z0-9]{16}))", _secret, "", r"", passes=lambda _: True),
+    _kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban, places=_iban_places, passes=_is_iban),
+    _kind("card", r"\d(?:[ -]?\d){12,18}", _card, places=_card_places, passes=_is_card),
     _kind("phone", r"(?P<code>\+\d{1,3}[ .-]?)(?P<rest>(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{1,4}){1,4})", _phone, r"(?<![\w+])", r"(?!\d)", "+"),
     _kind("social", r"\d{3}-\d{2}-\d{4}", _social, sign="-"),
     _kind("address", r"\d{1,3}(?:\.\d{1,3}){3}", _address, sign="."),
     _kind("date", r"(?:(?P<iso>\d{4}-\d{2}-\d{2})|(?P<dots>\d{2}\.\d{2}\.\d{4})|(?P<slashes>\d{2}/\d{2}/\d{4}))", _date),
 )
+_PHONE, _ADDRESS = (next(k for k in KINDS if k.name == name) for name in ("phone", "address"))
+_LONGEST = 64  # no value that may fail its check is longer
 # Every finding holds a digit, an @ or one of the words before secrets.
 _ANY = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key)")
 
 
+def _passes(k: Kind, text: str, start: int, stop: int, f: Feistel, back: bool) -> bool:
+    if k.passes:
+        return k.passes(text[start:stop])
+    m = k.core.fullmatch(text, start, stop)
+    return m is not None and k.renew(m, f, back) is not None
+
+
+def _renewed(text: str | list[str], start: int, stop: int, k: Kind, rivals: list[tuple[int, int, int]], f: Feistel, back: bool) -> str:
+    """The first value of the walk beside which all rivals, that would come before it, still fail their check."""
+    low = max(0, min([start, *[x[0] for x in rivals]]) - 8)  # with what may have to stand before
+    held = "".join(text[low : max([stop, *[x[2] for x in rivals]])])
+    a, b = start - low, stop - low
+    while True:
+        new = k.renew(k.core.fullmatch(held, a, b), f, back)
+        held = held[:a] + new + held[b:]
+        if not any(_passes(KINDS[order], held, x - low, y - low, f, back) for x, order, y in rivals):
+            return new
+
+
+def _renewed_address(text: str | list[str], begin: int, start: int, stop: int, f: Feistel, back: bool) -> str:
+    """The same for an address: its dots move, so phones from ``begin`` on that would reach into it are looked for again."""
+    low = max(0, begin - 1, start - _LONGEST)
+    held = "".join(text[low : stop + _LONGEST])
+    a, b = start - low, stop - low
+    while True:
+        new = _ADDRESS.renew(_ADDRESS.core.fullmatch(held, a, b), f, back)
+        held, b = held[:a] + new + held[b:], a + len(new)
+        if not any(begin - low <= x < a < y and _passes(_PHONE, held, x, y, f, back) for x, y, _ in _PHONE.found(held)):
+            return new
+
+
 def findings(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, new value) of all values that pass their check, in order, without overlaps."""
     if not _ANY.search(text):
         return []
-    found = []
-    for order, k in enumerate(KINDS):
-        if k.sign not in text:
-            continue
-        for m in k.pattern.finditer(text):
-            new = k.renew(m, f, back)
-            if new is not None:
-                found.append((m.start(), order, m.end(), k.name, new))
-    out, end = [], 0
-    for start, _, stop, name, new in sorted(found):
+    tried = sorted((start, order, rank, end) for order, k in enumerate(KINDS) if k.sign in text for start, end, rank in k.found(text))
+    chosen, free, end = [], [], 0
+    for start, order, _, stop in tried:
         if start >= end:
-            out.append((start, stop, name, new))
-            end = stop
-    return out
+            if _passes(KINDS[order], text, start, stop, f, back):
+                chosen.append((start, order, stop))
+                end = stop
+            else:
+                free.append((start, order, stop))  # would be chosen, if it passed
+    # Forward from the left, back from the right: what stands beside a value is the same when it is renewed and revealed.
+    out, now = [], list(text) if chosen and free else text
+    for n in reversed(range(len(chosen))) if back else range(len(chosen)):
+        start, order, stop = chosen[n]
+        if KINDS[order] is _ADDRESS:
+            new = _renewed_address(now, chosen[n - 1][2] if n else 0, start, stop, f, back)
+        else:
+            near = free[bisect_left(free, (start - _LONGEST,)) : bisect_left(free, (stop,))]
+            new = _renewed(now, start, stop, KINDS[order], [x for x in near if x[2] > start], f, back)
+        out.append((start, stop, KINDS[order].name, new))
+        if free and len(new) == stop - start:
+            now[start:stop] = new
+    return sorted(out)
 
 
 def rewrite(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
