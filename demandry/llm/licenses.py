@@ -118,16 +118,17 @@ def _best(words: Column, model: Model) -> Column:
 
 
 def own(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str = "text", model: Model | None = None) -> DataFrame:
-    """key, path, own (score, license of the best line, or null) and whole (of the whole file, if a line matched)."""
+    """key, path, own (score, license of the best line, else of the whole file if that matches, or null) and whole (of the
+    whole file, if a line holds an anchor)."""
     model = model or Model()
     some = r"(?i)(^|[^a-z0-9])(" + "|".join(model.anchors()) + r")($|[^a-z0-9])"
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.when(body.rlike(some), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(some))).otherwise(F.array().cast("array<string>"))
     near = lambda x: F.filter(F.transform(F.array_distinct(x), lambda line: _best(tokens(line), model)), lambda b: -b["minus"] >= F.lit(model.cosine))
-    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), let(lines, lambda x: F.array_min(near(x))).alias("own"), body.alias("__text"))
-    # A file that resembles a template as a whole has, by its few words, a line with an anchor as well.
-    whole = F.when(F.col("own").isNotNull(), _best(tokens(F.col("__text")), model))
-    return rows.withColumn("whole", whole).drop("__text")
+    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), let(lines, lambda x: F.array_min(near(x))).alias("own"), F.when(body.rlike(some), body).alias("__text"))
+    # A file that resembles a template as a whole holds an anchor; its lines need not resemble one.
+    rows = rows.withColumn("whole", F.when(F.col("__text").isNotNull(), _best(tokens(F.col("__text")), model))).drop("__text")
+    return rows.withColumn("own", F.coalesce("own", F.when(-F.col("whole.minus") >= F.lit(model.cosine), F.col("whole"))))
 
 
 def directory(path: Column) -> Column:

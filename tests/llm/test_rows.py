@@ -101,6 +101,16 @@ def test_licences_go_down_the_tree(spark):
     assert licenses.scan(df).count() == len(files) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_notices_wrapped_over_lines(spark):
+    notice, body = "Licensed under the Apache\nLicense, Version 2.0.\n", "\n".join(f"line {i} of a text" for i in range(200))
+    files = [(1, "a/LICENSE", notice), (2, "a/b/x.py", body), (3, "q/notes.txt", notice), (4, "q/y.py", body), (5, "r/x.py", notice + body)]
+    got = {r["doc_id"]: (r["license"], r["origin"], r["license_from"]) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("Apache-2.0", "file", None), 2: ("Apache-2.0", "inherited", "a/LICENSE"), 3: ("Apache-2.0", "file", None),
+        4: ("Apache-2.0", "inherited", "q/notes.txt"), 5: (None, "none", None),
+    }
+
+
 def test_lines_without_anchors_are_below_the_threshold():
     model = licenses.Model()
     anchors = set(model.anchors())
