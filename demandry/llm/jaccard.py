@@ -22,6 +22,7 @@ The result is exact but for the equality of 64-bit hashes of shingles.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -44,7 +45,7 @@ MOST_LIGHT = 40  # no boundary above this: subsets of large sets are too many
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 _SETS = (
-    "key long, no_key boolean, n int, node binary, lead boolean, prefix array<struct<t:long,p:int>>, parity array<long>, members binary"
+    "key long, no_key boolean, digest binary, n int, node binary, lead boolean, prefix array<struct<t:long,p:int>>, parity array<long>, members binary"
 )
 
 
@@ -153,6 +154,7 @@ def _set_rows(x: _Sets, rows: pa.Table, leads: np.ndarray, codes: np.ndarray, pl
         {
             "key": rows["key"],
             "no_key": rows["no_key"],
+            "digest": pa.array([hashlib.md5(t).digest() for t in B.encoded(rows)], pa.binary()),
             "n": pa.array(x.sizes, pa.int32()),
             "node": pa.array(x.nodes, pa.binary()),
             "lead": pa.array(lead, pa.bool_()),
@@ -306,16 +308,21 @@ def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     return first.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(_verified(rest.select(*pair).distinct(), held, t))
 
 
-def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: key, n_shingles and component_id, the least key that is reachable by links."""
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """key, no_key, the text's digest, n and group of each row; no group without a set."""
     t = Threshold(percent)
     held = sets(docs, key, text, shingle, t)
     boundary = choose_boundary(held.where("lead"), t)
     nodes = held.where("lead").select("node", "n", "members").dropDuplicates(["node"])
     links = heavy_links(held, boundary, t).union(light_links(nodes, boundary, t))
     root = roots(links)
-    rows = held.select("key", "no_key", "n", "node").join(root, "node", "left")
-    rows = rows.withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "node")))  # none without a set: alone
+    rows = held.select("key", "no_key", "digest", "n", "node").join(root, "node", "left")
+    return rows.withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "node")))  # none without a set: alone
+
+
+def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per document: key, n_shingles and component_id, the least key that is reachable by links."""
+    rows = _grouped(docs, key, text, shingle, percent)
     # Written, so that what is joined is not what was aggregated: the join of a large group can then be split.
     least = materialize(rows.where("n > 0").groupBy("group").agg(F.min("key").alias("least")), "least")
     out = rows.join(least, "group", "left")
@@ -328,12 +335,20 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that of least key, with its own columns.
-
-    Rows without a set are no duplicates of each other; of rows equal in key and text, one stays."""
-    found = components(docs, key=key, text=text, shingle=shingle, percent=percent)
-    gone = found.where((F.col("n_shingles") > 0) & ~F.col("component_id").eqNullSafe(F.col(key)))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(B.NULL_KEY)).alias("k"), F.xxhash64(text).alias("h"))
-    kept = rows.join(gone.select(F.col(key).cast("long").alias("k")).distinct(), "k", "left_anti")
-    again = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
+    """One document of each component, that of least key and then of least text digest, with its own columns.
+
+    Rows are told apart by key and text, so a key that occurs with several texts loses only those that are near another
+    document. Rows without a set are no duplicates of each other; of rows equal in key and text, one stays."""
+    grouped = _grouped(docs, key, text, shingle, percent).where("n > 0").select("group", F.struct("key", (~F.col("no_key")).alias("has_key"), "digest").alias("id"))
+    # Written, so that what is joined is not what was aggregated: the join of a large group can then be split.
+    least = materialize(grouped.groupBy("group").agg(F.min("id").alias("least")), "least")
+    gone = grouped.join(least, "group").where(F.col("id") != F.col("least")).select("id.*").distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(key).cast("long"), F.lit(B.NULL_KEY)).alias("key"),
+        F.col(key).isNotNull().alias("has_key"),
+        F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"),
+    )
+    kept = rows.join(gone, ["key", "has_key", "digest"], "left_anti")
+    again = F.row_number().over(Window.partitionBy("key", "has_key", "digest").orderBy("key"))
     return kept.withColumn("again", again).where("again = 1").select("row.*")

@@ -103,6 +103,19 @@ def test_components_of_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in stay.collect()) == sorted(["None", "None", "2", "3", "4", "6", "7", "8", "10", "11", "12"])
 
 
+def test_representatives_when_keys_repeat(spark):
+    """One row of each group stays, told apart by key and text."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c, d = " ".join(f"c{i}" for i in range(60)), " ".join(f"d{i}" for i in range(60))
+    rows = [(3, a), (5, a + " x"), (5, b), (7, c), (7, c + " x"), (None, d), (None, d + " x"), (9, d + " y"), (5, b), (None, None), (None, None)]
+    for order in (rows, rows[::-1]):
+        df = with_clashes(spark.createDataFrame(order, SCHEMA))
+        stay = [(r["doc_id"], r["text"]) for r in jaccard.representatives(df).collect()]
+        groups = sorted((str(k), (t or "none")[0]) for k, t in stay)
+        assert groups == [("3", "a"), ("5", "b"), ("7", "c"), ("None", "d"), ("None", "n")]
+        assert (3, a) in stay and (5, b) in stay
+
+
 def test_boundaries_link_the_same(spark, monkeypatch):
     rows = edited(8, 100, 40)
     want = components(rows)
