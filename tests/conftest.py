@@ -1,16 +1,15 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+for folder in (Path(__file__).resolve().parent, Path(__file__).resolve().parent.parent):
+    sys.path.insert(0, str(folder))
 
 from demandry.session import build  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,13 +26,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def month(i: int, start: tuple[int, int] = (2020, 1)) -> dt.date:
-    k = start[0] * 12 + start[1] - 1 + i
-    return dt.date(k // 12, k % 12 + 1, 1)
-
-
-def series_frame(spark, series: dict[str, list[float]]):
-    rows = [(p, month(i), float(v)) for p, ys in series.items() for i, v in enumerate(ys)]
-    return spark.createDataFrame(rows, "product_id string, month date, demand double")

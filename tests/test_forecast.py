@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import month, series_frame
+from helpers import month, series_frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

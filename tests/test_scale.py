@@ -7,7 +7,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF
+from helpers import SF
 from pyspark.sql import functions as F
 
 from demandry import session
