@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandry.llm import bpe, decontam, jaccard, licenses, mil, pii, repeats, rules, sharding, suffixes
-from demandry.llm.common import table
-from demandry.session import materialize
+from demandry.llm import bpe, decontam, idfiles, jaccard, licenses, manifest, mil, periodic, pii, repeats, rules, sharding, suffixes
+from demandry.llm.common import let, lower_ascii, table, words
+from demandry.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -251,3 +251,113 @@ links AS MATERIALIZED (
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id
 FROM d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+
+def tokenizer_file() -> str:
+    """The tokenizer file among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "ids")
+    index = idfiles.write(table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=0)
+    return idfiles.checksums(index, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+QUERIES["op11_id_files"] = op11_id_files
+
+
+def _with_period(key: Column, text: Column) -> Column:
+    """The contract's texts: in every tenth one, by the checksum of its key, the words from a on repeat with period p."""
+    h = F.crc32(key.cast("string"))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = F.when(n > 0, g % n).otherwise(0).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda s: F.array_join(
+            F.transform(w, lambda x, i: F.when(i < s["a"], x).otherwise(F.get(w, s["a"] + (i - s["a"]) % s["p"]))), " "))
+
+    return F.when(h % 10 == 0, let(words(text), repeated)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.runs(docs.select("doc_id", _with_period(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("top", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("(1000 * top.length) div (-top.p)").alias("exponent_milli"),
+        sha(F.array_join(lines, "")).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+QUERIES["op12_periodic_runs"] = op12_periodic_runs
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: manifest.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, fields(lower_ascii(F.col("text"))))
+    leaves = docs.select("doc_id", "lang", fields(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    proved = manifest.proofs(leaves, "doc_id", "lang", "leaf", carry=["tampered"])
+    folded = proved.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+QUERIES["op13_merkle_manifest"] = op13_merkle_manifest
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    fields = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    # Whether a document is tampered with depends on the CRC-32 of its key.
+    crc = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT),
+        lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"""
+    climb = lambda name, first: f"""
+{name} AS (
+    {first}
+    UNION ALL
+    SELECT level + 1, lang, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY level, lang, i // 8)"""
+    path = lambda of, nodes: f"""(
+    SELECT d.id, s.level, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < d.i >> (3 * s.level)), '') AS l,
+        coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > d.i >> (3 * s.level)), '') AS r
+    FROM {of} d JOIN {nodes} s ON s.lang = d.lang AND s.n > 1 AND s.i >> 3 = d.i >> (3 * s.level + 3) GROUP BY d.id, s.level)"""
+    return f"""
+WITH RECURSIVE crc_table AS (  -- of the CRC-32 with the reflected polynomial EDB88320
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))),
+l AS (
+    SELECT doc_id, coalesce('+' || lang, '') AS lang, {fields('text')} AS leaf, coalesce(CASE WHEN {crc} % 3 = 0
+        THEN {fields("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END, {fields('text')}) AS now
+    FROM documents, crc_table),
+d AS MATERIALIZED (
+    SELECT *, row_number() OVER (ORDER BY lang) AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+{climb('nodes', "SELECT 0 AS level, lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d")},
+sub AS MATERIALIZED (SELECT '' AS lang, lang AS id, h, row_number() OVER (ORDER BY lang) - 1 AS i FROM nodes WHERE n = 1),
+{climb('tops', "SELECT 0 AS level, lang, i, h, count(*) OVER () AS n FROM sub")},
+top_path AS MATERIALIZED {path('sub', 'tops')},
+steps AS (
+    SELECT id, level, l, r FROM {path('d', 'nodes')}
+    UNION ALL SELECT d.id, 1000 + level, l, r FROM top_path p JOIN d ON d.lang = p.id),
+paths AS (SELECT id, list(l || '.' || r ORDER BY level) AS path, string_agg(l || r, '' ORDER BY level) AS siblings FROM steps GROUP BY id),
+root AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT d.*, siblings, list_reduce([now] || coalesce(path, []), lambda a, s: sha256(split_part(s, '.', 1) || a || split_part(s, '.', 2))) AS folded_root
+    FROM d LEFT JOIN paths USING (id)) d, sub, root WHERE sub.id = d.lang"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()

@@ -18,4 +18,4 @@ def test_same_rows_as_sql(spark, sf, name, monkeypatch):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
