@@ -184,6 +184,11 @@ def _exact(symbols: np.ndarray, a: int, period: int) -> tuple[int, int]:
     return lo, hi + period
 
 
+def _has_shorter(symbols: np.ndarray, start: int, end: int, period: int) -> bool:
+    """Whether a stretch of two periods or more repeats with a shorter period as well, which then divides it."""
+    return any(period % r == 0 and np.array_equal(symbols[start : end - r], symbols[start + r : end]) for r in range(1, period // 2 + 1))
+
+
 def find_runs(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(start, length, period) of all runs of texts that lie one after another, in order of start and period."""
     starts, ends = _stretches(symbols, first)
@@ -223,6 +228,7 @@ def find_runs(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
             wrong = np.flatnonzero(packed[s : e - q] != packed[s + q : e])
             edges = np.append(np.append(-1, wrong), e - q - s)
             pieces = [_exact(packed, s + int(x) + 1, q) for x in edges[:-1] if int(x) + 1 < e - q - s]
+            pieces = [(x, y) for x, y in pieces if y - x >= LEAST_TIMES * q and not _has_shorter(packed, x, y, q)]
         else:
             pieces = [(s, e)]
         sure += [(x + origin[x], y - x, q) for x, y in pieces if y - x >= max(LEAST_WORDS, LEAST_TIMES * q)]

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,20 +72,16 @@ def test_small_files_are_ended_and_a_foreign_dictionary_is_refused(spark, monkey
     got = {r["key"]: r["ids_crc32"] for r in idfiles.checksums(index, folder).collect()}
     assert got == {k: crc([*x[:-1], 7]) for (k, _), x in zip(rows, plain_ids([t for _, t in rows]))}
     writer = idfiles._Writer(folder, 0, 2, b"")
-    monkeypatch.setattr(idfiles, "FILE_BYTES", 100)
+    monkeypatch.setattr(idfiles, "FILE_BYTES", 150)
     places = [writer.add(b"x" * 60) for _ in range(4)]
     writer.close()
     assert [offset for _, offset in places] == [41, 101, 41, 101] and len({f for f, _ in places}) == 2
     other = fresh_path(spark, "ids")
     idfiles.write(spark.createDataFrame(rows[:3], DOCS), other, tokenizer_file(), dictionary=b"another dictionary of bytes")
-    pyarrow.fs.copy_files(f"{other}/dictionary", f"{folder}/other")
-    mixed = spark.read.parquet(f"{folder}/other").first()
+    foreign = spark.read.parquet(f"{other}/dictionary").first()["sha256"]
+    fs, local = idfiles._place(f"{folder}/data")
     with pytest.raises(ValueError, match="dictionary"):
-        fs, local = idfiles._place(f"{folder}/data")
-        name = index.first()["file"]
-        import hashlib
-
-        idfiles._checked(fs.open_input_file(f"{local}/{name}"), hashlib.sha256(bytes(mixed["dictionary"])).digest())
+        idfiles._checked(fs.open_input_file(f"{local}/{index.first()['file']}"), bytes.fromhex(foreign))
 
 
 def test_dictionary_is_trained_and_shared(spark, sf):
