@@ -47,7 +47,7 @@ LEVEL = 3
 DICTIONARY_BYTES = 32 << 10
 SAMPLE, PASSAGE = 2048, 2048
 SPAN = 1 << 22  # code points that are cut into words at once
-KNOWN, KNOWN_WORD = 500_000, 64  # words whose ids a worker remembers, and the longest of them
+KNOWN, KNOWN_WORD = 1_500_000, 64  # words whose ids a worker remembers (some 150 bytes each), and the longest of them
 TOGETHER = 2000  # new words that are encoded in one call
 
 # A blank between two signs that are not white space always begins a new piece of the byte-level pattern.
@@ -116,15 +116,16 @@ class Encoder:
             nonlocal size
             if len(self.known) > KNOWN:
                 self.known.clear()
-            new = list({w for _, words in held for w in words} - self.known.keys())
-            ids = self._learn(new)
-            self.known.update((w, x) for w, x in ids.items() if len(w) <= KNOWN_WORD)
+            ids = self._learn(list(set().union(*(words for _, words in held)).difference(self.known)))
+            self.known.update(ids)
             firsts = self._whole([first for _, first in starts])
             for (i, _), x in zip(starts, firsts):
                 out[i].append(x)
-            get = lambda w: self.known.get(w) if len(w) <= KNOWN_WORD else ids[w]
             for i, words in held:
-                out[i].append(b"".join(map(get, words)))
+                out[i].append(b"".join(map(self.known.__getitem__, words)))
+            for w in ids:
+                if len(w) > KNOWN_WORD:
+                    del self.known[w]
             held.clear()
             starts.clear()
             size = 0
