@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from demandry.operators import clean as C
 from demandry.operators import convert as V
 from demandry.session import materialize
 from demandry.sources import files
+from demandry.sources import headers as H
 
 
 @dataclass
@@ -75,16 +76,20 @@ def _order(rows: DataFrame) -> list[str]:
     return ["date", *[c for c in files.FILE_ORDER if c in rows.columns]]
 
 
-def _format(spark: SparkSession, paths: list[str], sep: str | None) -> str:
-    """The one format of all files with a header; a header of neither is left to the check for missing columns."""
-    lines = files.header_lines(spark, [n for _, n in files.list_files(spark, paths)]).values()
-    headers = [[c.strip().strip('"') for c in re.split(re.escape(sep) if sep else "[;,]", line)] for line in lines]
-    try:
-        return V.common_format(headers)
-    except ValueError as e:
-        if "mixed" in str(e):
-            raise
-        return "v4"
+def _format(found: list[H.Header], sep: str | None) -> str:
+    """The one format of all files, told by their headers. A file of neither format is refused by name."""
+    known, unknown = [], []
+    for h in found:
+        columns = [c.strip().strip('"') for c in re.split(re.escape(sep) if sep else "[;,]", h.line)]
+        try:
+            V.detect_format(columns)
+            known.append(columns)
+        except ValueError:
+            unknown.append(h)
+    # Which format it should have had, the files beside it tell.
+    legacy = bool(known) and V.common_format(known) == "legacy"
+    H.refuse([replace(h, sep=sep or (";" if ";" in h.line else ",")) for h in unknown], S.LEGACY_REQUIRED if legacy else S.REQUIRED)
+    return "legacy" if legacy else "v4"
 
 
 def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str | None = None, encoding: str = "UTF-8") -> LoadResult:
@@ -96,10 +101,11 @@ def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str |
     try:
         if not paths:
             return LoadResult(error="no files given")
-        if _format(spark, paths, sep) == "legacy":
-            result = legacy_tables(files.read_legacy(spark, paths, encoding, sep or ";"), keep)
+        table = H.file_table(spark, paths, encoding)
+        if _format(H.headers(table), sep) == "legacy":
+            result = legacy_tables(files.read_legacy(spark, paths, encoding, sep or ";", table), keep)
         else:
-            result = monthly_tables(files.read_ledger(spark, paths, sep or ",", encoding), keep)
+            result = monthly_tables(files.read_ledger(spark, paths, sep or ",", encoding, table), keep)
         if result.movements.isEmpty():
             return LoadResult(error="no valid rows after cleaning")
         return result

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +14,8 @@ from demandry import schema as S
 from demandry.functions.columns import strip, to_number
 from demandry.functions.ordered import in_order
 from demandry.session import grouped_for
+from demandry.sources import headers as H
+from demandry.sources.headers import MissingColumns
 
 
 @dataclass(frozen=True)
@@ -27,10 +27,6 @@ class CsvLayout:
     mapping: dict[str, str] = field(default_factory=dict)
 
 
-class MissingColumns(ValueError):
-    """A ledger lacks required columns."""
-
-
 def require(df: DataFrame, required: list[str]) -> DataFrame:
     """``df`` unchanged, or an error naming what is missing and what there is. Looks at the schema only."""
     missing = [c for c in required if c not in df.columns]
@@ -39,67 +35,50 @@ def require(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
-# Files whose header lines are read in one job.
-_HEADERS_AT_ONCE = 100
-
-
-def _blank_name(written: str) -> bool:
-    """Whether a header names nothing: blank, or the name that other tools give to a blank one."""
-    return not written.strip() or written.strip().lower().startswith("unnamed")
-
-
-def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
-    """(place of the given path, file) of every file under the paths, in order. Contents are not read."""
-    out = []
-    for i, p in enumerate(paths):
-        found = spark.read.format("binaryFile").load(p).select(F.col("_metadata.file_path").alias("path")).collect()
-        out += [(i, r["path"]) for r in sorted(found)]
-    return out
-
-
-def header_lines(spark: SparkSession, names: list[str]) -> dict[str, str]:
-    """The first line of each file, read in few jobs whatever the number of files; files without any are left out."""
-    out: dict[str, str] = {}
-    for k in range(0, len(names), _HEADERS_AT_ONCE):
-        one = [spark.read.text(n).limit(1).select(F.lit(n).alias("file"), "value") for n in names[k : k + _HEADERS_AT_ONCE]]
-        out |= {r["file"]: r["value"] for r in reduce(DataFrame.unionAll, one).collect()}
-    return out
-
-
-def read_text_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_text_csv(
+    spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8", *, required: list[str] | None = None,
+    table: DataFrame | None = None,
+) -> DataFrame:
     """Every column as text under its own header, headers trimmed, columns without a name left out.
 
     Files are read together with those of the same header line and the groups are joined by name, so neither
-    the order of columns nor a missing one moves a value. ``source_no`` (place of the given path), ``source_path``,
-    ``row_block`` (the file split, bounded by the split size) and ``row_seq`` (the place in it) are the order of the
-    rows as given; ``source_file`` is the file's bare name.
+    the order of columns nor a missing one moves a value. A file that lacks a ``required`` column is refused by name.
+    ``source_no`` (place of the given path), ``source_path``, ``row_block`` (the file split, bounded by the split size) and
+    ``row_seq`` (the place in it) are the order of the rows as given; ``source_file`` is the file's bare name.
+    ``table`` is the files' :func:`headers.file_table` where the caller has it.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    files = list_files(spark, paths)
-    lines = header_lines(spark, [n for _, n in files])
-    groups: dict[tuple[int, str], list[str]] = {}
-    for i, n in files:
-        if n in lines:
-            groups.setdefault((i, lines[n]), []).append(n)
-    out = None
-    for (i, line), names in groups.items():
-        df = _one_header(spark, names, line, sep, encoding, i)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    table = H.file_table(spark, paths, encoding) if table is None else table
+    return read_found(table, H.refuse(H.headers(table, sep), required or []), paths, encoding)
+
+
+def read_found(table: DataFrame, found: list[H.Header], paths: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """The rows of the files of some headers of a table of files.
+
+    With ``paths``, ``found`` are all headers, and a path with one of them is read as a whole; other files are read by name."""
+    spark, out = table.sparkSession, None
+    if not found:
         raise ValueError("no files with a header")
+    sources = [h.source_no for h in found]
+    for h in found:
+        if paths and sources.count(h.source_no) == 1:
+            names: str | list[str] = paths[h.source_no]
+        else:
+            same = table.where((F.col("source_no") == h.source_no) & (F.col("header") == h.line))
+            names = sorted(r["path"] for r in same.select("path").collect())
+        df = read_columns(spark, names, h, encoding)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
-def _one_header(spark: SparkSession, names: list[str], line: str, sep: str, encoding: str, number: int) -> DataFrame:
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", sep).option("encoding", encoding)
-    raw = reader.csv(names)
-    written = next(csv.reader([line], delimiter=sep), [])
-    # Spark names a blank header by its place; only such columns, and those named "Unnamed", have no name.
-    kept = [c for c, w in zip(raw.columns, written) if not _blank_name(w)] if len(written) == len(raw.columns) else [c for c in raw.columns if not _blank_name(c)]
+def read_columns(spark: SparkSession, names: str | list[str], header: H.Header, encoding: str) -> DataFrame:
+    """The rows of files that have one header, every column as text. Columns go by place, so no file is opened to learn their names."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header.written))])
+    raw = spark.read.schema(schema).option("header", True).option("sep", header.sep).option("encoding", encoding).csv(names)
     return raw.select(
-        *[F.col(f"`{c}`").alias(c.strip()) for c in kept],
+        *[F.col(f"c{i}").alias(n) for n, i in header.places.items()],
         F.col("_metadata.file_name").alias("source_file"),
-        F.lit(number).alias("source_no"),
+        F.lit(header.source_no).alias("source_no"),
         F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_block_start").alias("row_block"),
         F.monotonically_increasing_id().alias("row_seq"),
@@ -110,24 +89,23 @@ def _one_header(spark: SparkSession, names: list[str], line: str, sep: str, enco
 FILE_ORDER = ["source_no", "source_path", "row_block", "row_seq"]
 
 
-def read_ledger(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Several ledger files as one table; headers may differ in order and in optional columns."""
+def read_ledger(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str = "UTF-8", table: DataFrame | None = None) -> DataFrame:
+    """Several ledger files as one table; headers may differ in order and in optional columns, but each has the required ones."""
     if not paths:
         raise ValueError("no files given")
-    return require(read_text_csv(spark, paths, sep, encoding), S.REQUIRED)
+    return read_text_csv(spark, paths, sep, encoding, required=S.REQUIRED, table=table)
 
 
-def read_legacy(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ";") -> DataFrame:
+def read_legacy(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ";", table: DataFrame | None = None) -> DataFrame:
     """Older ledger: ``;`` between fields and a decimal comma."""
-    df = require(read_text_csv(spark, path, sep, encoding), S.LEGACY_REQUIRED)
+    df = read_text_csv(spark, path, sep, encoding, required=S.LEGACY_REQUIRED, table=table)
     numeric = {c for c, n in S.LEGACY_NAMES.items() if n in S.NUMERIC}
     return df.select(*[to_number(c).alias(c) if c in numeric else F.col(c) for c in df.columns])
 
 
 def read_tenant_csv(spark: SparkSession, path: str | list[str], layout: CsvLayout) -> DataFrame:
     """A tenant's file under our names, following its stored layout."""
-    df = read_text_csv(spark, path, layout.sep, layout.encoding)
-    require(df, list(layout.mapping))
+    df = read_text_csv(spark, path, layout.sep, layout.encoding, required=list(layout.mapping))
     return df.withColumnsRenamed(layout.mapping)
 
 

@@ -105,10 +105,10 @@ def balanced_ledger(spark: SparkSession, sf_dir: str, *columns: str, opening: fl
     return out.withColumn("stock_before", F.col("stock_after") - signed)
 
 
-def raw_ledger(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
+def raw_ledger(spark: SparkSession, sf_dir: str, places: bool = False, org: bool = False) -> DataFrame:
     """The ledger as it would arrive in a file: all text, input headers, a known set of dirty rows.
 
-    ``places`` keeps the order of the rows (row_block, row_seq), as the file reader gives it.
+    ``places`` keeps the order of the rows (row_block, row_seq), as the file reader gives it; ``org`` adds org_id.
 
     Rows with the stated order-number multiples get another date format (97), no date (211), a comma
     decimal (89), a blank inside the number (83), two separators (307), a blank product (199), padded text (53),
@@ -116,7 +116,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFr
     """
     full = balanced_ledger(
         spark, sf_dir, "year", "month_no", "day", "product_name", "client", "department", "channel", "pos",
-        "unit_price", "discount_pct", "total_value", "campaign", "unit_cost",
+        "unit_price", "discount_pct", "total_value", "campaign", "unit_cost", *(["org_id"] if org else []),
     )
     key = F.col("row_seq.l_orderkey")
     every = lambda n: key % n == 0
@@ -156,6 +156,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFr
         F.col("campaign").alias("Campana"),
         F.col("unit_cost").cast("string").alias("Costo_unitario"),
         *(["row_block", "row_seq"] if places else []),
+        *(["org_id"] if org else []),
     )
 
 

@@ -1,28 +1,34 @@
-"""Incremental ingest of ledger files: only the months a batch touches are rebuilt."""
+"""Incremental ingest of ledger files: only the months a batch touches are rebuilt.
+
+With a configuration of organizations, files lie below a folder for each organization and are read by its layout; all state is
+then kept by organization and month, and products of one code in two organizations never mix. A file without the required
+columns goes to the quarantine table and holds nothing else back.
+"""
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from demandry import schema as S
 from demandry.operators import build as B
 from demandry.operators import clean as C
 from demandry.session import grouped_for, materialize
-from demandry.sources.files import CsvLayout, read_text_csv, require
-
+from demandry.sources import files, layouts
+from demandry.sources import headers as H
 
-_FILES = "path string, modificationTime timestamp, length long, content binary"
+# Within a day, rows stand as their batches came and as their files hold them.
+_ORDER = ["batch_id", "source_no", "source_path", "source_file", "row_block", "row_seq"]
 
 
 @dataclass(frozen=True)
 class Store:
-    """Folder layout of the ledger and its monthly tables, all partitioned by month."""
+    """Folder layout of the ledger and its monthly tables, all partitioned by month (and organization)."""
 
     root: str
 
@@ -30,76 +36,102 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def _overwrite(df: DataFrame, path: str, by: list[str]) -> None:
-    grouped_for(df, *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def _overwrite(df: DataFrame, path: str, by: list[str], counted: Observation | None = None) -> None:
+    """Replace the partitions that ``df`` has rows for; its rows are counted as they are written."""
+    rows = grouped_for(df, *by)
+    rows = rows if counted is None else rows.observe(counted, F.count("*").alias("n"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def _months(spark: SparkSession, store: Store, name: str, schema: StructType, months: list[dt.date]) -> DataFrame:
-    """The rows of some months; only their folders are listed, and a month without rows has none."""
-    base = store.path(name)
-    months = [m for m in months if _exists(spark, f"{base}/month={m}")]
-    if not months:
+def _partitions(spark: SparkSession, path: str, schema: StructType, keys: list[str], values: list[tuple]) -> DataFrame:
+    """The rows of some partitions; only their folders are listed, and one without rows has none."""
+    folders = ["/".join([path, *[f"{k}={v}" for k, v in zip(keys, some)]]) for some in values]
+    folders = [f for f in folders if H.exists(spark, f)]
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/month={m}" for m in months])
-
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there; planning a read lists it, and runs no job."""
-    try:
-        spark.read.format("binaryFile").schema(_FILES).load(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
 
-
-def apply_batch(raw: DataFrame, batch_id: int, store: Store) -> None:
-    """Add one batch of raw rows and rebuild demand and stock of its months.
+def apply_batch(raw: DataFrame, batch_id: int, store: Store, scope: Sequence[str] = ()) -> None:
+    """Add one batch of raw rows and rebuild demand and stock of its months, by the columns of ``scope`` if there are any.
 
     Every write replaces whole partitions (the batch's own slice of the ledger, the touched months of
     the tables, the batch's audit row), so running the same batch again changes nothing. A batch without any valid
-    row, or without sales, is a batch like any other.
+    row, or without sales, is a batch like any other. Files are parsed once, and every count is taken while its rows are written.
     """
-    spark = raw.sparkSession
+    spark, scope = raw.sparkSession, list(scope)
     if "row_seq" not in raw.columns:
         # Rows of one file split stay in one task and in order, so this numbers them within the split.
         raw = raw.withColumn("row_seq", F.monotonically_increasing_id())
-    # Written once: the files are parsed once, and what follows has its rows and months at hand.
-    cleaned = materialize(C.clean(raw).withColumns({"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)}), "batch")
-    kept = cleaned.agg(F.count("*").alias("n"), F.collect_set("month").alias("months")).first()
-    months = sorted(kept["months"])
-    _overwrite(cleaned, store.path("ledger"), ["month", "batch_id"])
-    touched = _months(spark, store, "ledger", cleaned.schema, months)
-    order = ["date", "batch_id", *[c for c in ("source_no", "source_path", "source_file", "row_block", "row_seq") if c in touched.columns]]
-    tables = {"demand_monthly": B.demand_monthly(touched), "stock_monthly": B.stock_monthly(touched, order=order)}
-    counts = {}
-    for name, df in tables.items():
-        _overwrite(df, store.path(name), ["month"])
-        counts[name] = _months(spark, store, name, df.schema, months).count()
+    read, kept = Observation(), Observation()
+    counted = raw.observe(read, F.count("*").alias("n"))
+    cleaned = C.clean(counted).withColumns({"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)})
+    touched = F.collect_set(F.struct(*scope, "month"))
+    cleaned = materialize(cleaned.observe(kept, F.count("*").alias("n"), touched.alias("touched")), "batch")
+    by = [*scope, "month"]
+    touched_now = sorted(tuple(r) for r in kept.get["touched"])
+    _overwrite(cleaned, store.path("ledger"), [*by, "batch_id"])
+    ledger = _partitions(spark, store.path("ledger"), cleaned.schema, by, touched_now)
+    order = ["date", *[c for c in _ORDER if c in ledger.columns]]
+    keys = [*scope, "product_id"]
+    n_demand, n_stock = Observation(), Observation()
+    _overwrite(B.demand_monthly(ledger, keys), store.path("demand_monthly"), by, n_demand)
+    _overwrite(B.stock_monthly(ledger, keys, order), store.path("stock_monthly"), by, n_stock)
+    counts = {"n_raw": read, "n_clean": kept, "n_demand": n_demand, "n_stock": n_stock}
     audit = spark.range(1).select(
         F.lit(batch_id).alias("batch_id"),
-        F.lit(raw.count()).cast("bigint").alias("n_raw"),
-        F.lit(kept["n"]).cast("bigint").alias("n_clean"),
-        F.lit(counts["demand_monthly"]).cast("bigint").alias("n_demand"),
-        F.lit(counts["stock_monthly"]).cast("bigint").alias("n_stock"),
+        *[F.lit(seen.get["n"]).cast("bigint").alias(c) for c, seen in counts.items()],
         F.current_timestamp().alias("processed_at"),
     )
     _overwrite(audit, store.path("audit"), ["batch_id"])
 
 
-def ingest(spark: SparkSession, inbox: str, store: Store, layout: CsvLayout = CsvLayout()) -> StreamingQuery:  # noqa: B008
+def _quarantine(judged: DataFrame, batch_id: int, store: Store) -> None:
+    """Refused files of a batch, with what each lacks. The rows of a batch are replaced, so a rerun changes nothing."""
+    refused = judged.where(~F.col("verdict").isin(H.GOOD, H.EMPTY))
+    org = F.col("org_id") if "org_id" in judged.columns else F.lit(None).cast("string")
+    rows = refused.select(org.alias("org_id"), "path", "size_bytes", "header", "missing", "verdict", F.lit(batch_id).alias("batch_id"))
+    _overwrite(rows, store.path("quarantine"), ["batch_id"])
+
+
+QUARANTINE = "org_id string, path string, size_bytes bigint, header string, missing array<string>, verdict string, batch_id int"
+
+
+def quarantine(spark: SparkSession, store: Store) -> DataFrame:
+    """All refused files so far."""
+    if not H.exists(spark, store.path("quarantine")):
+        return spark.createDataFrame([], QUARANTINE)
+    return spark.read.schema(QUARANTINE).parquet(store.path("quarantine"))
+
+
+def ingest(
+    spark: SparkSession, inbox: str, store: Store, layout: files.CsvLayout = files.CsvLayout(), *, config: DataFrame | None = None  # noqa: B008
+) -> StreamingQuery:
     """Process every file not seen before, then stop. Files already recorded in the checkpoint are skipped.
 
     The stream says which files are new; their rows are read by header name, as everywhere, so files of one batch may
-    order their columns differently.
+    order their columns differently. Without ``config`` all files lie in the inbox and have one layout. With it they lie
+    below inbox/organization and have the layouts of its rows (see :func:`layouts.layouts`), whose names are the ledger's headers.
     """
-    new = spark.readStream.schema(_FILES).format("binaryFile").load(inbox).select("path")
-
-    def batch(found: DataFrame, batch_id: int) -> None:
-        paths = sorted(r["path"] for r in found.collect())  # one row per new file
-        if paths:
-            raw = read_text_csv(spark, paths, layout.sep, layout.encoding)
-            apply_batch(require(raw, list(layout.mapping)).withColumnsRenamed(layout.mapping), batch_id, store)
-
+    reader = spark.readStream.schema(H.LISTED).format("binaryFile")
+    reader = reader if config is None else reader.option("recursiveFileLookup", True)
+    new = reader.load(inbox).select("path", F.col("length").alias("size_bytes"))
+
+    def one_layout(found: DataFrame, batch_id: int) -> None:
+        table = H.with_headers(found.select(F.lit(0).alias("source_no"), "path", "size_bytes", F.lit(layout.encoding).alias("encoding")))
+        required = [*layout.mapping, *[c for c in S.REQUIRED if c not in layout.mapping.values()]]
+        heads = H.headers(table, layout.sep)
+        _quarantine(H.judged(table, heads, required), batch_id, store)
+        good = [h for h in heads if not h.missing(required)]
+        if good:
+            rows = files.read_found(table, good, None, layout.encoding).withColumnsRenamed(layout.mapping)
+            apply_batch(rows, batch_id, store)
+
+    def by_organization(found: DataFrame, batch_id: int) -> None:
+        load = layouts.read_tenants(spark, inbox, config, S.REQUIRED, found)
+        _quarantine(load.files, batch_id, store)
+        if load.rows is not None:
+            apply_batch(load.rows, batch_id, store, ["org_id"])
+
+    batch = one_layout if config is None else by_organization
     return new.writeStream.foreachBatch(batch).option("checkpointLocation", store.path("_checkpoint")).trigger(availableNow=True).start()
