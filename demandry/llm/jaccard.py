@@ -8,7 +8,8 @@ texts of the corpus have a shingle (see blocks) orders each set from rare to com
   same components with one row per set.
 * **Heavy** sets meet in the inverted lists of their rarest shingles (as many as any linked pair must share one of;
   shingles that occur once have no list). A meeting counts only if sizes, the places of the shingle in both orders,
-  and the parities of shingle counts in hashed buckets allow a link; then the sets are compared. First all sets of a
+  and the parities of shingle counts in 256 hashed buckets allow a link; a list's entries have one width, whatever the set's
+  size. Then the parities in as many buckets as the sets are large are looked up, and what they allow is compared. First all sets of a
   list meet its least edited one only, and what is connected by then needs no more meetings; then the rest meet.
 * The **boundary** is where the number of subsets to list and of list entries to scan is the least in sum, both
   counted from the data.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -44,8 +46,13 @@ EARLY_ROUNDS = 2  # after the first links; more would spare a few meetings and c
 MOST_LIGHT = 40  # no boundary above this: subsets of large sets are too many
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
+# Parities that go with a set into every list: FOLD longs of bits.
+FOLD = 4
+_FOLD = [f"f{i}" for i in range(FOLD)]
+
 _SETS = (
-    "key long, no_key boolean, digest binary, n int, node binary, lead boolean, prefix array<struct<t:long,p:int>>, parity array<long>, members binary"
+    "key long, no_key boolean, digest binary, n int, node binary, lead boolean, prefix array<struct<t:long,p:int>>, "
+    f"{', '.join(f'{f} long' for f in _FOLD)}, parity array<long>, members binary"
 )
 
 
@@ -114,18 +121,24 @@ def _is_lead(rows: pa.Table, got: pa.Table) -> np.ndarray:
     return np.isin(rows["key"].to_numpy(), np.array([int(x) for x in mine], np.int64))
 
 
+def _parity(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Whether each of ``width`` buckets holds an odd number of the shingles, as 64-bit words."""
+    bits = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _set_rows(x: _Sets, rows: pa.Table, leads: np.ndarray, codes: np.ndarray, place: np.ndarray, t: Threshold) -> pa.Table:
     """One row per document; the set itself with the first document of each different set among those of ``leads``."""
     code = np.zeros(len(x.shingles), np.uint8)
     code[leads[x.of]] = codes[place] if len(place) else 0
     seen: set[bytes] = set()
-    lead, prefix_t, prefix_p, prefix_n, parity, members = [], [], [], [0], [], []
+    lead, prefix_t, prefix_p, prefix_n, fold, parity, members = [], [], [], [0], [], [], []
     for node, n, a, b, stands in zip(x.nodes, x.sizes.tolist(), x.first.tolist(), x.last.tolist(), leads.tolist()):
         first = stands and n > 0 and node not in seen
         if first:
             seen.add(node)
         lead.append(first)
-        count, held, words = 0, None, []
+        count, held, words, folded = 0, None, [], [0] * FOLD
         if first:
             shingles = x.shingles[a:b]
             order = np.lexsort((shingles, code[a:b]))[: t.probe(n)]
@@ -135,14 +148,14 @@ def _set_rows(x: _Sets, rows: pa.Table, leads: np.ndarray, codes: np.ndarray, pl
             prefix_t.append(shingles[order[p]])
             prefix_p.append(p)
             if count:
-                width = 1 << max(6, (2 * n - 1).bit_length())
-                bits = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-                words = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+                words, folded = _parity(shingles, 1 << max(6, (2 * n - 1).bit_length())), _parity(shingles, 64 * FOLD)
             if count or n <= 2 * MOST_LIGHT:
                 held = shingles.tobytes()
         prefix_n.append(prefix_n[-1] + count)
+        fold.append(folded)
         parity.append(words)
         members.append(held)
+    folds = np.array(fold, np.int64).reshape(-1, FOLD)
     structs = pa.StructArray.from_arrays(
         [
             pa.array(np.concatenate([*prefix_t, np.empty(0, np.uint64)]).astype(np.int64)),
@@ -159,6 +172,7 @@ def _set_rows(x: _Sets, rows: pa.Table, leads: np.ndarray, codes: np.ndarray, pl
             "node": pa.array(x.nodes, pa.binary()),
             "lead": pa.array(lead, pa.bool_()),
             "prefix": pa.ListArray.from_arrays(pa.array(prefix_n, pa.int32()), structs),
+            **{f: pa.array(folds[:, i]) for i, f in enumerate(_FOLD)},
             "parity": pa.array(parity, pa.list_(pa.int64())),
             "members": pa.array(members, pa.binary()),
         }
@@ -249,16 +263,34 @@ def _differences(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(narrow(a, b), narrow(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
 
 
+def _allowed(n: Column, m: Column, t: Threshold) -> Column:
+    """How many shingles of two linked sets may be in one of them only."""
+    return n + m - 2 * F.ceil(F.lit(t.percent) * (n + m) / F.lit(100 + t.percent))
+
+
 def _may_link(a: str, b: str, t: Threshold) -> Column:
-    """Whether sizes, places of the common shingle and parities allow two sets to be linked. a is the larger."""
+    """Whether sizes, places of the common shingle and folded parities allow two sets to be linked. a is the larger."""
     n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.p"), F.col(f"{b}.p")
     need = F.ceil(F.lit(t.percent) * (n + m) / F.lit(100 + t.percent))
-    return (100 * m >= t.percent * n) & (F.least(n - p, m - q) >= need) & (_differences(F.col(f"{a}.parity"), F.col(f"{b}.parity")) <= n + m - 2 * need)
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FOLD])
+    return (100 * m >= t.percent * n) & (F.least(n - p, m - q) >= need) & (differ <= _allowed(n, m, t))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs of nodes that are linked, by comparison of the sets."""
-    wanted = held.where("lead").select("node", "members")
+    """The pairs of nodes that are linked, by their parities in full and then by comparison of the sets."""
+    held = held.where("lead").withColumn("size", F.struct("n", "parity"))
+
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs with what their nodes hold, x and y. A node may be held by several blocks; any one of its equal sets will do."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        each = held.select("node", column).join(named, "node").groupBy("node").agg(F.first(column).alias("of"))
+        for side, name in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(each.select(F.col("node").alias(side), F.col("of").alias(name)), side)
+        return pairs
+
+    wide = both(materialize(pairs, "pairs"), "size")
+    few = _differences(F.col("x.parity"), F.col("y.parity")) <= _allowed(F.col("x.n"), F.col("y.n"), t)
+    with_both = both(materialize(wide.where(few).select("a", "b"), "near"), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,25 +301,19 @@ def _verified(pairs: DataFrame, held: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(100 * both >= t.percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # A node may be held by several blocks; any one of its equal sets will do.
-    one = wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").groupBy("node").agg(F.first("members").alias("members"))
-    with_a = pairs.join(one.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    with_both = with_a.join(one.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return with_both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     """Links of sets that are both above the boundary."""
     heavy = held.where("lead").where(F.col("n") > boundary)
-    entries = heavy.select("node", "n", F.inline("prefix")).select("t", "p", "n", "node").distinct()
-    # A list of one set is no list. What the others need to be compared comes to them only now.
+    entries = heavy.select("node", "n", *_FOLD, F.inline("prefix")).select("t", "p", "n", "node", *_FOLD).distinct()
+    # A list of one set is no list.
     several = entries.groupBy("t").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u != v").select("t")
-    entries = materialize(entries.join(several, "t", "left_semi"), "entries")
-    parities = heavy.select("node", "parity").join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    lists = materialize(entries.join(parities, "node"), "lists")
-    entry = F.struct("p", "n", "node", "parity")
+    lists = materialize(entries.join(several, "t", "left_semi"), "lists")
+    entry = F.struct("p", "n", "node", *_FOLD)
     center = lists.groupBy("t").agg(F.min(entry).alias("c"))
-    met = lists.select("t", F.struct("p", "n", "node", "parity").alias("e")).join(center, "t").where(F.col("e.node") != F.col("c.node"))
+    met = lists.select("t", entry.alias("e")).join(center, "t").where(F.col("e.node") != F.col("c.node"))
     larger = F.col("e.n") > F.col("c.n")
     met = met.select(F.when(larger, F.col("e")).otherwise(F.col("c")).alias("x"), F.when(larger, F.col("c")).otherwise(F.col("e")).alias("y"))
     pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
@@ -299,7 +325,7 @@ def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
     grouped = materialize(grouped, "grouped")
     apart = grouped.groupBy("t").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u != v").select("t")
     open_lists = grouped.join(apart, "t", "left_semi")
-    fields = F.struct("p", "n", "node", "parity", "root")
+    fields = F.struct("p", "n", "node", *_FOLD, "root")
     larger_side = open_lists.select("t", fields.alias("x"))
     # The smaller of two sets has the shingle among the few that any larger partner must share.
     smaller_side = open_lists.where(F.col("p") < F.col("n") - F.ceil(F.lit(2 * t.percent) * F.col("n") / F.lit(100 + t.percent)) + 1).select("t", fields.alias("y"))
@@ -310,6 +336,8 @@ def heavy_links(held: DataFrame, boundary: int, t: Threshold) -> DataFrame:
 
 def _grouped(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """key, no_key, the text's digest, n and group of each row; no group without a set."""
+    if percent < 50:
+        raise ValueError("parities of sets are compared at widths that fit similarities of 50 per cent or more")
     t = Threshold(percent)
     held = sets(docs, key, text, shingle, t)
     boundary = choose_boundary(held.where("lead"), t)

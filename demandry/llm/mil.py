@@ -210,7 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     known = known.where(~held_out(F.col("__key")) & F.col("__y").isNotNull() & F.col("__key").isNotNull())
     known = known.groupBy("__key").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__key"), "__key").limit(sample)
     rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    picked = rows.join(F.broadcast(known), "__key").select("__y", "__text")  # at most ``sample`` keys are broadcast
+    found = rows.join(F.broadcast(known), "__key")  # at most ``sample`` keys are broadcast
+    # One row for each key, however many the table has: that of the least text hash.
+    least = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text", "__y")).alias("r")
+    picked = found.groupBy("__key").agg(least).select("r.__y", "r.__text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

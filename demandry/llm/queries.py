@@ -94,12 +94,15 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 covered AS (SELECT doc_id, sum(step) AS n FROM (
     SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice) GROUP BY doc_id),
 c AS MATERIALIZED (
-    SELECT s.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    SELECT s.doc_id, lang, md5(text) AS digest, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, (length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')))::BIGINT AS n_upper
     FROM split s LEFT JOIN covered v ON v.doc_id = s.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+held AS (  -- each key once, and each text of a language once
+    SELECT DISTINCT ON (lang, digest) * FROM (
+        SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY digest, lang) = 1)),
 grid AS ({grid}),
 certified AS MATERIALIZED (SELECT * FROM grid WHERE
     CASE WHEN k > n * {share} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:

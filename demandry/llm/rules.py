@@ -132,9 +132,12 @@ def certify(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", stra
             rules: Mapping[str, Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with good labelled documents: the certified cutoff of each rule, or null.
 
-    ``measured`` has key, stratum and ``c``, the struct of counts."""
+    ``measured`` has key, stratum, ``c``, the struct of counts, and ``text_md5``. The bound holds for independent documents, so each
+    key counts once (by the text of least digest), and each text once in a stratum."""
     good = labels.where(F.col(label) == 1).select(key).distinct()
     held = measured.where(~base_failed(F.col("c"))).join(good, key, "left_semi")
+    by_key = held.groupBy(key).agg(F.min(F.struct("text_md5", stratum, "c")).alias("r")).select("r.*")
+    held = by_key.groupBy(stratum, "text_md5").agg(F.min("c").alias("c"))
     tests = [(name, i) for name, r in rules.items() for i in range(len(r.cutoffs))]
     rejected = [
         F.count_if(_hit(F.col("c"), rules[name], F.lit(rules[name].cutoffs[i]))).alias(f"{name}_{i}") for name, i in tests
@@ -153,8 +156,9 @@ def certify(measured: DataFrame, labels: DataFrame, *, key: str = "doc_id", stra
 
 
 def measure(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: Sequence[str] = ("lang",)) -> DataFrame:
-    """key, stratum and counts ``c``; nothing else, so no other column name can clash."""
-    return docs.select(F.col(key), _stratum(stratum).alias("stratum"), counts(F.col(text)).alias("c"))
+    """key, stratum, counts ``c`` and text_md5; nothing else, so no other column name can clash."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return docs.select(F.col(key), _stratum(stratum).alias("stratum"), counts(F.col(text)).alias("c"), digest.alias("text_md5"))
 
 
 def _stratum(columns: Sequence[str]) -> Column:

@@ -93,6 +93,22 @@ def test_components_at_other_thresholds(spark):
         assert got == components(rows, percent, shingle), (percent, shingle)
 
 
+def test_low_similarities_are_refused(spark):
+    with pytest.raises(ValueError, match="50"):
+        jaccard.components(spark.createDataFrame([], SCHEMA), percent=40)
+
+
+def test_lists_hold_as_much_for_long_sets_as_for_short_ones():
+    """An entry's parities have one width; a lower bound of the difference all the same."""
+    rng = np.random.default_rng(8)
+    for n in (50, 400, 20_000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64)])
+        fold = [jaccard._parity(x, 64 * jaccard.FOLD) for x in (a, b)]
+        assert len(fold[0]) == jaccard.FOLD
+        assert np.unpackbits((fold[0] ^ fold[1]).view(np.uint8)).sum() <= 2 * (n // 10)
+
+
 def test_components_of_odd_rows(spark):
     rows = odd_rows()
     df = with_clashes(spark.createDataFrame(rows, SCHEMA))

@@ -66,6 +66,19 @@ def test_cutoffs_need_enough_good_documents(spark):
     assert 5000 not in kept and {5001, 5002} <= kept and len(kept) == len(docs) - 1
 
 
+def test_repeated_rows_certify_nothing(spark):
+    """One good document 900 times, under one key or under many, is one document of the holdout."""
+    text = " ".join(f"word{i}" for i in range(40))
+    labels = spark.createDataFrame([(i, 1) for i in range(900)], "doc_id long, quality int")
+    for key in ("cast(0 as long)", "id"):
+        docs = spark.range(900).selectExpr(f"{key} as doc_id", f"'{text}' as text", "'en' as lang")
+        cut = rules.certify(rules.measure(docs), labels).collect()
+        assert [tuple(r)[1:] for r in cut] == [(None,) * len(rules.RULES)]
+    twice = spark.range(1800).selectExpr("id % 900 as doc_id", f"concat('{text} n', id % 900) as text", "'en' as lang")
+    once = twice.distinct()
+    assert rules.certify(rules.measure(twice), labels).collect() == rules.certify(rules.measure(once), labels).collect()
+
+
 def test_shards(spark):
     rows = [(i, f"text {i}") for i in range(3000)] + odd_rows()
     df = with_clashes(spark.createDataFrame(rows, SCHEMA))

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from demandry.llm import bpe, mil, pii
 from demandry.llm.queries import op4_attention_quality, rank_file
@@ -197,3 +198,13 @@ def test_classifier_on_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in scores)
     assert len({r["score"] for r in scores if r["doc_id"] == 5}) == 1
     assert mil.score(df.limit(0), mil.fit(df.limit(0), two)).count() == 0
+
+
+def test_one_row_of_each_key_is_learned_from(spark):
+    """Keys that occur very often send one row each; the model is that of the single rows."""
+    rows = [(k, f"some words of key {k}") for k in (0, 1, 3, 4, 5, 7)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(800)))).drop("copy").repartition(6)
+    assert often.count() == 800 * len(rows)
+    assert mil.fit(often, labels) == mil.fit(once, labels)
