@@ -19,8 +19,8 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], acc
 
     Pass 1 brackets each percentile by approximate ones, or by the extremes at the ends. Pass 2 counts the rows below
     each bracket by sums, and lists only the values inside one (a few 1/accuracy parts of the rows), each with its
-    number. Those are ranked by blocks of their order, so no task holds a bracket. If a bracket ever missed its rank
-    the job fails rather than return a wrong number.
+    number. Those are ranked by blocks of their order, and each block looks for the ranks asked for by itself, so no task holds
+    a bracket. If a bracket ever missed its rank the job fails rather than return a wrong number.
     """
     eps = 8.0 / accuracy
     cuts = sorted({max(0.0, p - eps) for p in probs} | {min(1.0, p + eps) for p in probs})
@@ -60,11 +60,13 @@ def exact_percentiles(df: DataFrame, columns: list[str], probs: list[float], acc
     pos = (F.col("n") - 1) * F.col("p")
     upto = F.col("under") + F.col("upto")
     holds = lambda k: (upto - F.col("cnt") <= k) & (k < upto)
-    picked = (
-        known.join(ranked, "bracket", "left")
-        .groupBy("column", "p", "n")
+    # One row for each bracket is broadcast to the ranked values, which are added up where they lie; then as many rows meet.
+    found = (
+        ranked.join(F.broadcast(known), "bracket")
+        .groupBy("bracket")
         .agg(F.max(F.when(holds(F.floor(pos)), F.col("v"))).alias("a"), F.max(F.when(holds(F.ceil(pos)), F.col("v"))).alias("b"))
     )
+    picked = known.join(F.broadcast(found), "bracket", "left")
     missed = F.col("a").isNull() | F.col("b").isNull()
     value = F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")).otherwise(
         F.col("a") + (F.col("b") - F.col("a")) * (pos - F.floor(pos))

@@ -178,8 +178,10 @@ def demand_groupings(movements: DataFrame) -> DataFrame:
 def warehouse_balance(movements: DataFrame, opening: float = 0.0) -> DataFrame:
     """Running balance per product and warehouse: opening plus everything in minus everything out."""
     rows = _with_month(movements)
+    # Within a day by file, in the order in which the files were given, and within a file by its blocks.
+    blocks = [c for c in ("source_no", "source_path", "row_block") if c in rows.columns]
     out = running_balance(
         rows, F.col("in_units") - F.col("out_units"), keys=["product_id", "warehouse"], coarse="month",
-        fine=["date", "row_block"], order=["row_seq"], out="balance",
+        fine=["date", *blocks], order=["row_seq"], out="balance",
     )
     return out.withColumn("balance", F.col("balance") + opening)

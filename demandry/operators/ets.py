@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandry.operators.forecast import ETS
@@ -250,3 +250,44 @@ def forecast_ets(series: DataFrame, periods: int = 1, refine: bool = True) -> Da
         _histories(series).select("product_id", F.element_at("months", -1).alias("last"), F.posexplode(fit("y")).alias("j", "forecast"))
         .select("product_id", F.expr("add_months(last, j + 1)").alias("month"), (F.col("j") + 1).alias("step"), F.lit(ETS).alias("model"), "forecast")
     )
+
+
+def smooth(series: DataFrame, alpha: float | Column, beta: float | Column, gamma: float | Column) -> DataFrame:
+    """One-step forecasts of every month and of the one after the last, for given weights and textbook starting states.
+
+    The level starts as the mean of the first season, the trend as a twelfth of the second season's gain over it, the
+    seasonal terms as the first season's differences from the level. Series of less than two seasons have no
+    rows. ``y_true`` is null for the month after the last. The recursion runs inside one row per product, without Python; weights
+    may be columns of ``series`` that are constant for a product.
+    """
+    weights = [w if isinstance(w, Column) else F.lit(float(w)) for w in (alpha, beta, gamma)]
+    named = [w.cast("double").alias(n) for w, n in zip(weights, ("a", "b", "g"))]
+    held = series.select("product_id", "month", "demand", *named).groupBy("product_id").agg(
+        F.sort_array(F.collect_list(F.struct("month", "demand"))).alias("h"), *[F.first(n).alias(n) for n in ("a", "b", "g")]
+    )
+    held = held.where(F.size("h") >= MIN_OBS).select("product_id", F.col("h.month").alias("months"), F.col("h.demand").alias("y"), "a", "b", "g")
+    mean = lambda first: F.aggregate(F.slice("y", first, SEASON), F.lit(0.0), lambda s, x: s + x) / SEASON
+    held = held.withColumn("l0", mean(1)).withColumn("t0", (mean(SEASON + 1) - F.col("l0")) / SEASON)
+    start = F.struct(
+        F.col("l0").alias("level"), F.col("t0").alias("trend"), F.transform(F.slice("y", 1, SEASON), lambda x: x - F.col("l0")).alias("season"),
+        F.array().cast("array<double>").alias("ahead"),
+    )
+    guess = lambda s, t: s["level"] + s["trend"] + F.get(s["season"], t % SEASON)
+
+    def step(s: Column, t: Column) -> Column:
+        miss = F.get(F.col("y"), t) - guess(s, t)
+        return F.struct(
+            (s["level"] + s["trend"] + F.col("a") * miss).alias("level"), (s["trend"] + F.col("b") * miss).alias("trend"),
+            F.transform(s["season"], lambda x, k: F.when(k == t % SEASON, x + F.col("g") * miss).otherwise(x)).alias("season"),
+            F.array_append(s["ahead"], guess(s, t)).alias("ahead"),
+        )
+
+    n = F.size("y")
+    ahead = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: F.array_append(s["ahead"], guess(s, n)))
+    return held.select("product_id", "months", "y", F.posexplode(ahead).alias("at", "ahead")).select(
+        "product_id",
+        F.coalesce(F.get("months", F.col("at")), F.add_months(F.element_at("months", -1), 1)).alias("month"),
+        F.lit(ETS).alias("model"),
+        F.get("y", F.col("at")).alias("y_true"),
+        F.greatest(F.lit(0.0), F.col("ahead")).alias("y_pred"),
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandry.functions.columns import newsvendor_z, service_level, z_of_service_level
-from demandry.operators import forecast as FC
+from demandry.operators import history as HI
 
 
 def safety_stock(z: float | Column, sigma: Column, lead_time: int = 1) -> Column:
@@ -81,36 +81,6 @@ def _eval_months(n: Column, months: int) -> Column:
     return F.when(n < months + 6, F.least(F.lit(months), F.greatest(F.lit(1), n - 2))).otherwise(F.lit(months))
 
 
-def _winner_forecast(rows: DataFrame, predictions: DataFrame | None) -> DataFrame:
-    """Forecast of each product's model; ``predictions`` supplies models that are not baselines."""
-    pick = F.col(FC.NAIVE)
-    for m in (FC.SEASONAL, FC.MA3, FC.MA6):
-        pick = F.when(F.col("winner") == m, F.col(m)).otherwise(pick)
-    if predictions is None:
-        return rows.withColumn("forecast", F.greatest(F.lit(0.0), pick))
-    extra = predictions.where(~F.col("model").isin(*FC.BASELINES)).select(
-        "product_id", "month", F.col("model").alias("winner"), F.col("y_pred").alias("__extra")
-    )
-    return (
-        rows.join(extra, ["product_id", "month", "winner"], "left")
-        .withColumn("forecast", F.greatest(F.lit(0.0), F.coalesce("__extra", pick))).drop("__extra")
-    )
-
-
-def _start_stock(series: DataFrame, stock: DataFrame | None, start: Column) -> DataFrame:
-    """(product, s0): stock of the month at position ``start``, 0 if there is none or it is negative.
-
-    Histories meet as one row per product, so the replayed rows are not shuffled again.
-    """
-    months = series.groupBy("product_id").agg(F.sort_array(F.collect_list("month")).alias("__months"))
-    at = months.withColumn("n", F.size("__months")).select("product_id", F.get("__months", start).alias("__at"))
-    if stock is None:
-        return at.select("product_id", F.lit(0.0).alias("s0"))
-    by_month = stock.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "stock"))).alias("__stock"))
-    held = F.coalesce(F.try_element_at("__stock", F.col("__at")), F.lit(0.0))
-    return at.join(by_month, "product_id", "left").select("product_id", F.greatest(F.lit(0.0), held).alias("s0"))
-
-
 def replay_policy(
     series: DataFrame, stock: DataFrame | None, best: DataFrame, classes: DataFrame, *, eval_months: int = 12,
     lead_time: int = 1, sigma: str | None = None, predictions: DataFrame | None = None,
@@ -120,15 +90,13 @@ def replay_policy(
     ``sigma`` names a column of ``best`` to use as the spread; otherwise it is the mean absolute change of the six
     months known at the time.
     """
-    keep = ["product_id", "winner"] + ([sigma] if sigma else [])
+    own = [F.greatest(F.lit(0.0), F.col(sigma)).alias("sigma")] if sigma else []
+    packed = HI.pack(series, stock, predictions).join(best.select("product_id", "winner", *own), "product_id")
+    packed = packed.join(policy_levels(classes.select("product_id", "abc")).select("product_id", "z_policy"), "product_id")
     start = F.greatest(F.lit(0), F.col("n") - 1 - _eval_months(F.col("n"), eval_months))
-    change = F.abs(F.col("demand") - F.lag("demand", 1).over(_by_product()))
-    rows = FC.baseline_columns(series).withColumn("__change", change)
-    spread = F.col(sigma) if sigma else F.coalesce(F.avg("__change").over(_by_product().rowsBetween(-5, -1)), F.lit(0.0))
-    rows = rows.join(best.select(*keep), "product_id")
-    rows = _winner_forecast(rows, predictions).withColumn("sigma", F.greatest(F.lit(0.0), spread))
-    rows = rows.join(_start_stock(series, stock, start), "product_id").where(F.col("pos") > start)
-    rows = rows.join(policy_levels(classes.select("product_id", "abc")), "product_id")
+    packed = packed.withColumn("s0", HI.stock_at(start))
+    spread = {} if sigma else {"sigma": HI.recent_change}
+    rows = HI.each_month(packed, start + 1, {"forecast": HI.forecast_at, **spread}, ["product_id", "z_policy", "s0", *(["sigma"] if sigma else [])])
     rows = rows.withColumn("ss", F.col("z_policy") * F.col("sigma") * math.sqrt(float(lead_time)))
     out = _order_up_to(rows.withColumn("__T", F.col("forecast") + F.col("ss")), "__T", "")
     return out.withColumn("stockout", F.col("lost") > 0).select(
@@ -148,32 +116,16 @@ def replay_kpis(replay: DataFrame) -> DataFrame:
     )
 
 
-def winner_sigma(series: DataFrame, best: DataFrame, test_months: int = 12, predictions: DataFrame | None = None) -> DataFrame:
-    """MAE of each product's model over the last min(test, max(6, n - 2)) months; the least MAE if it has none."""
-    n = F.col("n")
-    horizon = F.least(F.lit(test_months), F.greatest(F.lit(6), n - 2))
-    wide = FC.baseline_columns(series).where((n >= 3) & (F.col("pos") >= F.greatest(F.lit(1), n - horizon)))
-    long = FC.to_long(wide.withColumnRenamed("demand", "y_true"), FC.BASELINES)
-    if predictions is not None:
-        long = long.unionByName(predictions.where(~F.col("model").isin(*FC.BASELINES)).select(*long.columns))
-    scores = long.groupBy("product_id", "model").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
-    own = F.max(F.when(F.col("model") == F.col("winner"), F.col("mae")))
-    return (
-        scores.join(best.select("product_id", "winner"), "product_id").groupBy("product_id", "winner")
-        .agg(F.greatest(F.lit(0.0), F.coalesce(own, F.min("mae"))).alias("sigma"))
-    )
-
-
 def replay_comparison(
     series: DataFrame, stock: DataFrame | None, best: DataFrame, *, eval_months: int = 12, lead_time: int = 1,
     cost_inventory: float = 1.0, cost_stockout: float = 5.0, test_months: int = 12, predictions: DataFrame | None = None,
 ) -> DataFrame:
     """Months as they would have gone without the system (order last month's demand) and with it, with costs."""
     start = F.greatest(F.lit(1), F.col("n") - 1 - _eval_months(F.col("n"), eval_months))
-    sig = winner_sigma(series, best, test_months, predictions)
-    rows = FC.baseline_columns(series).withColumn("prev_demand", F.lag("demand", 1).over(_by_product()))
-    rows = _winner_forecast(rows.join(sig, "product_id"), predictions)
-    rows = rows.join(_start_stock(series, stock, start - 1), "product_id").where(F.col("pos") >= start)
+    packed = HI.pack(series, stock, predictions).join(best.select("product_id", "winner"), "product_id")
+    packed = packed.withColumns({"sigma": HI.winner_error(test_months), "s0": HI.stock_at(start - 1)}).where(F.col("sigma").isNotNull())
+    before = lambda i: F.get(F.col("demand"), i - 1)
+    rows = HI.each_month(packed, start, {"prev_demand": before, "forecast": HI.forecast_at}, ["product_id", "winner", "sigma", "s0"])
     rows = rows.withColumn("sys_ss", safety_stock(newsvendor_z(cost_stockout, cost_inventory), F.col("sigma"), lead_time))
     rows = _repeat_last(rows, "base_")
     rows = _order_up_to(rows.withColumn("__T", F.col("forecast") + F.col("sys_ss")), "__T", "sys_")

@@ -17,6 +17,7 @@ from demandry.operators import convert as V
 from demandry.session import materialize
 from demandry.sources import files
 from demandry.sources import headers as H
+from demandry.sources import snapshot
 
 
 @dataclass
@@ -115,3 +116,18 @@ def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str |
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return LoadResult(error=f"file not found: {e.getMessageParameters().get('path')}")
+
+
+def run_and_store(spark: SparkSession, paths: list[str], root: str, org_id: str, **reading: str) -> LoadResult:
+    """Load an organization's files and make the results its stored ones, with the number of files and the time.
+
+    A load that fails leaves what is stored as it was.
+    """
+    result = run(spark, paths, **reading)
+    if result.ok:
+        owned = lambda df: df.withColumn("org_id", F.lit(org_id))
+        tables = {"movements": result.movements, "demand_monthly": result.demand_monthly, "stock_monthly": result.stock_monthly}
+        n_files = H.list_files(spark, paths).count()
+        org = spark.createDataFrame([(org_id,)], "org_id string")
+        snapshot.save_snapshot({k: owned(df.drop("org_id")) for k, df in tables.items()}, root, org, n_files)
+    return result

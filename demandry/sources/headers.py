@@ -88,7 +88,7 @@ def _line_of(f: pa.NativeFile, encoding: str) -> str | None:
     while more:
         part = f.read(PIECE)
         data, more = data + part, len(part) == PIECE and len(data) < HEADER_BYTES
-        lines = [x for x in re.split("\r\n|\n|\r", data.decode(encoding, "replace").removeprefix("\ufeff")) if x.strip()]
+        lines = [x for x in re.split("\r\n|\n|\r", data.decode(encoding, "replace").replace("\ufeff", "")) if x.strip()]
         if len(lines) > 1 or (lines and not more):
             return lines[0]
     return None

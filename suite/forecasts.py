@@ -234,6 +234,26 @@ def multi_period_named_product(spark, sf):
     return E.forecast_ets(mine, 6).unionByName(FC.multi_period(mine, 6))
 
 
+@query(
+    "ets_given_weights",
+    "WITH RECURSIVE " + T.chain(*_SERIES).removeprefix("WITH ")
+    + """, h AS (
+      SELECT product_id, list(demand ORDER BY month) AS y, list(month ORDER BY month) AS ms, count(*) AS n, 0.1 + CAST(product_id AS BIGINT) % 5 / 10.0::DOUBLE AS a
+      FROM series GROUP BY product_id HAVING count(*) >= 24),
+    states AS (
+      SELECT h.*, 0 AS t, list_avg(y[1:12]) AS level, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS trend, list_transform(y[1:12], lambda x: x - list_avg(y[1:12])) AS season FROM h
+      UNION ALL
+      SELECT product_id, y, ms, n, a, t + 1, level + trend + a * e, trend + 0.05 * e, list_transform(season, lambda x, k: CASE WHEN k = t % 12 + 1 THEN x + 0.2 * e ELSE x END)
+      FROM (SELECT *, y[t + 1] - (level + trend + season[t % 12 + 1]) AS e FROM states WHERE t < n))
+    SELECT product_id, CAST(coalesce(ms[t + 1], ms[n] + INTERVAL 1 MONTH) AS DATE) AS month, y[t + 1] AS y_true, greatest(0, level + trend + season[t % 12 + 1]) AS y_pred FROM states""",
+    each("y_pred", 6),
+)
+def ets_given_weights(spark, sf):
+    """The state recursion of every product under weights that differ by product, checked month by month."""
+    s = C.series(spark, sf).withColumn("alpha", 0.1 + (F.col("product_id").cast("bigint") % 5) / 10.0)
+    return E.smooth(s, F.col("alpha"), 0.05, 0.2).drop("model")
+
+
 @query("ets_backtest")
 def ets_backtest(spark, sf):
     scored, _ = E.split_backtest(E.backtest_ets(C.series(spark, sf)))

@@ -39,18 +39,28 @@ def nearest_z(spark, sf):
     return rows.withColumn("z", z_of_service_level("level"))
 
 
+# The normal distribution function by its series: odd powers of z over double factorials.
+_CDF = """0.5 + sign(mid) * exp(-mid * mid / 2) / sqrt(2 * pi())
+      * list_sum(list_transform(range(70), lambda k: exp((2 * k + 1) * ln(greatest(abs(mid), 1e-12)) - lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1))))"""
+
+
 @query(
     "newsvendor_by_product",
-    """WITH p AS (SELECT p_partkey, p_retailprice / 100 AS cs, p_size / 5.0::DOUBLE AS ci FROM part), q AS (SELECT *, least(greatest(cs / (cs + ci), 0.001), 0.999) AS r FROM p)
-    SELECT p_partkey, r AS critical_ratio, CASE WHEN r >= 0.977249868051821 THEN 2.0 WHEN r >= 0.841344746068543 THEN 1.0 WHEN r >= 0.5 THEN 0.0 ELSE -1.0 END::DOUBLE AS z_floor FROM q""",
-    each("critical_ratio", 9),
+    f"""WITH RECURSIVE p AS (SELECT p_partkey, p_retailprice / 100 AS cs, p_size / 5.0::DOUBLE AS ci FROM part),
+    q AS (SELECT p_partkey, least(greatest(cs / (cs + ci), 0.001), 0.999) AS r FROM p),
+    halves AS (  -- the quantile by bisection
+      SELECT p_partkey, r, -4.0::DOUBLE AS lo, 4.0::DOUBLE AS hi, 0.0::DOUBLE AS mid, 0 AS i FROM q
+      UNION ALL
+      SELECT p_partkey, r, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, ((CASE WHEN below THEN mid ELSE lo END) + (CASE WHEN below THEN hi ELSE mid END)) / 2, i + 1
+      FROM (SELECT *, {_CDF} < r AS below FROM halves WHERE i < 40))
+    SELECT p_partkey, r AS critical_ratio, mid AS z FROM halves WHERE i = 40""",
+    each("critical_ratio", 9) | each("z", 6),
 )
 def newsvendor_by_product(spark, sf):
     cs, ci = F.col("p_retailprice") / 100, F.col("p_size") / 5.0
     rows = tpch.table(spark, sf, "part").select("p_partkey", cs.alias("cs"), ci.alias("ci")).withColumn("z", newsvendor_z_of("cs", "ci"))
     ratio = F.least(F.greatest(F.col("cs") / (F.col("cs") + F.col("ci")), F.lit(0.001)), F.lit(0.999))
-    floor = F.when(F.col("z") >= 2, 2.0).when(F.col("z") >= 1, 1.0).when(F.col("z") >= 0, 0.0).otherwise(-1.0)
-    return rows.select("p_partkey", ratio.alias("critical_ratio"), floor.alias("z_floor"))
+    return rows.select("p_partkey", ratio.alias("critical_ratio"), "z")
 
 
 def _recommendation(where: str = "") -> str:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandry import schema as S
+from demandry.operators import build as B
 from demandry.operators import clean as K
 from demandry.operators import sqlapi as A
 from demandry.plans import load
-from demandry.session import fresh_path
+from demandry.session import fresh_path, materialize
 from demandry.sources import files, snapshot, tpch
 from demandry.sources.tpch import ledger
 from suite import builders
@@ -216,6 +217,37 @@ def snapshot_freshness(spark, sf):
     return fresh.select("org_id", "files_processed", F.col("updated_at").isNotNull().alias("data_loaded"))
 
 
+@query(
+    "stored_backtests",
+    T.chain(*T.FORECAST) + " SELECT product_id, model, mae, n, CASE WHEN length(product_id) % 2 = 0 THEN 'second' ELSE 'first' END AS run FROM scores",
+    each("mae", 6),
+)
+def stored_backtests(spark, sf):
+    """Backtests stored by product and model; a second run replaces those of some products, and the store is compacted."""
+    root, keys = fresh_path(spark, "store"), ["product_id", "model"]
+    scores = materialize(C.scores(spark, sf).select("product_id", "model", "mae", "n"), "scores")
+    snapshot.save_results(scores.withColumn("run", F.lit("first")), root, "backtests", keys)
+    some = scores.where(F.length("product_id") % 2 == 0).withColumn("run", F.lit("second"))
+    snapshot.save_results(some.withColumn("mae", F.col("mae") * 2), root, "backtests", keys)
+    snapshot.compact_results(spark, root, "backtests")
+    snapshot.save_results(some, root, "backtests", keys)
+    return snapshot.load_results(spark, root, "backtests").drop("created_at")
+
+
+@query(
+    "load_to_store",
+    T.chain(T.LEDGER)
+    + " SELECT product_id, month, abs(sum(qty)) AS demand FROM ledger WHERE kind = 'sale' AND ok % 211 <> 0 AND ok % 307 <> 0 AND ok % 199 <> 0 AND ok % 101 <> 0 GROUP BY product_id, month",
+)
+def load_to_store(spark, sf):
+    """From files to the organization's stored tables, and back out of the store."""
+    root = fresh_path(spark, "stored")
+    files.write_csv(tpch.raw_ledger(spark, sf), f"{root}/in")
+    done = load.run_and_store(spark, [f"{root}/in"], f"{root}/store", "org0")
+    assert done.ok, done.error
+    return snapshot.load_snapshot(spark, f"{root}/store", "demand_monthly", "org0").select("product_id", "month", "demand")
+
+
 _FIELDS = [("product_id", "string"), ("date", "date"), ("kind", "string"), ("qty", "double"), ("doc_no", "string")]
 
 
@@ -368,3 +400,26 @@ def ties_in_given_order(spark, sf):
         mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange(4, "Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
         files.write_csv(mine.drop("row_seq"), f"{path}/{name}")
     return load.run(spark, [f"{path}/z", f"{path}/b"], keep=False).stock_monthly.select("product_id", "month", "stock")
+
+
+@query(
+    "warehouse_balance_over_files",
+    T.chain(T.LEDGER)
+    + """ SELECT product_id, warehouse, ok || '-' || ln || '-' || pk || '-' || sk AS row,
+      sum(in_units - out_units) OVER (PARTITION BY product_id, warehouse ORDER BY date, ok % 2, ok, ln, pk, sk ROWS UNBOUNDED PRECEDING) AS balance FROM ledger""",
+)
+def warehouse_balance_over_files(spark, sf):
+    """Movements of one day in two files count file by file as the files were given, not by their places in the files."""
+    path = fresh_path(spark, "balance")
+    rows = ledger(spark, sf, "product_id", "date", "doc", "doc_no", "warehouse", "in_units", "out_units", "row_seq")
+    seq = F.col("row_seq")
+    raw = rows.select(
+        F.col("product_id").alias("Codigo"), F.concat_ws("-", *[seq[c] for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("Descripcion"),
+        F.col("date").alias("Fecha"), F.col("doc").alias("Documento"), F.col("doc_no").alias("Numero"), F.col("warehouse").alias("Bodega"),
+        F.col("in_units").alias("Entrada_unid"), F.col("out_units").alias("Salida_unid"), F.lit(0.0).alias("Saldo_unid"), "row_seq",
+    )
+    for name, rest in (("z", 0), ("b", 1)):
+        mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange(4, "Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
+        files.write_csv(mine.drop("row_seq"), f"{path}/{name}", sep=";", decimal=",")
+    moves = load.run(spark, [f"{path}/z", f"{path}/b"], keep=False).movements
+    return B.warehouse_balance(moves).select("product_id", "warehouse", F.col("product_name").alias("row"), "balance")

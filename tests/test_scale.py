@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from demandry import session
 from demandry.functions.ordered import in_order, running_balance, with_group_totals
 from demandry.functions.quantile import exact_percentiles
+from demandry.operators import analytics as A
 from demandry.operators import build as B
 from demandry.operators import forecast as FC
+from demandry.operators import policy as P
 from demandry.operators import sqlapi as Q
 from demandry.sources import tpch
 from demandry.sources.files import number_parts
@@ -149,3 +151,31 @@ def test_shared_folder_is_the_configured_one():
         session.shared_dir(_Session(None, "yarn"))
     local = _Session(None, "local[2]")
     assert session.shared_dir(local) == session.shared_dir(local)
+
+
+def test_percentile_values_are_not_gathered_by_bracket(spark):
+    """A million different values in one bracket: they are looked at block by block, and only the brackets' rows meet."""
+    df = spark.range(1_000_000).select((F.col("id") * 7 % 1_000_003).cast("double").alias("a"))
+    out = exact_percentiles(df, ["a"], [0.5], accuracy=16)
+    text = plan(out).split("== Physical Plan ==")[1]
+    assert "SortMergeJoin [bracket" not in text and "ShuffledHashJoin [bracket" not in text
+    assert "BroadcastHashJoin [bracket" in text
+    a = (np.arange(1_000_000, dtype=np.int64) * 7) % 1_000_003
+    assert out.first().value == np.quantile(a, 0.5)
+
+
+def test_replays_read_each_table_once(spark):
+    """Histories meet in one exchange by product; the months are worked out from them without another."""
+    kept = lambda df: session.materialize(df, "plan")
+    series, stock = kept(common.series(spark, SF)), kept(common.stock(spark, SF))
+    best, classes = kept(common.best(spark, SF)), kept(A.abc(common.demand(spark, SF)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out, tables in ((P.replay_policy(series, stock, best, classes), 4), (P.comparison_kpis(P.replay_comparison(series, stock, best)), 3)):
+            text = plan(out).split("== Physical Plan ==")[1]
+            assert text.count("FileScan parquet") == tables
+            assert text.count("Exchange hashpartitioning(product_id") == tables - 1
+            assert "Python" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -256,3 +256,55 @@ def test_inventory(spark, tmp_path):
     got = files.inventory(spark, str(tmp_path)).select("file_key", "org_id", "file_type", "size_bytes").collect()
     assert [tuple(r) for r in got] == [("o1/raw/x.csv", "o1", "raw", 2)]
     assert F.col is not None
+
+
+def test_a_table_empty_at_its_first_load(spark, tmp_path):
+    df = spark.createDataFrame([("001", 1.5, "x")], "org_id string, v double, w string")
+    root = str(tmp_path / "snap")
+    snapshot.save_snapshot({"t": df.limit(0), "u": df}, root, df, 1)
+    got = snapshot.load_snapshot(spark, root, "t")
+    assert got.columns == ["org_id", "v", "w"] and got.count() == 0
+    assert snapshot.load_snapshot(spark, root, "t", "none").columns == ["org_id", "v", "w"]
+    assert [tuple(r) for r in snapshot.load_snapshot(spark, root, "u").collect()] == [("001", 1.5, "x")]
+    with pytest.raises(ValueError, match="no stored table"):
+        snapshot.load_snapshot(spark, root, "z")
+
+
+def test_replaced_loads_are_removed(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "org_id string, v int")
+    root = tmp_path / "snap"
+    for n in (1, 2, 3):
+        snapshot.save_snapshot({"t": df.withColumn("v", F.col("v") * n)}, str(root), df if n < 3 else df.where("org_id = 'a'"), n)
+    folders = lambda: len(list((root / "t").glob("load_id=*")))
+    assert folders() == 3
+    assert snapshot.expire(spark, str(root), dt.datetime(2000, 1, 1)) == [] and folders() == 3
+    removed = snapshot.expire(spark, str(root), dt.datetime.now() + dt.timedelta(days=2))
+    assert len(removed) == 1 and folders() == 2
+    assert sorted(map(tuple, snapshot.load_snapshot(spark, str(root), "t").select("org_id", "v").collect())) == [("a", 3), ("b", 4)]
+
+
+def test_results_by_key(spark, tmp_path):
+    root, keys = str(tmp_path), ["project", "product_id", "model"]
+    make = lambda rows, more="": spark.createDataFrame(rows, "project string, product_id string, model string, mae double" + more)
+    with pytest.raises(ValueError, match="no stored results"):
+        snapshot.load_results(spark, root, "backtests")
+    snapshot.save_results(make([("p", "a", "m", 1.0), ("p", "b", "m", 2.0)]), root, "backtests", keys)
+    snapshot.save_results(make([("p", "b", "m", 3.0, 7), ("q", "b", "m", 4.0, 8)], ", n int"), root, "backtests", keys)
+    want = {("p", "a", 1.0, None), ("p", "b", 3.0, 7), ("q", "b", 4.0, 8)}
+    read = lambda: {(r.project, r.product_id, r.mae, r.n) for r in snapshot.load_results(spark, root, "backtests").collect()}
+    assert read() == want
+    snapshot.compact_results(spark, root, "backtests")
+    assert read() == want and len(list((tmp_path / "backtests" / "data").iterdir())) == 1
+    snapshot.save_results(make([("p", "a", "m", 9.0)]), root, "backtests", keys)
+    assert read() == (want - {("p", "a", 1.0, None)}) | {("p", "a", 9.0, None)}
+
+
+def test_load_store_freshness(spark, tmp_path):
+    p = lines(tmp_path / "a.csv", HEAD, "2024-01-05,P1,n,Venta,5,10,5")
+    root = str(tmp_path / "store")
+    assert load.run_and_store(spark, [p], root, "o1").ok
+    bad = lines(tmp_path / "bad.csv", "x,y", "1,2")
+    assert "bad.csv" in load.run_and_store(spark, [p, bad], root, "o1").error
+    assert [tuple(r) for r in snapshot.load_snapshot(spark, root, "demand_monthly", "o1").select("product_id", "demand").collect()] == [("P1", 5.0)]
+    fresh = snapshot.freshness(snapshot.manifest(spark, root)).first()
+    assert (fresh.org_id, fresh.files_processed) == ("o1", 1)
