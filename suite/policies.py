@@ -52,8 +52,8 @@ _CDF = """0.5 + sign(mid) * exp(-mid * mid / 2) / sqrt(2 * pi())
       SELECT p_partkey, r, -4.0::DOUBLE AS lo, 4.0::DOUBLE AS hi, 0.0::DOUBLE AS mid, 0 AS i FROM q
       UNION ALL
       SELECT p_partkey, r, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, ((CASE WHEN below THEN mid ELSE lo END) + (CASE WHEN below THEN hi ELSE mid END)) / 2, i + 1
-      FROM (SELECT *, {_CDF} < r AS below FROM halves WHERE i < 40))
-    SELECT p_partkey, r AS critical_ratio, mid AS z FROM halves WHERE i = 40""",
+      FROM (SELECT *, {_CDF} < r AS below FROM halves WHERE i < 48))
+    SELECT p_partkey, r AS critical_ratio, mid AS z FROM halves WHERE i = 48""",
     each("critical_ratio", 9) | each("z", 6),
 )
 def newsvendor_by_product(spark, sf):
