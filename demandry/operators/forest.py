@@ -112,17 +112,19 @@ def next_month_forest(series: DataFrame, *, trees: int = 400, depth: int = 12, s
 
 
 def multi_period_forest(
-    series: DataFrame, periods: int, *, trees: int = 400, depth: int = 12, seed: int = 42
+    series: DataFrame, periods: int, *, trees: int = 400, depth: int = 12, seed: int = 42, asked: DataFrame | None = None
 ) -> DataFrame:
     """Forecasts for the next 1..``periods`` months: each step's forecast joins the history of the next.
 
+    The model learns from all of ``series``; with ``asked``, forecasts are made for those rows' products alone.
     Every step is written to the shared folder, so the plan of a step does not contain those before it.
     """
     if not 1 <= periods <= 24:
         raise ValueError("periods must be between 1 and 24")
     model = _fit(_prepared(FC.features(series)).select("features", "label"), trees, depth, seed)
     whole = Window.partitionBy("product_id")
-    sized = series.select("product_id", "month", "demand", F.count("*").over(whole).alias("size"), F.max("month").over(whole).alias("last"))
+    asked = series if asked is None else asked
+    sized = asked.select("product_id", "month", "demand", F.count("*").over(whole).alias("size"), F.max("month").over(whole).alias("last"))
     # A year and a month of history feed the features of the next month.
     known = materialize(sized.where(F.col("month") > F.add_months("last", -13)).drop("last"), "history")
     out = None

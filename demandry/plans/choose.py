@@ -46,6 +46,34 @@ def select(results: ModelResults, by: str = "mae") -> DataFrame:
     return FC.winners(FC.with_chosen_window(FC.metrics(results.predictions)), by)
 
 
+def best_fitted(results: ModelResults, by: str = "mae") -> DataFrame:
+    """Winner per product among the fitted models alone."""
+    return FC.winners(FC.metrics(results.predictions.where(F.col("model").isin(FC.ETS, FC.FOREST))), by)
+
+
+def multi_period(series: DataFrame, periods: int, best: DataFrame, forest: dict | None = None) -> DataFrame:
+    """Forecasts of the next 1..``periods`` months by each product's winner (product, month, step, model, forecast).
+
+    Products are dealt to the models once, by a written table; each model then forecasts its own products only, while the forest
+    learns from all of them. Its steps feed each other; the other models know all steps at once. A product without a winner, or
+    with an unknown one, gets the naive forecast. ``forest`` holds the settings of the forest, if any product may ask for it.
+    """
+    if not 1 <= periods <= 24:
+        raise ValueError("periods must be between 1 and 24")
+    known = [*FC.BASELINES, FC.ETS, *([FC.FOREST] if forest is not None else [])]
+    asked = F.when(F.col("winner").isin(known), F.col("winner")).otherwise(FC.NAIVE)
+    one = best.groupBy("product_id").agg(F.min("winner").alias("winner"))
+    dealt = materialize(series.join(one, "product_id", "left").select("product_id", "month", "demand", asked.alias("winner")), "dealt")
+    of = lambda model: dealt.where(F.col("winner") == model).drop("winner")
+    baselines = dealt.where(F.col("winner").isin(FC.BASELINES))
+    chosen = baselines.groupBy("product_id").agg(F.max("winner").alias("model"))
+    out = FC.multi_period(baselines.drop("winner"), periods).join(chosen, ["product_id", "model"], "left_semi")
+    out = out.unionByName(E.forecast_ets(of(FC.ETS), periods))
+    if forest is not None and not of(FC.FOREST).isEmpty():
+        out = out.unionByName(R.multi_period_forest(dealt.drop("winner"), periods, asked=of(FC.FOREST), **forest))
+    return out
+
+
 def portfolio(
     series: DataFrame, demand: DataFrame, results: ModelResults, by: str = "mae", classes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

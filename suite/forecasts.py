@@ -16,6 +16,7 @@ from suite import common as C
 from suite import twin as T
 from suite.registry import each, query
 
+_TREES = {"trees": 20, "depth": 6}
 _SERIES = (T.LEDGER, T.DEMAND, T.SERIES, T.COLUMNS)
 _BEST = (*T.FORECAST, T.CHOSEN, T.ranked("chosen"), T.BEST)
 
@@ -234,6 +235,66 @@ def multi_period_named_product(spark, sf):
     return E.forecast_ets(mine, 6).unionByName(FC.multi_period(mine, 6))
 
 
+@query(
+    "multi_period_named_baselines",
+    T.chain(*_SERIES, T.AHEAD)
+    + """, h AS (SELECT unnest(generate_series(1, 6)) AS step)
+    SELECT e.product_id, CAST(e.month + to_months(CAST(step - 1 AS INTEGER)) AS DATE) AS month, CAST(step AS INTEGER) AS step, unnest(['Naive', 'Seasonal12', 'MA3', 'MA6']) AS model,
+      unnest([f_naive, s.demand, f_ma3, f_ma6]) AS forecast FROM ends e CROSS JOIN h JOIN newest s ON s.product_id = e.product_id AND s.back = 13 - step
+    WHERE e.product_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE lower(p_name) LIKE '%red widget%')""",
+    each("forecast", 9),
+)
+def multi_period_named_baselines(spark, sf):
+    """The baseline half of ``multi_period_named_product``."""
+    products = tpch.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("product_name"))
+    return FC.multi_period(B.product_demand(C.series(spark, sf), products, "red widget"), 6)
+
+
+# The forecasts of one model per product, named by the table ``best``, for twelve months.
+_BY_WINNER = """, h AS (SELECT unnest(generate_series(1, 12)) AS step)
+    SELECT e.product_id, CAST(e.month + to_months(CAST(step - 1 AS INTEGER)) AS DATE) AS month, CAST(step AS INTEGER) AS step, winner AS model,
+      CASE winner WHEN 'Naive' THEN f_naive WHEN 'Seasonal12' THEN s.demand WHEN 'MA3' THEN f_ma3 WHEN 'MA6' THEN f_ma6 END AS forecast{more}
+    FROM ends e CROSS JOIN h JOIN newest s ON s.product_id = e.product_id AND s.back = 13 - step JOIN {best} b ON b.product_id = e.product_id"""
+
+
+@query("multi_period_best", T.chain(*_BEST, T.AHEAD) + _BY_WINNER.format(more="", best="best"), each("forecast", 9))
+def multi_period_best(spark, sf):
+    """Each product by the winner of its backtest among the baselines."""
+    s = materialize(C.series(spark, sf), "series")
+    best = FC.winners(FC.with_chosen_window(FC.metrics(FC.backtest_baselines(s))))
+    return choose.multi_period(s, 12, best)
+
+
+_MODELS = [*FC.BASELINES, FC.ETS, FC.FOREST]
+
+
+@query(
+    "multi_period_routed",
+    T.chain(*_SERIES, T.AHEAD)
+    + f""", given AS (SELECT product_id, list_extract({_MODELS}, CAST(product_id AS BIGINT) % {len(_MODELS)} + 1) AS winner FROM ends)"""
+    + _BY_WINNER.format(more=f", winner IN ('{FC.ETS}', '{FC.FOREST}') AS fitted", best="given"),
+    each("forecast", 9),
+)
+def multi_period_routed(spark, sf):
+    """Each product by a model named for it, fitted ones among them; of those the value is left out, as SQL cannot fit them."""
+    s = materialize(C.series(spark, sf), "series")
+    at = F.col("product_id").cast("bigint") % len(_MODELS) + 1
+    given = s.select("product_id").distinct().withColumn("winner", F.element_at(F.array(*map(F.lit, _MODELS)), at.cast("int")))
+    out = choose.multi_period(s, 12, given, _TREES)
+    # A fitted forecast is there, finite and not below 0, or its row does not say "fitted".
+    fitted = F.col("model").isin(FC.ETS, FC.FOREST)
+    sound = F.coalesce((F.col("forecast") >= 0) & (F.col("forecast") < float("inf")), F.lit(False))
+    return out.withColumns({"fitted": fitted & sound, "forecast": F.when(~fitted, F.col("forecast"))})
+
+
+@query("multi_period_best_fitted")
+def multi_period_best_fitted(spark, sf):
+    """Each product by the better of the two fitted models."""
+    s = materialize(C.series(spark, sf), "series")
+    best = materialize(choose.best_fitted(choose.all_models(s, 12, forest={**_TREES, "refit_every": 6})), "best")
+    return choose.multi_period(s, 12, best, _TREES)
+
+
 @query(
     "ets_given_weights",
     "WITH RECURSIVE " + T.chain(*_SERIES).removeprefix("WITH ")
@@ -265,9 +326,6 @@ def ets_next_month(spark, sf):
     return E.forecast_ets(C.series(spark, sf), 3)
 
 
-_TREES = {"trees": 20, "depth": 6}
-
-
 @query("forest_backtest")
 def forest_backtest(spark, sf):
     s = materialize(C.series(spark, sf), "series")

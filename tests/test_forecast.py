@@ -230,3 +230,43 @@ def test_recommendation_of_a_steady_product(spark):
     stock = s.select("product_id", "month", F.lit(4.0).alias("stock"))
     r = choose.recommend(s, s, stock).first()
     assert (r.winner, r.forecast, r.ss, r.stock, r.production, r.at_risk) == ("Naive", 10.0, 0.0, 4.0, 6, False)
+
+
+def test_each_product_by_its_winner(spark):
+    """Routed forecasts are those of the winner's own operator; the forest learns from products it does not forecast."""
+    rng = np.random.default_rng(3)
+    names = {"n": FC.NAIVE, "s": FC.SEASONAL, "m": FC.MA6, "e": FC.ETS, "f": FC.FOREST, "unknown": "Oracle"}
+    s = series_frame(spark, {p: list(rng.integers(0, 50, 30).astype(float)) for p in [*names, "absent"]})
+    best = spark.createDataFrame([*names.items(), ("n", FC.NAIVE), ("elsewhere", FC.NAIVE)], "product_id string, winner string")
+    few = {"trees": 3, "depth": 3}
+    rows = {(r.product_id, r.step): r for r in choose.multi_period(s, 4, best, few).collect()}
+    assert len(rows) == 7 * 4 and {p for p, _ in rows} == {*names, "absent"}
+    plain = {(r.product_id, r.model, r.step): r for r in FC.multi_period(s, 4).unionByName(E.forecast_ets(s, 4)).unionByName(R.multi_period_forest(s, 4, **few)).collect()}
+    for (p, step), r in rows.items():
+        model = names.get(p, FC.NAIVE)
+        model = FC.NAIVE if model == "Oracle" else model
+        want = plain[p, model, step]
+        assert r.model == model and r.month == want.month
+        if model == FC.FOREST:
+            assert math.isfinite(r.forecast) and r.forecast >= 0
+        else:
+            assert r.forecast == pytest.approx(want.forecast)
+    # Without settings for a forest its products get the naive forecast.
+    bare = choose.multi_period(s, 2, best).where("product_id = 'f'").collect()
+    assert {r.model for r in bare} == {FC.NAIVE}
+    with pytest.raises(ValueError):
+        choose.multi_period(s, 25, best)
+
+
+def test_routing_handles_tables_without_rows(spark):
+    s = series_frame(spark, {"a": [1.0, 2.0, 3.0]})
+    none = spark.createDataFrame([], "product_id string, winner string")
+    assert {r.model for r in choose.multi_period(s, 2, none, {"trees": 1, "depth": 1}).collect()} == {FC.NAIVE}
+    assert choose.multi_period(s.limit(0), 2, none, {"trees": 1, "depth": 1}).count() == 0
+
+
+def test_best_fitted_compares_only_fitted_models(spark):
+    rows = [("a", FC.NAIVE, 0.0), ("a", FC.ETS, 2.0), ("a", FC.FOREST, 1.0), ("b", FC.ETS, 1.0), ("c", FC.NAIVE, 0.0)]
+    preds = spark.createDataFrame([(p, month(0), m, 10.0, 10.0 + e) for p, m, e in rows], "product_id string, month date, model string, y_true double, y_pred double")
+    got = {r.product_id: r.winner for r in choose.best_fitted(choose.ModelResults(preds, preds)).collect()}
+    assert got == {"a": FC.FOREST, "b": FC.ETS}
