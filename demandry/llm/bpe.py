@@ -47,6 +47,7 @@ _OUTSIDE = sys.maxunicode + 1  # stands between two texts
 _SPAN = 1 << 20  # code points scanned at once
 _BLOCK = 64
 _CACHE = 400_000  # pieces kept per worker in each of two generations
+_CACHED_LENGTH = 64  # longer pieces are merged each time, so that what a worker keeps is bounded
 _LONG_PIECE = 256  # bytes from which a heap finds the next pair
 
 
@@ -229,6 +230,8 @@ class Codec:
         ids = self.older.get(piece)
         if ids is None:
             ids = tuple([self.ranks[t] for t in merge(piece.encode(), self.ranks)])
+        if len(piece) > _CACHED_LENGTH:
+            return ids
         if len(self.cache) >= _CACHE:  # what is still in use comes back from the older generation
             self.older, self.cache = self.cache, {}
         self.cache[piece] = ids

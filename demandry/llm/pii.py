@@ -12,6 +12,10 @@ the longest one, so a number beside them hides none. Where a pseudonym would mak
 be found in its stead, the walk goes on until it does not, so that ``reveal`` finds the same places; only there may a
 value have another pseudonym than elsewhere.
 
+A secret holds the signs of base64 and of tokens, whatever its length. Strings of more than 128 signs are permuted by chunks; two
+that begin alike are then linked by their beginnings as well. Phones without a country code are ten digits in the layouts
+``(212) 555-0134`` and ``212-555-0134``; they are numbers of their own, not linked with those that have a code.
+
 * Null text stays null, empty text stays empty; neither has findings. Repeated rows: one result each.
 * Of overlapping findings, the one that begins first is replaced; of two at one place, the kind named first in KINDS,
   then an IBAN of its country's length, then the longer one.
@@ -35,6 +39,7 @@ from pyspark.sql.types import StructType
 from demandry.llm.common import kind
 
 ROUNDS = 10
+_CHUNK = 128  # longer strings are permuted by chunks of so many signs
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -77,7 +82,17 @@ def _root(n: int) -> int:
 
 
 def _by_position(value: str, alphabets: list[str], tweak: str, f: Feistel, back: bool) -> str:
-    """Permute a string among all with the same alphabet at each position."""
+    """Permute a string among all with the same alphabet at each position; a long one by chunks, each under the clear ones before it."""
+    out, said = [], b""
+    for lo in range(0, len(value), _CHUNK):
+        part = value[lo : lo + _CHUNK]
+        new = _chunk(part, alphabets[lo : lo + _CHUNK], f"{tweak}|{said.hex()}" if lo else tweak, f, back)
+        said = hashlib.blake2b(said + (new if back else part).encode(), digest_size=16).digest()
+        out.append(new)
+    return "".join(out)
+
+
+def _chunk(value: str, alphabets: list[str], tweak: str, f: Feistel, back: bool) -> str:
     size, x = 1, 0
     for c, alphabet in zip(value, alphabets):
         size, x = size * len(alphabet), x * len(alphabet) + alphabet.index(c)
@@ -144,6 +159,15 @@ def _phone(m: re.Match, f: Feistel, back: bool) -> str | None:
     return m["code"] + _kept_layout(m["rest"], _digits(digits, "phone" + re.sub(r"\D", "", m["code"]), f, back))
 
 
+def _local_phone(m: re.Match, f: Feistel, back: bool) -> str | None:
+    """Ten digits without a country code, area and exchange beginning with 2 to 9."""
+    digits = re.sub(r"\D", "", m[0])
+    if digits[0] < "2" or digits[3] < "2":
+        return None
+    alphabets = [_DIGITS[2:] if i in (0, 3) else _DIGITS for i in range(10)]
+    return _kept_layout(m[0], _by_position(digits, alphabets, "local phone", f, back))
+
+
 def _social(m: re.Match, f: Feistel, back: bool) -> str | None:
     """Nine digits whose parts are not all zeros and whose area is in use: numbered, permuted, written again."""
     area, group, serial = (int(x) for x in m[0].split("-"))
@@ -280,20 +304,27 @@ def _kind(name: str, pattern: str, renew: Callable, before: str = _ALONE[0], aft
     return Kind(name, re.compile(before + pattern + after, re.ASCII), re.compile(pattern, re.ASCII), renew, sign, places, passes)
 
 
+# What stands after the word for a secret: signs of base64, tokens and paths belong to it, but not at its end. It begins with
+# eight letters or digits, or holds both. What an @ follows is a mail name.
+_SIGNS = r"[A-Za-z0-9+/_.~-]"
+_SECRET = rf"(?P<value>(?={_SIGNS}{{8,}}+(?!@))(?=[A-Za-z0-9]{{8}}|(?={_SIGNS}*[A-Za-z]){_SIGNS}*[0-9])[A-Za-z0-9]{_SIGNS}{{6,}}[A-Za-z0-9])"
+
 KINDS = (
-    _kind("mail", r"(?P<name>[A-Za-z0-9._%+-]{1,64})(?P<domain>@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)", _mail, r"(?<![A-Za-z0-9._%+-])", r"(?![\w-])", "@", passes=lambda _: True),
-    _kind("secret", r"(?:(?i:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?[\"']?(?P<value>[A-Za-z0-9]{8,128})(?![A-Za-z0-9])|(?P<key>(?<=AKIA)[A-Z0-9]{16}))", _secret, "", r"", passes=lambda _: True),
+    _kind("mail", r"(?P<name>[A-Za-z0-9._%+-]++)(?P<domain>@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)", _mail, r"(?<![A-Za-z0-9._%+-])", r"(?![\w-])", "@", passes=lambda _: True),
+    _kind("secret", r"(?:(?i:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?[\"']?" + _SECRET + r"|(?P<key>(?<=AKIA)[A-Z0-9]{16}|(?<=ghp_)[A-Za-z0-9]{36}))", _secret, "", r"", passes=lambda _: True),
     _kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban, places=_iban_places, passes=_is_iban),
     _kind("card", r"\d(?:[ -]?\d){12,18}", _card, places=_card_places, passes=_is_card),
     _kind("phone", r"(?P<code>\+\d{1,3}[ .-]?)(?P<rest>(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{1,4}){1,4})", _phone, r"(?<![\w+])", r"(?!\d)", "+"),
+    _kind("phone", r"(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}", _local_phone, sign="-"),
     _kind("social", r"\d{3}-\d{2}-\d{4}", _social, sign="-"),
     _kind("address", r"\d{1,3}(?:\.\d{1,3}){3}", _address, sign="."),
-    _kind("date", r"(?:(?P<iso>\d{4}-\d{2}-\d{2})|(?P<dots>\d{2}\.\d{2}\.\d{4})|(?P<slashes>\d{2}/\d{2}/\d{4}))", _date),
+    _kind("date", r"(?:(?P<iso>\d{4}-\d{2}-\d{2})|(?P<dots>\d{2}\.\d{2}\.\d{4})|(?P<slashes>\d{2}/\d{2}/\d{4}))", _date, after=rf"(?:(?=T\d{{2}}:\d{{2}})|{_ALONE[1]})"),
 )
 _PHONE, _ADDRESS = (next(k for k in KINDS if k.name == name) for name in ("phone", "address"))
+_LOCAL = next(k for k in KINDS if k.renew is _local_phone)
 _LONGEST = 64  # no value that may fail its check is longer
 # Every finding holds a digit, an @ or one of the words before secrets.
-_ANY = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key)")
+_ANY = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_key|ghp_)")
 
 
 def _passes(k: Kind, text: str, start: int, stop: int, f: Feistel, back: bool) -> bool:
@@ -345,7 +376,9 @@ def findings(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int,
     for n in reversed(range(len(chosen))) if back else range(len(chosen)):
         start, order, stop = chosen[n]
         if KINDS[order] is _ADDRESS:
-            new = _renewed_address(now, chosen[n - 1][2] if n else 0, start, stop, f, back)
+            # A phone with its country code would come before one without.
+            begin = next((c[2] for c in reversed(chosen[:n]) if KINDS[c[1]] is not _LOCAL), 0)
+            new = _renewed_address(now, begin, start, stop, f, back)
         else:
             near = free[bisect_left(free, (start - _LONGEST,)) : bisect_left(free, (stop,))]
             new = _renewed(now, start, stop, KINDS[order], [x for x in near if x[2] > start], f, back)

@@ -208,3 +208,69 @@ def test_one_row_of_each_key_is_learned_from(spark):
     often = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(800)))).drop("copy").repartition(6)
     assert often.count() == 800 * len(rows)
     assert mil.fit(often, labels) == mil.fit(once, labels)
+
+
+LONG_SECRET = "Ab3" * 47
+FOUND_WHOLE = [
+    (f"token={LONG_SECRET} end", LONG_SECRET), ("password=abcdefgh+SECRETPART/xyz== end", "abcdefgh+SECRETPART/xyz"),
+    ("secret: eyJhbGciOi.eyJzdWIi-x_1.SflKxwRJ, so", "eyJhbGciOi.eyJzdWIi-x_1.SflKxwRJ"), ("pwd=a-1b-2c-3d.", "a-1b-2c-3d"),
+    ("ghp_" + "aB3" * 12 + " end", "aB3" * 12), ("at 2024-02-29T10:00:00Z", "2024-02-29"), ("call 212-555-0134 now", "212-555-0134"),
+    ("call (212) 555-0134.", "(212) 555-0134"), ("n" * 70 + "@mail.example.org", "n" * 70), ("x9" * 5000 + "@mail.example.org", "x9" * 5000),
+    ("password: john.doe+x1@mail.example.org", "john.doe+x1"), ("token: 2024-02-29", "2024-02-29"),
+]
+
+
+@pytest.mark.parametrize("text,value", FOUND_WHOLE, ids=range(len(FOUND_WHOLE)))
+def test_values_are_replaced_whole(text, value):
+    for key in range(20):
+        f = pii.Feistel(bytes([key]))
+        new, spans = pii.rewrite(text, f)
+        at = text.index(value)
+        assert len(spans) == 1 and len(new) == len(text)
+        assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
+        changed, kept = new[at : at + len(value)], [re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", x))) for x in (value, new[at : at + len(value)])]
+        assert changed != value and kept[0] == kept[1]
+        if len(value) > 300:  # every chunk of it
+            assert all(changed[i : i + 128] != value[i : i + 128] for i in range(0, len(value) - 128, 128))
+        assert pii.rewrite(new, f, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["112-555-0134", "212-155-0134", "x212-555-0134", "212-555-01345", "token: a-b-c-d-e-f", "2024-02-30T10:00:00Z", "token: short1"])
+def test_what_fails_its_check_stays(text):
+    assert pii.rewrite(text, pii.Feistel(b"k")) == (text, [])
+
+
+def test_long_strings_are_permuted():
+    """By chunks of one sign over three letters, all 27 strings of three signs are images, and come back."""
+    f, chunk = pii.Feistel(b"k"), pii._CHUNK
+    pii._CHUNK = 1
+    try:
+        strings = [a + b + c for a in "abc" for b in "abc" for c in "abc"]
+        image = [pii._by_position(x, ["abc"] * 3, "t", f, False) for x in strings]
+        assert sorted(image) == strings
+        assert [pii._by_position(x, ["abc"] * 3, "t", f, True) for x in image] == strings
+    finally:
+        pii._CHUNK = chunk
+
+
+def test_mixed_values_come_back():
+    """Values of all kinds beside each other, in any order, with any key."""
+    rnd = random.Random(5)
+    parts = [
+        "212-555-0134", "(212) 555-0134", "+1 (884) 555-3918", "63.51.224.77", "3.51.4.7", "4111 1111 1111 1111", "123-45-6789", "2024-02-29T10:00:00Z",
+        "01.03.2024", "password=abcdefgh+SECRETPART/xyz==", "token=e3b3ed3cc8548923d6", "a.b-c1@mail.example.org", "212-111-1111", "DE89 3704 0044 0532 0130 00",
+        "+49 30 212-555-0134", "2024", "12", "7", "411-1111", "secret: x.9-y_8+z", "word",
+    ]
+    for trial in range(3000):
+        f = pii.Feistel(trial.to_bytes(2))
+        text = "".join(rnd.choice(parts) + rnd.choice(("  ", " ", ", ", "\n", "-")) for _ in range(rnd.randrange(1, 9)))
+        new, spans = pii.rewrite(text, f)
+        assert pii.rewrite(new, f, back=True)[0] == text, (trial, text, new)
+
+
+def test_long_pieces_are_not_kept():
+    codec = bpe.Codec(bpe.read_ranks(rank_file()))
+    long = "q" * 5000
+    assert codec.encode(long) == codec.encode(long) and codec.decode(codec.encode(long)) == long.encode()
+    codec.encode("short words")
+    assert codec.cache and max(map(len, codec.cache)) <= bpe._CACHED_LENGTH
