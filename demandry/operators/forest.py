@@ -33,6 +33,12 @@ def _prepared(feats: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FC.FEATURES, outputCol="features").transform(out)
 
 
+def _training(series: DataFrame) -> DataFrame:
+    """Features and label of every month, written once: a fit goes over them several times and keeps each partition in one piece,
+    so their size is that of a file split and does not grow with the table."""
+    return materialize(_prepared(FC.features(series)).select("features", "label"), "training")
+
+
 def _fit(train: DataFrame, trees: int, depth: int, seed: int) -> RandomForestRegressionModel:
     model = RandomForestRegressor(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed
@@ -59,34 +65,38 @@ def backtest_forest(
     The months of the backtest are counted back from the last month of the table.
     ``mode`` is the feature row used to predict, as in :func:`demandry.operators.forecast.next_month_features`.
     """
-    w = Window.partitionBy("product_id").orderBy("month")
-    base = FC.baseline_columns(series).select("product_id", "month", "n", "pos", FC.SEASONAL)
-    feats = _prepared(FC.features(series))
-    held = feats.select("product_id", "month", "y", "label", "level", "features").join(base, ["product_id", "month"])
-    if mode == "reference":
-        # The row used for month t is that of month t-1 with the calendar of t.
-        shifted = FC.features(series)
-        moved = [c for c in FC.FEATURES if c not in ("month_no", "month_sin", "month_cos")]
-        shifted = shifted.withColumns({c: F.lag(c).over(w) for c in moved})
-        ask = _prepared(shifted).select("product_id", "month", F.col("features").alias("ask"), F.col("level").alias("ask_level"))
-        held = held.join(ask, ["product_id", "month"])
-    elif mode == "advanced":
-        held = held.withColumns({"ask": F.col("features"), "ask_level": F.col("level")})
-    else:
+    if mode not in ("reference", "advanced"):
         raise ValueError(f"unknown mode {mode}")
+    # Positions, features and those of the month before are windows over one order: one shuffle, and no join that could send a
+    # table of all products and months, which is small only as long as it lies compressed, through the driver.
+    placed = FC.features(FC.baseline_columns(series.where(F.col("product_id").isNotNull() & F.col("month").isNotNull())))
+    facts = ["product_id", "month", "n", "pos", FC.SEASONAL]
+    if mode == "advanced":
+        held = _prepared(placed).select(*facts, F.col("y").alias("y_true"), "label", "features", F.col("features").alias("ask"), F.col("level").alias("ask_level"))
+    else:
+        # The row used for month t is that of month t-1 with the calendar of t.
+        calendar = ["month_no", "month_sin", "month_cos"]
+        before = F.lag(F.struct(*[c for c in FC.FEATURES if c not in calendar])).over(Window.partitionBy("product_id").orderBy("month"))
+        own = _prepared(placed.withColumn("before", before))
+        asked = own.select(*facts, F.col("y").alias("y_true"), "label", F.col("features").alias("own"), *calendar, "before.*")
+        held = _prepared(asked).select(*facts, "y_true", "label", F.col("own").alias("features"), F.col("features").alias("ask"), F.col("level").alias("ask_level"))
     # Read by every fit; written once, so that a fit sees the same rows again after a lost executor.
     held = materialize(held, "training")
     # At most test_months dates.
     last = [r.month for r in held.select("month").distinct().orderBy(F.desc("month")).limit(test_months).collect()][::-1]
-    out, model = None, None
+    fits: list[tuple[RandomForestRegressionModel, list]] = []
     for i, m in enumerate(last):
-        if model is None or i % refit_every == 0:
+        if not fits or i % refit_every == 0:
             train = held.where(F.col("month") < F.lit(m))
             if train.isEmpty():
                 continue
-            model = _fit(train, trees, depth, seed)
-        rows = held.where((F.col("month") == F.lit(m)) & (F.col("n") >= 3) & (F.col("pos") >= 1))
-        rows = rows.select("product_id", "month", "pos", FC.SEASONAL, F.col("y").alias("y_true"), F.col("ask").alias("features"), F.col("ask_level").alias("level"))
+            fits.append((_fit(train, trees, depth, seed), []))
+        fits[-1][1].append(m)
+    out = None
+    # The months of one fit are read together.
+    for model, months in fits:
+        rows = held.where(F.col("month").isin(months) & (F.col("n") >= 3) & (F.col("pos") >= 1))
+        rows = rows.select("product_id", "month", "pos", FC.SEASONAL, "y_true", F.col("ask").alias("features"), F.col("ask_level").alias("level"))
         one = _predicted(model, rows).select(
             "product_id", "month", F.lit(FC.FOREST).alias("model"), "y_true",
             _usable(F.col("raw"), F.col(FC.SEASONAL), F.col("pos") >= MIN_OBS).alias("y_pred"),
@@ -99,12 +109,12 @@ def backtest_forest(
 
 def next_month_forest(series: DataFrame, *, trees: int = 400, depth: int = 12, seed: int = 42, mode: str = "reference") -> DataFrame:
     """Forecast of the month after the last (product, month, model, forecast)."""
-    train = _prepared(FC.features(series)).select("features", "label")
-    model = _fit(train, trees, depth, seed)
+    model = _fit(_training(series), trees, depth, seed)
     ask = _prepared(FC.next_month_features(series, mode))
     seasonal = FC.next_month(series).where(F.col("model") == FC.SEASONAL).select("product_id", F.col("forecast").alias("__fallback"))
     size = series.groupBy("product_id").agg(F.count("*").alias("__n"))
-    rows = _predicted(model, ask).join(seasonal, "product_id").join(size, "product_id")
+    # One row a product on each side, all partitioned by it: sorted and merged, not sent through the driver.
+    rows = _predicted(model, ask).join(seasonal.hint("merge"), "product_id").join(size.hint("merge"), "product_id")
     return rows.select(
         "product_id", "month", F.lit(FC.FOREST).alias("model"),
         _usable(F.col("raw"), F.col("__fallback"), F.col("__n") >= MIN_OBS).alias("forecast"),
@@ -121,7 +131,7 @@ def multi_period_forest(
     """
     if not 1 <= periods <= 24:
         raise ValueError("periods must be between 1 and 24")
-    model = _fit(_prepared(FC.features(series)).select("features", "label"), trees, depth, seed)
+    model = _fit(_training(series), trees, depth, seed)
     whole = Window.partitionBy("product_id")
     asked = series if asked is None else asked
     sized = asked.select("product_id", "month", "demand", F.count("*").over(whole).alias("size"), F.max("month").over(whole).alias("last"))
@@ -136,7 +146,7 @@ def multi_period_forest(
         )
         # Histories are as long as the season plus one month.
         fallback = F.coalesce(F.get("h", F.lit(FC.SEASON - 1))["demand"], F.col("h")[0]["demand"])
-        one = _predicted(model, ask).join(facts, "product_id").select(
+        one = _predicted(model, ask).join(facts.hint("merge"), "product_id").select(
             "product_id", "month", _usable(F.col("raw"), fallback, F.col("size") >= MIN_OBS).alias("demand"), "size"
         )
         new = materialize(one, "step")
