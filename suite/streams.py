@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demandry import schema as S
 from demandry.functions.columns import strip, to_number
-from demandry.session import fresh_path
+from demandry.session import fresh_path, materialize
 from demandry.sources import files, layouts, tpch
 from demandry.sources import headers as H
 from demandry.streaming import ingest, live
@@ -19,7 +19,8 @@ _KEPT = "ok % 211 <> 0 AND ok % 307 <> 0 AND ok % 199 <> 0 AND ok % 101 <> 0"
 def _two_batches(spark, sf):
     """Two arrivals whose months overlap, as two runs of the ingest."""
     root = fresh_path(spark, "ingest")
-    raw = tpch.raw_ledger(spark, sf)
+    # Every arrival is cut from it, so it is worked out once.
+    raw = materialize(tpch.raw_ledger(spark, sf), "raw")
     early = F.col("Año") < "1999"
     inbox, store = f"{root}/inbox", ingest.Store(f"{root}/store")
     half = F.col("Cantidad").contains("1")
@@ -55,7 +56,8 @@ _RENAMED = {"Producto_id": "Código", "Cantidad": "Unidades"}
 
 def _tenant_files(spark, sf, root):
     """Files of three organizations in two arrivals, and the configuration rows."""
-    raw = tpch.raw_ledger(spark, sf, org=True)
+    # Every file is cut from it, so it is worked out once.
+    raw = materialize(tpch.raw_ledger(spark, sf, org=True), "raw")
     columns = [c for c in raw.columns if c != "org_id"]
     rows = []
     for org, (sep, encoding) in _LAYOUTS.items():
