@@ -14,28 +14,44 @@ from demandry.session import materialize
 
 
 def running_balance(
-    df: DataFrame, value: Column, *, keys: list[str], coarse: str, fine: list[str], order: list[str], out: str
+    df: DataFrame, value: Column, *, keys: list[str], coarse: str, fine: list[str], order: list[str], out: str, hot_rows: int = 1_000_000
 ) -> DataFrame:
     """Running sum of ``value`` per ``keys`` in the order (coarse, fine..., order...).
 
     ``coarse`` has few values per key (months); ``fine`` are order-compatible blocks inside it that
-    are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by block.
+    are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by key and ``coarse``; a month
+    of a key with more than ``hot_rows`` rows is cut into its blocks instead, so that no task holds it.
     Rows without a key, month or block have no place in the order and are left out.
     """
-    block = [*keys, coarse, *fine]
-    # Said here once, so that both uses of the block sums are the same plan and share one shuffle.
+    block, group = [*keys, coarse, *fine], [*keys, coarse]
     for c in block:
         df = df.where(F.col(c).isNotNull())
-    per_block = df.groupBy(*block).agg(F.sum(value).alias("__sum"))
+    # One row per key and month, written once: read for the sums before each month and for the hot ones.
+    sums = materialize(df.groupBy(*group).agg(F.sum(value).alias("__sum"), F.count("*").alias("__n")), "sums")
     upto = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        per_block.groupBy(*keys, coarse)
-        .agg(F.sum("__sum").alias("__sum"))
-        .select(*keys, coarse, F.coalesce(F.sum("__sum").over(upto(keys, [coarse])), F.lit(0.0)).alias("__base"))
-    )
+    base = sums.select(*group, F.coalesce(F.sum("__sum").over(upto(keys, [coarse])), F.lit(0.0)).alias("__base"))
+    hot = sums.where(F.col("__n") > hot_rows).select(*group)
+    if hot.isEmpty():
+        return _within_months(df, value, base, group, [*fine, *order], out)
+    # At most rows / hot_rows of them.
+    mine = df.join(F.broadcast(hot), group, "left_semi")
+    rest = df.join(F.broadcast(hot), group, "left_anti")
+    return _within_months(rest, value, base, group, [*fine, *order], out).unionByName(_by_blocks(mine, value, base, group, fine, order, out))
+
+
+def _within_months(df: DataFrame, value: Column, base: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("__run", F.sum(value).over(inside)).join(base, group)
+    return summed.withColumn(out, F.col("__base") + F.col("__run")).drop("__base", "__run")
+
+
+def _by_blocks(df: DataFrame, value: Column, base: DataFrame, group: list[str], fine: list[str], order: list[str], out: str) -> DataFrame:
+    block = [*group, *fine]
+    before = Window.partitionBy(*group).orderBy(*fine).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        per_block.select(*block, F.coalesce(F.sum("__sum").over(upto([*keys, coarse], fine)), F.lit(0.0)).alias("__off"))
-        .join(base, [*keys, coarse])
+        df.groupBy(*block).agg(F.sum(value).alias("__sum"))
+        .select(*block, F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__off"))
+        .join(base, group)
         .select(*block, (F.col("__off") + F.col("__base")).alias("__before"))
     )
     inside = Window.partitionBy(*block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
