@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from demandry import schema as S
 from demandry.functions.columns import month_of, strip
 from demandry.functions.ordered import running_balance, with_group_totals
+from demandry.session import dealt
 
 
 def _with_month(df: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def complete_series(
     With a ``scope`` (the organization of a product) the months are those of its own scope.
 
     Each row is stretched up to the product's next month, so there is neither a products x months
-    product nor a join, and the result stays partitioned by product for the windows that follow.
+    product nor a join, and the result stays partitioned by product for the windows that follow. As a few rows become as many
+    as there are months, they are dealt over all shuffle partitions before.
     """
     bounds = demand.agg(F.min("month").alias("a"), F.max("month").alias("b"))
     first = F.lit(start).cast("date") if start else bounds.select("a").scalar()
@@ -106,6 +108,8 @@ def complete_series(
         # A product without months inside the bounds still gets its row of zeros.
         inside = F.when(F.col("month").between(first, last), F.col("month"))
         rows = rows.groupBy(key, *held, inside.alias("month")).agg(F.sum(F.when(inside.isNotNull(), F.col(value)).otherwise(0.0)).alias(value))
+    rows = dealt(rows, key)
+    if start or end:
         whole = Window.partitionBy(key)
         rows = rows.withColumn("__any", F.count("month").over(whole)).where(F.col("month").isNotNull() | (F.col("__any") == 0)).drop("__any")
     begin = F.when(F.lag("month").over(per_product).isNull() & (F.row_number().over(per_product) == 1), first).otherwise(F.col("month"))
