@@ -54,7 +54,7 @@ def csv_clean_to_stock(spark, sf):
 )
 def csv_many_files(spark, sf):
     root = fresh_path(spark, "years")
-    raw = tpch.raw_ledger(spark, sf)
+    raw = materialize(tpch.raw_ledger(spark, sf), "raw")
     first, later = raw.where(F.col("Año") < "1998"), raw.where(F.col("Año") >= "1998").drop("Canal_venta")
     files.write_csv(first, f"{root}/a")
     files.write_csv(later, f"{root}/b")
@@ -92,7 +92,7 @@ def _legacy_run(spark, sf):
     rows = ledger(spark, sf, "product_id", "date", "doc", "doc_no", "warehouse", "in_units", "out_units", "qty", "row_seq")
     names = {"product_id": "Codigo", "date": "Fecha", "doc": "Documento", "doc_no": "Numero", "warehouse": "Bodega", "in_units": "Entrada_unid", "out_units": "Salida_unid", "qty": "Saldo_unid"}
     # The files hold the movements in order, so those of one day have one too.
-    placed = rows.repartitionByRange(4, "date", "row_seq").sortWithinPartitions("date", "row_seq").drop("row_seq")
+    placed = rows.repartitionByRange("date", "row_seq").sortWithinPartitions("date", "row_seq").drop("row_seq")
     files.write_csv(placed.withColumnsRenamed(names), path, sep=";", decimal=",")
     return load.run(spark, [path])
 
@@ -270,8 +270,9 @@ def file_inventory(spark, sf):
     rows = ledger(spark, sf, "org_id", "year", "product_id", "qty")
     for i in range(5):
         mine = rows.where(F.col("org_id") == f"org{i}")
-        files.write_csv(mine.coalesce(1), f"{root}/org{i}/raw")
-        files.write_parquet(mine.coalesce(1), f"{root}/org{i}/processed")
+        # One file each; the table is read and cut in parallel, and only the organization's rows meet.
+        files.write_csv(mine.repartition(1), f"{root}/org{i}/raw")
+        files.write_parquet(mine.repartition(1), f"{root}/org{i}/processed")
     found = files.inventory(spark, root).where(F.col("file_key").rlike("part-[^/]*(csv|parquet)$"))
     totals = files.inventory_totals(found)
     return totals.select("org_id", "file_type", "n_files", (F.col("total_bytes") > 0).alias("has_bytes"))
@@ -397,7 +398,7 @@ def ties_in_given_order(spark, sf):
     )
     # Given as z, then b; each holds its rows in order.
     for name, rest in (("z", 0), ("b", 1)):
-        mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange(4, "Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
+        mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange("Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
         files.write_csv(mine.drop("row_seq"), f"{path}/{name}")
     return load.run(spark, [f"{path}/z", f"{path}/b"], keep=False).stock_monthly.select("product_id", "month", "stock")
 
@@ -419,7 +420,7 @@ def warehouse_balance_over_files(spark, sf):
         F.col("in_units").alias("Entrada_unid"), F.col("out_units").alias("Salida_unid"), F.lit(0.0).alias("Saldo_unid"), "row_seq",
     )
     for name, rest in (("z", 0), ("b", 1)):
-        mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange(4, "Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
+        mine = raw.where(F.col("row_seq.l_orderkey") % 2 == rest).repartitionByRange("Fecha", "row_seq").sortWithinPartitions("Fecha", "row_seq")
         files.write_csv(mine.drop("row_seq"), f"{path}/{name}", sep=";", decimal=",")
     moves = load.run(spark, [f"{path}/z", f"{path}/b"], keep=False).movements
     return B.warehouse_balance(moves).select("product_id", "warehouse", F.col("product_name").alias("row"), "balance")
