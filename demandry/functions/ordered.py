@@ -32,16 +32,18 @@ def running_balance(
     base = sums.select(*group, F.coalesce(F.sum("__sum").over(upto(keys, [coarse])), F.lit(0.0)).alias("__base"))
     hot = sums.where(F.col("__n") > hot_rows).select(*group)
     if hot.isEmpty():
-        return _within_months(df, value, base, group, [*fine, *order], out)
+        return _within_months(df, value, base, group, fine, order, out)
     # At most rows / hot_rows of them.
     mine = df.join(F.broadcast(hot), group, "left_semi")
     rest = df.join(F.broadcast(hot), group, "left_anti")
-    return _within_months(rest, value, base, group, [*fine, *order], out).unionByName(_by_blocks(mine, value, base, group, fine, order, out))
+    return _within_months(rest, value, base, group, fine, order, out).unionByName(_by_blocks(mine, value, base, group, fine, order, out))
 
 
-def _within_months(df: DataFrame, value: Column, base: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn("__run", F.sum(value).over(inside)).join(base, group)
+def _within_months(df: DataFrame, value: Column, base: DataFrame, group: list[str], fine: list[str], order: list[str], out: str) -> DataFrame:
+    run = lambda part, by: F.sum(value).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    # A row before the first value of its block has no sum. Both windows stand on one sort.
+    known = run([*group, *fine], order).isNotNull()
+    summed = df.withColumn("__run", F.when(known, run(group, [*fine, *order]))).join(base, group)
     return summed.withColumn(out, F.col("__base") + F.col("__run")).drop("__base", "__run")
 
 

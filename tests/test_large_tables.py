@@ -98,6 +98,15 @@ def test_balances_of_hot_and_other_months(spark):
     assert out[100] == out[10_000] == want
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100])
+def test_balances_of_rows_without_a_value(spark, hot_rows):
+    """Such a row has the balance so far, or none if its block has no value yet; sums go on after it."""
+    rows = [("a", 1, 1, 1, 5.0), ("a", 1, 1, 2, None), ("a", 1, 2, 3, None), ("a", 1, 2, 4, 2.0), ("a", 2, 1, 5, None), ("a", 2, 2, 6, 1.0)]
+    df = spark.createDataFrame(rows, "product_id string, month int, day int, row_seq int, v double")
+    got = running_balance(df, F.col("v"), keys=["product_id"], coarse="month", fine=["day"], order=["row_seq"], out="b", hot_rows=hot_rows)
+    assert {r.row_seq: r.b for r in got.collect()} == {1: 5.0, 2: 5.0, 3: None, 4: 7.0, 5: None, 6: 8.0}
+
+
 def test_balances_shuffle_rows_by_month_not_by_block(spark, sf):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
