@@ -27,6 +27,7 @@ import hashlib
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -52,14 +53,22 @@ TOGETHER = 2000  # new words that are encoded in one call
 
 # A blank between two signs that are not white space always begins a new piece of the byte-level pattern.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_NEAR = re.compile(r"\s | \s")
+_WHITE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
+# Latin letters and then ASCII signs: two pieces of the byte-level pattern at most. An apostrophe may begin an ending such as 's, so
+# it is left out.
+_LATIN, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN = re.compile(f"([{_LATIN}]+)({_SIGNS})")
+_INSIDE_PLAIN = re.compile(f"[{_LATIN}]*{_SIGNS}")
+# The byte-level alphabet's signs for bytes that do not stand for themselves.
+_ALPHABET = {x: 256 + n for n, x in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_BLANK = chr(_ALPHABET[0x20])
 
 
 class Encoder:
     """Ids of texts as bytes of little-endian numbers, by the tokenizers library.
 
-    A byte-level tokenizer's ids of a text are those of its words: each worker encodes a word once. Other
-    tokenizers are given whole texts.
+    A byte-level tokenizer's ids of a text are those of its words: each worker encodes a word once. Plain words (Latin
+    letters, then signs) go straight to the tokenizer's model, piece by piece. Other tokenizers are given whole texts.
     """
 
     def __init__(self, path: str):
@@ -76,6 +85,8 @@ class Encoder:
             and not self.tokenizer.pre_tokenizer.add_prefix_space
             and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added.values())
         )
+        # An added token inside a plain word would be found before the pieces are.
+        self.plain = self.by_word and self.tokenizer.pre_tokenizer.use_regex and not any(_INSIDE_PLAIN.fullmatch(t.content) for t in added.values())
         # A byte-level token has one sign for each of its bytes.
         self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -85,6 +96,25 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_plain(self, words: list[str], out: dict[str, bytes]) -> list[str]:
+        """Plain words' ids into ``out``; returns the other words."""
+        pieces, pack = self.tokenizer.model.tokenize, {2: "H", 4: "I"}[self.dtype.itemsize]
+        tails: dict[str, list[int]] = {"": []}
+        others = []
+        for w in words:
+            found = _PLAIN.fullmatch(w)
+            if found is None:
+                others.append(w)
+                continue
+            letters, tail = found.groups()
+            if tail not in tails:
+                tails[tail] = [t.id for t in pieces(tail)]
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_ALPHABET)
+            ids = [t.id for t in pieces(_BLANK + letters)] + tails[tail]
+            out[w] = struct.pack(f"<{len(ids)}{pack}", *ids)
+        return others
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word with a blank before it."""
         out = {}
@@ -92,6 +122,8 @@ class Encoder:
         alone = [w for w in words if not w or len(w) > KNOWN_WORD or w[-1].isspace()]
         out.update(zip(alone, self._whole([" " + w for w in alone])))
         words = [w for w in words if w not in out]
+        if self.plain:
+            words = self._learn_plain(words, out)
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
             raw = self._whole([" " + " ".join(some)])[0]
@@ -116,13 +148,18 @@ class Encoder:
             nonlocal size
             if len(self.known) > KNOWN:
                 self.known.clear()
-            ids = self._learn(list(set().union(*(words for _, words in held)).difference(self.known)))
+            # Each word is looked up once; the places of new ones are filled in afterwards.
+            found = [list(map(self.known.get, words)) for _, words in held]
+            gaps = [[k for k, x in enumerate(got) if x is None] if None in got else [] for got in found]
+            ids = self._learn(list({words[k] for (_, words), missing in zip(held, gaps) for k in missing}))
             self.known.update(ids)
             firsts = self._whole([first for _, first in starts])
             for (i, _), x in zip(starts, firsts):
                 out[i].append(x)
-            for i, words in held:
-                out[i].append(b"".join(map(self.known.__getitem__, words)))
+            for (i, words), got, missing in zip(held, found, gaps):
+                for k in missing:
+                    got[k] = ids[words[k]]
+                out[i].append(b"".join(got))
             for w in ids:
                 if len(w) > KNOWN_WORD:
                     del self.known[w]
@@ -132,7 +169,7 @@ class Encoder:
 
         for i, text in enumerate(texts):
             for at, span in spans(text):
-                words = _CUT.split(span) if _NEAR.search(span) else span.split(" ")
+                words = _CUT.split(span) if crowded(span) else span.split(" ")
                 if at == 0:
                     starts.append((i, words[0]))
                     del words[0]
@@ -144,6 +181,11 @@ class Encoder:
         return [b"".join(parts) for parts in out]
 
 
+def crowded(text: str) -> bool:
+    """Whether a blank stands beside white space."""
+    return "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _WHITE)
+
+
 def spans(text: str) -> Iterator[tuple[int, str]]:
     """A text in spans of some ``SPAN`` code points, cut at blanks between words; the blanks are left out."""
     at = 0

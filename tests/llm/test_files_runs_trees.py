@@ -50,6 +50,21 @@ def test_words_give_the_ids_of_whole_texts(monkeypatch):
     assert got == plain_ids(texts)
 
 
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    rnd = random.Random(4)
+    signs = ["a", "Z", "e", "é", "Ö", "ɏ", "ß", ".", "-", "##", "(", "~", "`"]
+    texts = ["first " + " ".join("".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 9))) for _ in range(300)) + " last" for _ in range(20)]
+    odd = ["a don't b'. c", "a x\u00d7y \u00f7 z", "a b1 c2. d", "a x<|endoftext|>. y", "a \u0250q", "a q\u0301."]
+    ids = idfiles.Encoder(tokenizer_file())
+    asked = []
+    whole = ids._whole
+    monkeypatch.setattr(ids, "_whole", lambda some: (asked.extend(some), whole(some))[1])
+    got = [[*np.frombuffer(x, ids.dtype).tolist(), 0] for x in ids.encode([*texts, *odd])]
+    assert got == plain_ids([*texts, *odd])
+    assert not [w for x in asked for w in x.split()[1:] if idfiles._PLAIN.fullmatch(w)]
+    assert idfiles.crowded("a  b") and idfiles.crowded("a\u2003 b") and idfiles.crowded("a \nb") and not idfiles.crowded("a b\nc d")
+
+
 def test_files_hold_the_ids_in_order_of_keys(spark, monkeypatch):
     rows = [*odd_rows(), *[(100 + i, t) for i, t in enumerate(BLANKS)]]
     folder = fresh_path(spark, "ids")
