@@ -44,9 +44,9 @@ IN_LETTERS, IN_NUMBERS, IN_SIGNS, AT_BLANK, AT_WHITE, AT_QUOTE, QUOTE_R, QUOTE_V
 _STATES = 10
 _PENDING = (QUOTE_R, QUOTE_V, QUOTE_L)
 _OUTSIDE = sys.maxunicode + 1  # stands between two texts
-_SPAN = 1 << 20  # code points scanned at once
+_SPAN = 1 << 18  # code points scanned at once
 _BLOCK = 64
-_CACHE = 400_000  # pieces kept per worker in each of two generations
+_CACHE = 150_000  # pieces kept per worker in each of two generations
 _CACHED_LENGTH = 64  # longer pieces are merged each time, so that what a worker keeps is bounded
 _LONG_PIECE = 256  # bytes from which a heap finds the next pair
 

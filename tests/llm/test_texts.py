@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,19 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(rank_file()), special_tokens={})
 
 
+def test_a_worker_keeps_less_than_a_hundred_megabytes_of_pieces():
+    rnd, codec = random.Random(5), bpe.Codec(bpe.read_ranks(rank_file()))
+    made = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=10))
+    kept = [made() for _ in range(20_000)]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for piece in kept:
+        codec._ids(" " + piece)
+    each = (tracemalloc.get_traced_memory()[0] - before) / len(codec.cache)
+    tracemalloc.stop()
+    assert 2 * bpe._CACHE * each < 100e6
+
+
 def test_tokens_are_those_of_the_library(library):
     rnd = random.Random(2)
     signs = ["'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "r", "e", "l", "v", "s", "Z", "é", "1", "٣", " ", "  ", "\n", "\t", " ", "　", "!", ".", "😀", "\x1c", "日本", "'S"]
