@@ -285,6 +285,27 @@ def next_month_features(series: DataFrame, mode: str = "reference") -> DataFrame
     return features(plus).where(F.col("__new")).drop("__new", "demand", "y")
 
 
+def features_after(h: Column) -> dict[str, Column]:
+    """The lags and rolling statistics of :func:`features` for the month after a history, from its demand as an array, newest first."""
+    cols: dict[str, Column] = {f"lag_{k}": F.get(h, F.lit(k - 1)) for k in (1, 2, 3, 6, 12)}
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, v: Column) -> Column:
+        n, d = a["n"] + 1.0, v - a["avg"]
+        return F.struct(n.alias("n"), (a["avg"] + d / n).alias("avg"), (a["m2"] + d * (d - d / n)).alias("m2"))
+
+    for k in (3, 6, 12):
+        # In the order of the months, as a window adds them up.
+        last = F.filter(F.reverse(F.slice(h, 1, k)), lambda v: v.isNotNull())
+        n = F.size(last)
+        cols[f"roll_mean_{k}"] = F.when(n > 0, F.aggregate(last, F.lit(0.0), lambda a, v: a + v) / n)
+        cols[f"roll_std_{k}"] = F.when(n > 1, F.aggregate(last, zero, add, lambda a: F.sqrt(a["m2"] / (a["n"] - 1.0)))).otherwise(0.0)
+        cols[f"roll_nonzero_{k}"] = F.size(F.filter(last, lambda v: v > 0)).cast("double")
+        if k > 3:
+            cols[f"zero_count_{k}"] = F.size(F.filter(last, lambda v: v == 0)).cast("double")
+    return cols
+
+
 def multi_period(series: DataFrame, periods: int) -> DataFrame:
     """Baseline forecasts for the next 1..``periods`` months: flat, except the seasonal one, which repeats its year."""
     if not 1 <= periods <= 24:

@@ -135,22 +135,18 @@ def multi_period_forest(
     whole = Window.partitionBy("product_id")
     asked = series if asked is None else asked
     sized = asked.select("product_id", "month", "demand", F.count("*").over(whole).alias("size"), F.max("month").over(whole).alias("last"))
-    # A year and a month of history feed the features of the next month.
-    known = materialize(sized.where(F.col("month") > F.add_months("last", -13)).drop("last"), "history")
+    # One row a product with its newest year, newest first: a step needs no shuffle, and rows do not get more from step to step.
+    recent = sized.where(F.col("product_id").isNotNull() & (F.col("month") > F.add_months("last", -13)))
+    rows = recent.groupBy("product_id").agg(
+        F.max("month").alias("month"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("month", "demand")), asc=False).alias("h")
+    )
+    known = materialize(rows.withColumn("h", F.slice(F.col("h.demand").cast("array<double>"), 1, FC.SEASON)), "history")
     out = None
     for step in range(1, periods + 1):
-        history = known.select("product_id", "month", "demand")
-        ask = _prepared(FC.next_month_features(history, "advanced"))
-        facts = known.groupBy("product_id").agg(
-            F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("month", "demand")), asc=False).alias("h")
-        )
-        # Histories are as long as the season plus one month.
-        fallback = F.coalesce(F.get("h", F.lit(FC.SEASON - 1))["demand"], F.col("h")[0]["demand"])
-        one = _predicted(model, ask).join(facts.hint("merge"), "product_id").select(
-            "product_id", "month", _usable(F.col("raw"), fallback, F.col("size") >= MIN_OBS).alias("demand"), "size"
-        )
-        new = materialize(one, "step")
-        known = known.unionByName(new)
-        labelled = new.select("product_id", "month", F.lit(step).alias("step"), F.lit(FC.FOREST).alias("model"), F.col("demand").alias("forecast"))
+        ask = FC.with_calendar(known.withColumn("month", F.add_months("month", 1)).withColumns(FC.features_after(F.col("h"))))
+        fallback = F.coalesce(F.get("h", F.lit(FC.SEASON - 1)), F.col("h")[0])
+        one = _predicted(model, _prepared(ask)).withColumn("demand", _usable(F.col("raw"), fallback, F.col("size") >= MIN_OBS))
+        known = materialize(one.select("product_id", "month", "size", F.slice(F.concat(F.array("demand"), "h"), 1, FC.SEASON).alias("h")), "step")
+        labelled = known.select("product_id", "month", F.lit(step).alias("step"), F.lit(FC.FOREST).alias("model"), F.col("h")[0].alias("forecast"))
         out = labelled if out is None else out.unionByName(labelled)
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandry.functions.ordered import running_balance
 from demandry.operators import build as B
+from demandry.operators import forecast as FC
 from demandry.operators import forest as R
 from demandry.session import materialize
 from demandry.sources import files, tpch
@@ -54,6 +55,25 @@ def test_forest_backtest_has_no_join_and_reads_once_for_each_fit(spark, written,
     assert out.count() == 3 * 4 and out.where("y_true IS NULL OR y_pred < 0").isEmpty()
 
 
+def test_forest_steps_ahead_have_no_shuffle(spark, written):
+    seen, s = written(R), _series(spark)
+    out = R.multi_period_forest(s, 3, trees=2, depth=2)
+    assert len(seen["step"]) == 3 and not [p for p in seen["step"] if "Exchange" in p or "Join" in p or "Window" in p]
+    assert out.count() == 3 * 3 and out.where("forecast IS NULL OR forecast < 0").isEmpty()
+
+
+def test_features_after_are_those_of_the_next_month(spark):
+    rng = np.random.default_rng(8)
+    some = {f"p{n}": [float(v) * 1.1 for v in rng.poisson(1.5, n)] for n in (1, 2, 3, 5, 7, 12, 13, 30)}
+    s = series_frame(spark, {**some, "gap": [1.5, -1.0, 0.0, 2.5, -1.0, 3.1]})
+    s = s.withColumn("demand", F.expr("nullif(demand, -1)"))
+    h = s.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("month", "demand")), asc=False).alias("h"), F.max("month").alias("month"))
+    after = FC.with_calendar(h.select("product_id", F.add_months("month", 1).alias("month"), F.slice(F.col("h.demand"), 1, 12).alias("h")).withColumns(FC.features_after(F.col("h"))))
+    columns = ["product_id", "month", *FC.FEATURES]
+    want = FC.next_month_features(s, "advanced").select(columns).orderBy("product_id").collect()
+    assert after.select(columns).orderBy("product_id").collect() == want
+
+
 def test_forest_backtest_asks_with_the_row_before(spark):
     """In the reference's way a month is asked for with the lags of the month before it: here one unit lower each."""
     s = series_frame(spark, {"up": [float(v) for v in range(40)]})
