@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -72,6 +73,24 @@ def test_repeated_bytes(spark, rows):
     assert found == repeated_bytes(rows, 64)
 
 
+def test_planted_passages(spark):
+    """At the length of the contract a passage of over 50 words goes from every document that has it, from the first too; one under 400 bytes stays."""
+    rnd = random.Random(11)
+
+    def words(n: int) -> str:
+        return " ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(10_000, 100_000)}" for _ in range(n))
+
+    long, short = words(70), words(52)
+    assert len(short) < 390 and len(long) > 400
+    rows = [(i, " ".join((words(200), part, words(200)))) for i, part in enumerate((long, long, short, short, words(70), words(52), long))]
+    df = spark.createDataFrame([*rows, (7, None)], SCHEMA)
+    want = Counter((k, n, gone, spans, hashlib.sha256(kept).hexdigest()) for k, n, gone, spans, kept in repeated_bytes([*rows, (7, None)], suffixes.LENGTH).elements())
+    got = suffixes.digests(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(tuple(r) for r in got) == want
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {0, 1, 6}
+    assert {r["doc_id"]: r["n_bytes"] for r in got} == {**{k: len(t) for k, t in rows}, 7: 0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([(1, "a b c")], "item_id int, text string")
