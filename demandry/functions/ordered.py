@@ -1,8 +1,8 @@
 """Running sums and ranks over orders that may be far larger than one task.
 
 A window keyed by a product (or by nothing) would put a hot product's whole history into one task.
-Both functions below cut the order into blocks, add up block totals, and only run windows inside a
-block, so no task sees more than one block of rows.
+Both functions below cut such orders into blocks, add up block totals, and only run windows inside a
+block, so no task sees more than one block of rows, or one key of as many at most.
 """
 
 from __future__ import annotations
@@ -19,13 +19,48 @@ def running_balance(
     """Running sum of ``value`` per ``keys`` in the order (coarse, fine..., order...).
 
     ``coarse`` has few values per key (months); ``fine`` are order-compatible blocks inside it that
-    are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by key and ``coarse``; a month
-    of a key with more than ``hot_rows`` rows is cut into its blocks instead, so that no task holds it.
+    are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by key. A key with more than
+    ``hot_rows`` rows is cut into its months, and such a month into its blocks, so that no task holds it.
     Rows without a key, month or block have no place in the order and are left out.
     """
-    block, group = [*keys, coarse, *fine], [*keys, coarse]
+    block = [*keys, coarse, *fine]
     for c in block:
         df = df.where(F.col(c).isNotNull())
+    hot = _hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return _within_keys(df, value, keys, [coarse, *fine], order, out)
+    # At most rows / hot_rows of them.
+    mine = df.join(F.broadcast(hot), keys, "left_semi")
+    rest = df.join(F.broadcast(hot), keys, "left_anti")
+    return _within_keys(rest, value, keys, [coarse, *fine], order, out).unionByName(_cut_by_months(mine, value, keys, coarse, fine, order, out, hot_rows))
+
+
+# Rows are counted in so many groups of keys before any key is counted by itself.
+_SLOTS = 1 << 16
+
+
+def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, or nothing. Keys are counted by groups, and one by one only in groups with so many rows."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(_SLOTS)).alias("__slot")
+    full = materialize(df.groupBy(slot).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("__slot"), "slots")
+    if full.isEmpty():
+        return None
+    suspects = df.select(*keys, slot).join(F.broadcast(full), "__slot", "left_semi")
+    hot = materialize(suspects.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*keys), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _within_keys(df: DataFrame, value: Column, keys: list[str], blocks: list[str], order: list[str], out: str) -> DataFrame:
+    run = lambda part, by: F.sum(value).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    # A row before the first value of its block has no sum. Both windows stand on one sort.
+    known = run([*keys, *blocks], order).isNotNull()
+    return df.withColumn(out, F.when(known, run(keys, [*blocks, *order])))
+
+
+def _cut_by_months(
+    df: DataFrame, value: Column, keys: list[str], coarse: str, fine: list[str], order: list[str], out: str, hot_rows: int
+) -> DataFrame:
+    group = [*keys, coarse]
     # One row per key and month, written once: read for the sums before each month and for the hot ones.
     sums = materialize(df.groupBy(*group).agg(F.sum(value).alias("__sum"), F.count("*").alias("__n")), "sums")
     upto = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)

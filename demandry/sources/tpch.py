@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandry import schema as S
 from demandry.functions.ordered import running_balance
+from demandry.session import drop, fresh_path, owned, sparing
 
 # Row numbers are cut into blocks of this many orders; a block holds a bounded number of rows.
 _BLOCK_BITS = 20
+# The wide ledger is balanced by groups of products: one for so many bytes of lines, and no more than there are folders worth having.
+_SLICE_BYTES, _SLICES = 16 << 20, 8
 # Sales channels that have a point of sale.
 PHYSICAL_CHANNELS = ["1-URGENT", "2-HIGH"]
 
@@ -80,6 +84,11 @@ def ledger(spark: SparkSession, sf_dir: str, *columns: str, by_brand: bool = Fal
         ex["product_id"] = F.col("p_brand")
     if by_org:
         ex["product_id"] = F.concat_ws("\x1f", ex["org_id"], ex["product_id"])
+    return _joined(spark, sf_dir, needs).select(*[ex[c].alias(c) for c in wanted])
+
+
+def _joined(spark: SparkSession, sf_dir: str, needs: set[str]) -> DataFrame:
+    """Lines with the columns of the tables in ``needs``; a line without its row in one of them is left out."""
     out = table(spark, sf_dir, "lineitem")
     on = {
         "part": F.col("l_partkey") == F.col("p_partkey"),
@@ -98,7 +107,7 @@ def ledger(spark: SparkSession, sf_dir: str, *columns: str, by_brand: bool = Fal
     for name in ("part", "supplier"):
         if name in needs:
             out = out.join(table(spark, sf_dir, name), on[name])
-    return out.select(*[ex[c].alias(c) for c in wanted])
+    return out
 
 
 def balanced_ledger(spark: SparkSession, sf_dir: str, *columns: str, opening: float = 10_000.0, by_brand: bool = False, by_org: bool = False) -> DataFrame:
@@ -112,6 +121,41 @@ def balanced_ledger(spark: SparkSession, sf_dir: str, *columns: str, opening: fl
     return out.withColumn("stock_before", F.col("stock_after") - signed)
 
 
+def _slices(lines: DataFrame) -> int:
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(_SLICES, size // _SLICE_BYTES))
+
+
+def _wide_ledger(spark: SparkSession, sf_dir: str, opening: float = 10_000.0) -> DataFrame:
+    """Lines with the names of their product, client and department, balanced by product, written to the shared folder.
+
+    The lines meet their orders once and are written by groups of products. Each group is then shuffled by product, for its
+    names and its balance at once, and its lines go: so little of the disk holds shuffled rows at any time.
+    """
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    columns = [*keys, "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "o_orderpriority", "c_name", "c_mktsegment", "n_name"]
+    lines = _joined(spark, sf_dir, {"orders", "customer", "nation"}).select(*columns).where(F.col("l_partkey").isNotNull())
+    stored = T.StructType([*lines.schema.fields, T.StructField("slice", T.IntegerType())])
+    names, n = table(spark, sf_dir, "part").select("p_partkey", "p_name"), _slices(table(spark, sf_dir, "lineitem"))
+    slice_of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n)).cast("int")
+    ex = _expressions()
+    signed = F.when(ex["kind"] == S.SALE, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    held, path = fresh_path(spark, "lines"), fresh_path(spark, "wide")
+    with sparing(spark):
+        lines.withColumn("slice", slice_of("l_partkey")).write.partitionBy("slice").parquet(held)
+        for k in range(n):
+            mine = spark.read.schema(stored).parquet(held).where(F.col("slice") == k).drop("slice")
+            rows = mine.join(names.where(slice_of("p_partkey") == k), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+            rows = rows.withColumns({c: ex[c] for c in ("month", "date", "row_block")})
+            out = running_balance(rows, signed, keys=["l_partkey"], coarse="month", fine=["date", "row_block"], order=keys, out="balance")
+            out.drop("month", "date", "row_block").write.mode("append").parquet(path)
+            drop(spark, f"{held}/slice={k}")
+        drop(spark, held)
+    owned(path)
+    after = F.col("balance") + opening
+    return spark.read.parquet(path).withColumns({"stock_after": after, "stock_before": after - signed}).drop("balance")
+
+
 def raw_ledger(spark: SparkSession, sf_dir: str, places: bool = False, org: bool = False) -> DataFrame:
     """The ledger as it would arrive in a file: all text, input headers, a known set of dirty rows.
 
@@ -121,10 +165,12 @@ def raw_ledger(spark: SparkSession, sf_dir: str, places: bool = False, org: bool
     decimal (89), a blank inside the number (83), two separators (307), a blank product (199), padded text (53),
     or a wrong balance (101).
     """
-    full = balanced_ledger(
-        spark, sf_dir, "year", "month_no", "day", "product_name", "client", "department", "channel", "pos",
+    columns = [
+        "product_id", "date", "kind", "qty", "row_block", "row_seq", "year", "month_no", "day", "product_name", "client", "department", "channel", "pos",
         "unit_price", "discount_pct", "total_value", "campaign", "unit_cost", *(["org_id"] if org else []),
-    )
+    ]
+    ex = _expressions()
+    full = _wide_ledger(spark, sf_dir).select(*[ex[c].alias(c) for c in columns], "stock_before", "stock_after")
     key = F.col("row_seq.l_orderkey")
     every = lambda n: key % n == 0
     whole = lambda c: F.col(c).cast("bigint").cast("string")

@@ -9,7 +9,7 @@ from demandry.operators import build as B
 from demandry.operators import clean as K
 from demandry.operators import sqlapi as A
 from demandry.plans import load
-from demandry.session import fresh_path, materialize
+from demandry.session import fresh_path, materialize, sparing
 from demandry.sources import files, snapshot, tpch
 from demandry.sources.tpch import ledger
 from suite import builders
@@ -27,10 +27,17 @@ _RAW = """, raw AS (SELECT CASE WHEN ok % 211 = 0 THEN 'abc' WHEN ok % 97 = 0 TH
   channel AS "Canal_venta", pos AS "Punto_venta" FROM (SELECT *, CAST(CAST(qty AS BIGINT) AS VARCHAR) AS q FROM ledger))"""
 
 
+def _ledger_file(spark, sf):
+    """The ledger as files; what it was made from goes when they are written."""
+    path = fresh_path(spark, "csv")
+    with sparing(spark):
+        files.write_csv(tpch.raw_ledger(spark, sf), path, compression="gzip")
+    return path
+
+
 @query("csv_ledger_scan", T.chain(T.LEDGER) + _RAW + " SELECT * FROM raw")
 def csv_ledger_scan(spark, sf):
-    path = fresh_path(spark, "csv")
-    files.write_csv(tpch.raw_ledger(spark, sf), path)
+    path = _ledger_file(spark, sf)
     return files.require(files.read_text_csv(spark, path), S.REQUIRED).select(*_TEXT)
 
 
