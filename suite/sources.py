@@ -60,10 +60,13 @@ def csv_clean_to_stock(spark, sf):
 )
 def csv_many_files(spark, sf):
     root = fresh_path(spark, "years")
-    raw = materialize(tpch.raw_ledger(spark, sf), "raw")
-    first, later = raw.where(F.col("Año") < "1998"), raw.where(F.col("Año") >= "1998").drop("Canal_venta")
-    files.write_csv(first, f"{root}/a")
-    files.write_csv(later, f"{root}/b")
+    with sparing(spark) as held:
+        with sparing(spark) as sources:
+            raw = materialize(tpch.raw_ledger(spark, sf), "raw")
+            held.append(sources.pop())
+        first, later = raw.where(F.col("Año") < "1998"), raw.where(F.col("Año") >= "1998").drop("Canal_venta")
+        files.write_csv(first, f"{root}/a", compression="gzip")
+        files.write_csv(later, f"{root}/b", compression="gzip")
     rows = K.typed(files.read_ledger(spark, [f"{root}/a", f"{root}/b"]))
     return rows.where(F.col("source_file").isNotNull()).groupBy("year").agg(
         F.count("*").alias("n"), F.count("channel").alias("n_channel"), F.sum("qty").alias("qty")

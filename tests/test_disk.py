@@ -27,7 +27,14 @@ def plain_files(folder) -> list[str]:
     return [f for _, _, names in os.walk(folder) for f in names if f.endswith(".csv")]
 
 
-@pytest.mark.parametrize("name, tables", [("csv_ledger_scan", {"csv", "files"}), ("csv_clean_to_stock", {"csv", "files"})])
+@pytest.mark.parametrize(
+    "name, tables",
+    [
+        ("csv_ledger_scan", {"csv", "files"}),
+        ("csv_clean_to_stock", {"csv", "files"}),
+        ("csv_many_files", {"years", "files"}),
+    ],
+)
 def test_written_ledgers_leave_only_what_is_read(spark, sf, folder, name, tables):
     assert QUERIES[name](spark, sf).count() > 0
     assert held(folder) == tables and not plain_files(folder)
