@@ -8,7 +8,7 @@ from demandry.operators import analytics as A
 from demandry.operators import build as B
 from demandry.operators import quality as Q
 from demandry.plans import load
-from demandry.session import materialize
+from demandry.session import materialize, sparing
 from demandry.sources import tpch
 from demandry.sources.tpch import PHYSICAL_CHANNELS, balanced_ledger, ledger
 from suite import builders
@@ -339,8 +339,13 @@ def null_rules(spark, sf):
     UNION ALL SELECT 2, 'demand', count(*) FROM (SELECT DISTINCT product_id, month FROM kept WHERE kind = 'sale') UNION ALL SELECT 3, 'stock', count(*) FROM (SELECT DISTINCT product_id, month FROM kept)""",
 )
 def stage_counts(spark, sf):
-    raw = materialize(tpch.raw_ledger(spark, sf, places=True), "raw")
-    r = load.monthly_tables(raw, keep=True)
+    # What the ledger was made from goes; it and its clean rows are read by the counts.
+    with sparing(spark) as sources:
+        raw = materialize(tpch.raw_ledger(spark, sf, places=True), "raw")
+        sources.pop()
+    with sparing(spark) as kept:
+        r = load.monthly_tables(raw, keep=True)
+        kept.clear()
     return Q.stage_counts({"read": raw, "clean": r.movements, "demand": r.demand_monthly, "stock": r.stock_monthly})
 
 

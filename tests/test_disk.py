@@ -33,6 +33,7 @@ def plain_files(folder) -> list[str]:
         ("csv_ledger_scan", {"csv", "files"}),
         ("csv_clean_to_stock", {"csv", "files"}),
         ("csv_many_files", {"years", "files"}),
+        ("stage_counts", {"raw", "movements"}),
     ],
 )
 def test_written_ledgers_leave_only_what_is_read(spark, sf, folder, name, tables):
