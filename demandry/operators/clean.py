@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from demandry import schema as S
@@ -43,9 +43,14 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["date", "product_id", "kind", "qty"]).where(strip("product_id") != "")
 
 
-def clean(raw: DataFrame, tolerance: float = S.STOCK_TOLERANCE) -> DataFrame:
-    """Raw ledger to typed movements that can be added up. One narrow pass, no shuffle."""
-    return complete_rows(coherent(typed(raw), tolerance))
+def clean(raw: DataFrame, tolerance: float = S.STOCK_TOLERANCE, read: Observation | None = None) -> DataFrame:
+    """Raw ledger to typed movements that can be added up. One narrow pass, no shuffle.
+
+    ``read`` counts the rows before any is dropped. That is done on the typed rows: conditions are not moved below it, so no
+    field is parsed once more for each place where a condition names it."""
+    rows = typed(raw)
+    rows = rows if read is None else rows.observe(read, F.count("*").alias("n"))
+    return complete_rows(coherent(rows, tolerance))
 
 
 def rejection_reason(tolerance: float = S.STOCK_TOLERANCE) -> Column:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,17 @@ def read_columns(spark: SparkSession, names: str | list[str], header: H.Header,
 FILE_ORDER = ["source_no", "source_path", "row_block", "row_seq"]
 
 
+def ranked_sources(rows: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """``rows``, which are written, with the rank of their source path in place of path and name in ``order``: numbers are cheaper to compare and to send.
+
+    There is one row for each file in what is ranked and sent to all tasks."""
+    if "source_path" not in order:
+        return rows, order
+    ranks = rows.select("source_path").distinct().withColumn("source_rank", F.row_number().over(Window.orderBy("source_path")))
+    ranked = rows.join(F.broadcast(ranks), "source_path", "left")
+    return ranked, ["source_rank" if c == "source_path" else c for c in order if c != "source_file"]
+
+
 def read_ledger(spark: SparkSession, paths: list[str], sep: str = ",", encoding: str = "UTF-8", table: DataFrame | None = None) -> DataFrame:
     """Several ledger files as one table; headers may differ in order and in optional columns, but each has the required ones."""
     if not paths:

@@ -8,12 +8,10 @@ from pyspark.sql import types as T
 
 from demandry import schema as S
 from demandry.functions.ordered import running_balance
-from demandry.session import drop, fresh_path, owned, sparing
+from demandry.session import drop, fresh_path, owned, parts_for, sparing
 
 # Row numbers are cut into blocks of this many orders; a block holds a bounded number of rows.
 _BLOCK_BITS = 20
-# The wide ledger is balanced by groups of products: one for so many bytes of lines, and no more than there are folders worth having.
-_SLICE_BYTES, _SLICES = 16 << 20, 8
 # Sales channels that have a point of sale.
 PHYSICAL_CHANNELS = ["1-URGENT", "2-HIGH"]
 
@@ -121,11 +119,6 @@ def balanced_ledger(spark: SparkSession, sf_dir: str, *columns: str, opening: fl
     return out.withColumn("stock_before", F.col("stock_after") - signed)
 
 
-def _slices(lines: DataFrame) -> int:
-    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(_SLICES, size // _SLICE_BYTES))
-
-
 def _wide_ledger(spark: SparkSession, sf_dir: str, opening: float = 10_000.0) -> DataFrame:
     """Lines with the names of their product, client and department, balanced by product, written to the shared folder.
 
@@ -136,7 +129,7 @@ def _wide_ledger(spark: SparkSession, sf_dir: str, opening: float = 10_000.0) ->
     columns = [*keys, "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "o_orderpriority", "c_name", "c_mktsegment", "n_name"]
     lines = _joined(spark, sf_dir, {"orders", "customer", "nation"}).select(*columns).where(F.col("l_partkey").isNotNull())
     stored = T.StructType([*lines.schema.fields, T.StructField("slice", T.IntegerType())])
-    names, n = table(spark, sf_dir, "part").select("p_partkey", "p_name"), _slices(table(spark, sf_dir, "lineitem"))
+    names, n = table(spark, sf_dir, "part").select("p_partkey", "p_name"), parts_for(table(spark, sf_dir, "lineitem"))
     slice_of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n)).cast("int")
     ex = _expressions()
     signed = F.when(ex["kind"] == S.SALE, -F.col("l_quantity")).otherwise(F.col("l_quantity"))

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from demandry import schema as S
 from demandry.operators import build as B
 from demandry.operators import clean as C
-from demandry.session import grouped_for, materialize
+from demandry.session import drop, fresh_path, grouped_for, parts_for
 from demandry.sources import files, layouts
 from demandry.sources import headers as H
 
@@ -57,30 +57,38 @@ def apply_batch(raw: DataFrame, batch_id: int, store: Store, scope: Sequence[str
 
     Every write replaces whole partitions (the batch's own slice of the ledger, the touched months of
     the tables, the batch's audit row), so running the same batch again changes nothing. A batch without any valid
-    row, or without sales, is a batch like any other. Files are parsed once, and every count is taken while its rows are written.
+    row, or without sales, is a batch like any other. Files are parsed once, and every count is taken as its rows are read or written.
     """
     spark, scope = raw.sparkSession, list(scope)
     if "row_seq" not in raw.columns:
         # Rows of one file split stay in one task and in order, so this numbers them within the split.
         raw = raw.withColumn("row_seq", F.monotonically_increasing_id())
-    read, kept = Observation(), Observation()
-    counted = raw.observe(read, F.count("*").alias("n"))
-    cleaned = C.clean(counted).withColumns({"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)})
-    touched = F.collect_set(F.struct(*scope, "month"))
-    cleaned = materialize(cleaned.observe(kept, F.count("*").alias("n"), touched.alias("touched")), "batch")
-    by = [*scope, "month"]
-    touched_now = sorted(tuple(r) for r in kept.get["touched"])
-    _overwrite(cleaned, store.path("ledger"), [*by, "batch_id"])
-    ledger = _partitions(spark, store.path("ledger"), cleaned.schema, by, touched_now)
-    order = ["date", *[c for c in _ORDER if c in ledger.columns]]
-    keys = [*scope, "product_id"]
-    n_demand, n_stock = Observation(), Observation()
-    _overwrite(B.demand_monthly(ledger, keys), store.path("demand_monthly"), by, n_demand)
-    _overwrite(B.stock_monthly(ledger, keys, order), store.path("stock_monthly"), by, n_stock)
-    counts = {"n_raw": read, "n_clean": kept, "n_demand": n_demand, "n_stock": n_stock}
+    read = Observation()
+    cleaned = C.clean(raw, read=read).withColumns({"month": F.trunc("date", "month"), "batch_id": F.lit(batch_id)})
+    by, keys = [*scope, "month"], [*scope, "product_id"]
+    # Months are worked off in parts: only those of one are shuffled at a time, and what was parsed of them goes.
+    n = parts_for(raw)
+    part = F.pmod(F.year("month") * 12 + F.month("month"), F.lit(n))
+    stored = StructType([*cleaned.schema.fields, StructField("part", IntegerType())])
+    path = fresh_path(spark, "batch")
+    cleaned.withColumn("part", part).write.partitionBy("part").parquet(path)
+    batch = spark.read.schema(stored).parquet(path)
+    kept = batch.groupBy("part", *by).agg(F.count("*").alias("n")).collect()  # one row for each month that it touches
+    touched = {k: sorted(tuple(r[c] for c in by) for r in kept if r["part"] == k) for k in sorted({r["part"] for r in kept})}
+    counts = {"n_raw": read.get["n"], "n_clean": sum(r["n"] for r in kept), "n_demand": 0, "n_stock": 0}
+    for k, some in touched.items():
+        mine = spark.read.schema(stored).parquet(path).where(F.col("part") == k).drop("part")
+        _overwrite(mine, store.path("ledger"), [*by, "batch_id"])
+        drop(spark, f"{path}/part={k}")
+        ledger = _partitions(spark, store.path("ledger"), cleaned.schema, by, some)
+        ledger, order = files.ranked_sources(ledger, ["date", *[c for c in _ORDER if c in ledger.columns]])
+        for name, table in (("n_demand", B.demand_monthly(ledger, keys)), ("n_stock", B.stock_monthly(ledger, keys, order))):
+            _overwrite(table, store.path(name.replace("n_", "") + "_monthly"), by, seen := Observation())
+            counts[name] += seen.get["n"]
+    drop(spark, path)
     audit = spark.range(1).select(
         F.lit(batch_id).alias("batch_id"),
-        *[F.lit(seen.get["n"]).cast("bigint").alias(c) for c, seen in counts.items()],
+        *[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()],
         F.current_timestamp().alias("processed_at"),
     )
     _overwrite(audit, store.path("audit"), ["batch_id"])

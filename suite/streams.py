@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demandry import schema as S
 from demandry.functions.columns import strip, to_number
-from demandry.session import fresh_path, materialize
+from demandry.session import fresh_path, materialize, sparing
 from demandry.sources import files, layouts, tpch
 from demandry.sources import headers as H
 from demandry.streaming import ingest, live
@@ -19,17 +19,32 @@ _KEPT = "ok % 211 <> 0 AND ok % 307 <> 0 AND ok % 199 <> 0 AND ok % 101 <> 0"
 def _two_batches(spark, sf):
     """Two arrivals whose months overlap, as two runs of the ingest."""
     root = fresh_path(spark, "ingest")
-    # Every arrival is cut from it, so it is worked out once.
-    raw = materialize(tpch.raw_ledger(spark, sf), "raw")
-    early = F.col("Año") < "1999"
+    early, half = F.col("Año") < "1999", F.col("Cantidad").contains("1")
     inbox, store = f"{root}/inbox", ingest.Store(f"{root}/store")
-    half = F.col("Cantidad").contains("1")
-    for part in (raw.where(early | half), raw.where(~early & ~half)):
-        part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(inbox)
-        ingest.ingest(spark, inbox, store).awaitTermination()
+    with sparing(spark) as held:
+        # Every arrival is cut from it, so it is worked out once.
+        with sparing(spark) as sources:
+            raw = materialize(tpch.raw_ledger(spark, sf), "raw")
+            held.append(sources.pop())
+        for k, arrival in enumerate((raw.where(early | half), raw.where(~early & ~half))):
+            files.write_csv(arrival, f"{root}/{k}", compression="gzip")
+    with sparing(spark):
+        for k in range(2):
+            _arrive(spark, f"{root}/{k}", inbox)
+            ingest.ingest(spark, inbox, store).awaitTermination()
     return store
 
 
+def _arrive(spark, path, inbox):
+    """The part files of a folder come into the inbox."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(inbox)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(there)
+    for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(there, f.getPath().getName()))
+
+
 @query("ingest_demand", T.chain(T.LEDGER) + f" SELECT product_id, month, abs(sum(qty)) AS demand FROM ledger WHERE kind = 'sale' AND {_KEPT} GROUP BY product_id, month")
 def ingest_demand(spark, sf):
     return spark.read.parquet(_two_batches(spark, sf).path("demand_monthly")).select("product_id", "month", "demand")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from demandry import session
 from demandry.functions.ordered import running_balance
-from demandry.sources import tpch
+from demandry.sources import files, tpch
+from demandry.streaming import ingest
 from suite import QUERIES
 
 
@@ -34,6 +35,7 @@ def plain_files(folder) -> list[str]:
         ("csv_clean_to_stock", {"csv", "files"}),
         ("csv_many_files", {"years", "files"}),
         ("stage_counts", {"raw", "movements"}),
+        ("ingest_demand", {"ingest", "files"}),
     ],
 )
 def test_written_ledgers_leave_only_what_is_read(spark, sf, folder, name, tables):
@@ -45,7 +47,7 @@ def test_wide_ledger_by_groups_of_products(spark, sf, folder, monkeypatch):
     """However many groups the lines are cut into, the ledger is the same, and the lines are gone."""
     out = []
     for n in (1, 3):
-        monkeypatch.setattr(tpch, "_slices", lambda _, n=n: n)
+        monkeypatch.setattr(tpch, "parts_for", lambda _, n=n: n)
         out.append(sorted(map(str, tpch.raw_ledger(spark, sf, places=True, org=True).collect())))
     assert out[0] == out[1] and len(out[0]) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert held(folder) == {"wide"}
@@ -67,3 +69,31 @@ def test_sparing_keeps_what_is_taken_out(spark, folder):
         paths.pop()
     assert held(folder) == {"stays"} and stays.count() == 5
     assert spark.conf.get("spark.sql.parquet.compression.codec") == before
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_batches_are_worked_off_in_parts_of_months(spark, folder, monkeypatch, n):
+    """Every month of every part has its tables, and of two files the later one ends a day."""
+    monkeypatch.setattr(ingest, "parts_for", lambda _: n)
+    rows = [
+        (f"2024-{m:02d}-05", "p", "n", "Producción", str(q), "0", str(q), "f", 0, f, 0, 1)
+        for m in range(1, 8) for f, q in (("file:/z", 3 * m), ("file:/a", 5 * m))
+    ]
+    names = ["Fecha", "Producto_id", "Producto_nombre", "Tipo_movimiento", "Cantidad", "Stock_anterior", "Stock_posterior"]
+    raw = spark.createDataFrame([*rows, (None, *rows[0][1:])], [*names, "source_file", "source_no", "source_path", "row_block", "row_seq"])
+    store = ingest.Store(f"{folder}/store")
+    ingest.apply_batch(raw, 0, store)
+    ingest.apply_batch(raw.where("Fecha < '2024-03'"), 1, store)
+    audit = spark.read.parquet(store.path("audit")).orderBy("batch_id").select("n_raw", "n_clean", "n_demand", "n_stock").collect()
+    assert [tuple(r) for r in audit] == [(15, 14, 0, 7), (4, 4, 0, 2)]
+    stock = {r.month.month: r.stock for r in spark.read.parquet(store.path("stock_monthly")).collect()}
+    assert stock == {m: 3.0 * m for m in range(1, 8)}
+    assert held(folder) == {"store"}
+
+
+def test_ranks_of_files_stand_for_their_paths(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("b", 4)], "source_path string, row_seq int")
+    ranked, order = files.ranked_sources(rows, ["date", "source_no", "source_path", "source_file", "row_seq"])
+    assert order == ["date", "source_no", "source_rank", "row_seq"]
+    ranks = {r.row_seq: r.source_rank for r in ranked.collect()}
+    assert len(ranks) == 4 and ranks[1] == ranks[4] > ranks[2]
