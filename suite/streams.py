@@ -69,10 +69,12 @@ _LAYOUTS = {"org0": (",", "UTF-8"), "org1": (";", "ISO-8859-1"), "org2": (",", "
 _RENAMED = {"Producto_id": "Código", "Cantidad": "Unidades"}
 
 
-def _tenant_files(spark, sf, root):
-    """Files of three organizations in two arrivals, and the configuration rows."""
+def _tenant_files(spark, sf, root, held):
+    """Files of three organizations in two arrivals, and the configuration rows. The ledger that they are cut from is added to ``held``."""
     # Every file is cut from it, so it is worked out once.
-    raw = materialize(tpch.raw_ledger(spark, sf, org=True), "raw")
+    with sparing(spark) as sources:
+        raw = materialize(tpch.raw_ledger(spark, sf, org=True), "raw")
+        held.append(sources.pop())
     columns = [c for c in raw.columns if c != "org_id"]
     rows = []
     for org, (sep, encoding) in _LAYOUTS.items():
@@ -86,7 +88,7 @@ def _tenant_files(spark, sf, root):
         for org, (sep, encoding) in _LAYOUTS.items():
             mine = raw.where((F.col("org_id") == org) & (late if arrival else ~late)).select(*columns)
             mine = mine.withColumnsRenamed(_RENAMED) if org == "org1" else mine.drop("Cantidad") if org == "org2" else mine
-            files.write_csv(mine, f"{root}/{org}/raw/{arrival}", sep, encoding=encoding)
+            files.write_csv(mine, f"{root}/{org}/raw/{arrival}", sep, encoding=encoding, compression="gzip")
 
     return config, write
 
@@ -94,10 +96,14 @@ def _tenant_files(spark, sf, root):
 def _by_organization(spark, sf):
     root = fresh_path(spark, "tenants")
     inbox, store = f"{root}/inbox", ingest.Store(f"{root}/store")
-    config, write = _tenant_files(spark, sf, inbox)
-    for arrival in (0, 1):
-        write(arrival)
-        ingest.ingest(spark, inbox, store, config=config).awaitTermination()
+    run = lambda: ingest.ingest(spark, inbox, store, config=config).awaitTermination()
+    with sparing(spark) as held:
+        config, write = _tenant_files(spark, sf, inbox, held)
+        write(0)
+        run()
+        write(1)
+    with sparing(spark):
+        run()
     return store
 
 
@@ -150,9 +156,10 @@ def ingest_quarantine(spark, sf):
 )
 def tenant_layouts(spark, sf):
     root = fresh_path(spark, "tenants")
-    config, write = _tenant_files(spark, sf, root)
-    write(0)
-    write(1)
+    with sparing(spark) as held:
+        config, write = _tenant_files(spark, sf, root, held)
+        write(0)
+        write(1)
     rows = layouts.read_tenants(spark, root, config, S.REQUIRED).rows
     typed = rows.select("org_id", strip("Producto_id").alias("product"), to_number("Cantidad").alias("qty"))
     return typed.where("product <> ''").groupBy("org_id", "product").agg(F.count("*").alias("n"), F.sum("qty").alias("quantity"))

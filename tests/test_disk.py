@@ -36,6 +36,7 @@ def plain_files(folder) -> list[str]:
         ("csv_many_files", {"years", "files"}),
         ("stage_counts", {"raw", "movements"}),
         ("ingest_demand", {"ingest", "files"}),
+        ("ingest_by_organization", {"tenants", "files"}),
     ],
 )
 def test_written_ledgers_leave_only_what_is_read(spark, sf, folder, name, tables):
