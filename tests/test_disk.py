@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from demandry import session
 from demandry.functions.ordered import running_balance
 from demandry.sources import files, tpch
+from demandry.sources import headers as H
 from demandry.streaming import ingest
 from suite import QUERIES
 
@@ -98,3 +99,14 @@ def test_ranks_of_files_stand_for_their_paths(spark):
     assert order == ["date", "source_no", "source_rank", "row_seq"]
     ranks = {r.row_seq: r.source_rank for r in ranked.collect()}
     assert len(ranks) == 4 and ranks[1] == ranks[4] > ranks[2]
+
+
+def test_lines_of_compressed_refused_files_are_counted(spark, folder):
+    """A refused file that is compressed holds back the same rows, and its header is read as well."""
+    rows = spark.range(50).selectExpr("id AS a", "concat('x', id) AS b").coalesce(1)
+    for name, kind in (("plain", None), ("packed", "gzip")):
+        files.write_csv(rows, f"{folder}/{name}", compression=kind)
+        table = H.file_table(spark, [f"{folder}/{name}"])
+        assert [(h.line, h.n_files) for h in H.headers(table)] == [("a,b", 1)]
+        assert [r.n_lines for r in H.data_lines(table).collect()] == [50]
+    assert [f.name.endswith(".csv.gz") for f in (folder / "packed").iterdir() if f.name.startswith("part-")] == [True]
