@@ -38,6 +38,7 @@ def plain_files(folder) -> list[str]:
         ("stage_counts", {"raw", "movements"}),
         ("ingest_demand", {"ingest", "files"}),
         ("ingest_by_organization", {"tenants", "files"}),
+        ("tenant_layouts", {"tenants", "files"}),
     ],
 )
 def test_written_ledgers_leave_only_what_is_read(spark, sf, folder, name, tables):
