@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,7 @@ from demandry.functions.columns import strip, to_day, to_number
 from demandry.operators import build as B
 from demandry.operators import clean as C
 from demandry.operators import convert as V
-from demandry.session import materialize
+from demandry.session import materialize, sparing
 from demandry.sources import files
 from demandry.sources import headers as H
 from demandry.sources import snapshot
@@ -26,6 +27,8 @@ class LoadResult:
     demand_monthly: DataFrame | None = None
     stock_monthly: DataFrame | None = None
     error: str | None = None
+    # Demand and stock of movements that are written, as of this load's format.
+    monthly: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None
 
     @property
     def ok(self) -> bool:
@@ -40,9 +43,16 @@ def monthly_tables(raw: DataFrame, keep: bool = False) -> LoadResult:
     """
     cleaned = C.clean(raw)
     cleaned = cleaned.withColumn("month", F.trunc("date", "month"))
+    monthly = lambda rows, order: (B.demand_monthly(rows), B.stock_monthly(rows, order=order))
+    return _with_tables(cleaned, monthly, keep)
+
+
+def _with_tables(rows: DataFrame, monthly: Callable[[DataFrame, list[str]], tuple[DataFrame, DataFrame]], keep: bool) -> LoadResult:
+    # Files are ranked where the rows are written; else they would be parsed once more for it.
+    of_written = lambda df: monthly(*files.ranked_sources(df, _order(df)))
     if keep:
-        cleaned = materialize(cleaned, "movements")
-    return LoadResult(cleaned, B.demand_monthly(cleaned), B.stock_monthly(cleaned, order=_order(cleaned)))
+        rows = materialize(rows, "movements")
+    return LoadResult(rows, *(of_written(rows) if keep else monthly(rows, _order(rows))), monthly=of_written)
 
 
 def legacy_movements(raw: DataFrame) -> DataFrame:
@@ -66,10 +76,12 @@ def legacy_tables(
 ) -> LoadResult:
     """Older ledger: demand from sales, consumption and external guides; stock per product and warehouse."""
     rows = B.reconcile_guides(legacy_movements(raw), guide_docs)
-    if keep:
-        rows = materialize(rows, "movements")
-    demand = B.demand_components(rows, sale_docs, consumption_docs).select("product_id", "month", "demand")
-    return LoadResult(rows, demand, B.stock_monthly(rows, ["product_id", "warehouse"], _order(rows)))
+
+    def monthly(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+        demand = B.demand_components(rows, sale_docs, consumption_docs).select("product_id", "month", "demand")
+        return demand, B.stock_monthly(rows, ["product_id", "warehouse"], order)
+
+    return _with_tables(rows, monthly, keep)
 
 
 def _order(rows: DataFrame) -> list[str]:
@@ -121,13 +133,20 @@ def run(spark: SparkSession, paths: list[str], keep: bool = True, *, sep: str |
 def run_and_store(spark: SparkSession, paths: list[str], root: str, org_id: str, **reading: str) -> LoadResult:
     """Load an organization's files and make the results its stored ones, with the number of files and the time.
 
-    A load that fails leaves what is stored as it was.
+    The movements are written into the store at once, and demand and stock are built from them there. A load that fails
+    leaves what is stored as it was.
     """
-    result = run(spark, paths, **reading)
+    result = run(spark, paths, keep=False, **reading)
     if result.ok:
-        owned = lambda df: df.withColumn("org_id", F.lit(org_id))
-        tables = {"movements": result.movements, "demand_monthly": result.demand_monthly, "stock_monthly": result.stock_monthly}
+        owned = lambda df: df.drop("org_id").withColumn("org_id", F.lit(org_id))
+        tables = {
+            "movements": owned(result.movements),
+            "demand_monthly": lambda stored: owned(result.monthly(stored["movements"].drop("org_id"))[0]),
+            "stock_monthly": lambda stored: owned(result.monthly(stored["movements"].drop("org_id"))[1]),
+        }
         n_files = H.list_files(spark, paths).count()
         org = spark.createDataFrame([(org_id,)], "org_id string")
-        snapshot.save_snapshot({k: owned(df.drop("org_id")) for k, df in tables.items()}, root, org, n_files)
+        with sparing(spark):
+            stored = snapshot.save_snapshot(tables, root, org, n_files, one=True)
+        result = LoadResult(*[stored[name].drop("org_id") for name in tables])
     return result

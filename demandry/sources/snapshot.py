@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,21 +37,28 @@ def _manifest(spark: SparkSession, root: str) -> DataFrame:
     return latest_per_key(_rows(spark, f"{root}/manifest", _MANIFEST), ["org_id"], "updated_at")
 
 
-def save_snapshot(tables: dict[str, DataFrame], root: str, org_ids: DataFrame, files_processed: int) -> None:
-    """Replace the results of the organizations in ``org_ids``, also by nothing; others stay as they were.
+def save_snapshot(
+    tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], root: str, org_ids: DataFrame, files_processed: int, *, one: bool = False
+) -> dict[str, DataFrame]:
+    """Replace the results of the organizations in ``org_ids``, also by nothing; others stay as they were. Returns the tables as stored.
 
-    An organization whose new result has no rows has none from then on.
+    An organization whose new result has no rows has none from then on. A table may be given as a function of those stored
+    before it. Rows of ``one`` organization are written as they lie, others are gathered by organization before.
     """
     spark, root, load = org_ids.sparkSession, root.rstrip("/"), uuid.uuid4().hex
     orgs = org_ids.select("org_id").distinct()
-    for name, df in tables.items():
-        mine = df.join(orgs, "org_id", "left_semi")
-        grouped_for(mine, "org_id").write.partitionBy("org_id").parquet(f"{root}/{name}/load_id={load}")
-    schemas = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(df.schema.json()).alias("schema")) for name, df in tables.items()])
+    stored: dict[str, DataFrame] = {}
+    for name, given in tables.items():
+        df = given if isinstance(given, DataFrame) else given(stored)
+        mine, path = df.join(orgs, "org_id", "left_semi"), f"{root}/{name}/load_id={load}"
+        (mine if one else grouped_for(mine, "org_id")).write.partitionBy("org_id").parquet(path)
+        stored[name] = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    schemas = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(df.schema.json()).alias("schema")) for name, df in stored.items()])
     orgs.select(
         "org_id", F.lit(load).alias("load_id"), F.lit(True).alias("data_loaded"), F.current_timestamp().alias("updated_at"),
         F.lit(files_processed).alias("files_processed"), schemas.alias("tables"),
     ).write.mode("append").parquet(f"{root}/manifest")
+    return stored
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str, org_id: str | None = None) -> DataFrame:

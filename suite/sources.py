@@ -251,7 +251,8 @@ def stored_backtests(spark, sf):
 def load_to_store(spark, sf):
     """From files to the organization's stored tables, and back out of the store."""
     root = fresh_path(spark, "stored")
-    files.write_csv(tpch.raw_ledger(spark, sf), f"{root}/in")
+    with sparing(spark):
+        files.write_csv(tpch.raw_ledger(spark, sf), f"{root}/in", compression="gzip")
     done = load.run_and_store(spark, [f"{root}/in"], f"{root}/store", "org0")
     assert done.ok, done.error
     return snapshot.load_snapshot(spark, f"{root}/store", "demand_monthly", "org0").select("product_id", "month", "demand")

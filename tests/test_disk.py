@@ -39,6 +39,7 @@ def plain_files(folder) -> list[str]:
         ("ingest_demand", {"ingest", "files"}),
         ("ingest_by_organization", {"tenants", "files"}),
         ("tenant_layouts", {"tenants", "files"}),
+        ("load_to_store", {"stored", "files"}),
     ],
 )
 def test_written_ledgers_leave_only_what_is_read(spark, sf, folder, name, tables):
