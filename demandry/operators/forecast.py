@@ -34,20 +34,21 @@ def moving_average(window: int, y: str = "demand") -> Column:
 
 def baseline_columns(series: DataFrame) -> DataFrame:
     """Each month with its position and the forecasts made for it from the months before."""
-    w = _w()
-    ordered = series.withColumns(
-        {
-            "pos": F.row_number().over(w) - 1,
-            NAIVE: F.lag("demand", 1).over(w),
-            SEASONAL: F.coalesce(F.lag("demand", SEASON).over(w), F.lag("demand", 1).over(w)),
-            MA3: moving_average(3),
-            MA6: moving_average(6),
-        }
-    )
+    ordered = series.withColumns({"pos": F.row_number().over(_w()) - 1, **_baselines()})
     # After the ordered windows, so that one sort by product and month serves all of them.
     return ordered.withColumn("n", F.count("*").over(Window.partitionBy("product_id")))
 
 
+def _baselines() -> dict[str, Column]:
+    w = _w()
+    return {
+        NAIVE: F.lag("demand", 1).over(w),
+        SEASONAL: F.coalesce(F.lag("demand", SEASON).over(w), F.lag("demand", 1).over(w)),
+        MA3: moving_average(3),
+        MA6: moving_average(6),
+    }
+
+
 def auto_horizon(n: Column) -> Column:
     """A quarter of the history, at least six months."""
     return F.greatest(F.lit(6), F.floor(n * 0.25)).cast("int")
@@ -55,13 +56,21 @@ def auto_horizon(n: Column) -> Column:
 
 def _targets(columns: DataFrame, test_months: int | None) -> DataFrame:
     """The months scored: the last ``test_months`` (or the automatic horizon), never the first; none below three."""
-    horizon = auto_horizon(F.col("n")) if test_months is None else F.lit(int(test_months))
-    return columns.where((F.col("n") >= 3) & (F.col("pos") >= F.greatest(F.lit(1), F.col("n") - horizon)))
+    return columns.where((F.col("n") >= 3) & (F.col("pos") >= F.greatest(F.lit(1), F.col("n") - _horizon(test_months))))
+
+
+def _horizon(test_months: int | None) -> Column:
+    return auto_horizon(F.col("n")) if test_months is None else F.lit(int(test_months))
 
 
 def backtest_wide(series: DataFrame, test_months: int | None = 12) -> DataFrame:
-    """One row per product and scored month, one column per baseline."""
-    return _targets(baseline_columns(series), test_months).select(
+    """One row per product and scored month, one column per baseline.
+
+    Forecasts look back a season at most, so they are worked out for the scored months and the season before them, not for the
+    whole history."""
+    placed = series.withColumn("pos", F.row_number().over(_w()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("product_id")))
+    recent = placed.where(F.col("pos") >= F.col("n") - _horizon(test_months) - SEASON)
+    return _targets(recent.withColumns(_baselines()), test_months).select(
         "product_id", "month", F.col("demand").alias("y_true"), *BASELINES
     )
 

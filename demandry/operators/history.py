@@ -34,7 +34,7 @@ def pack(series: DataFrame, stock: DataFrame | None = None, predictions: DataFra
         own = predictions.where(~F.col("model").isin(*FC.BASELINES))
         parts.append(own.select("product_id", *row(fitted=F.struct("model", "month", "y_true", "y_pred"))))
     held = reduce(DataFrame.unionAll, parts).groupBy("product_id").agg(
-        F.array_sort(F.collect_list("month")).alias("months"), F.collect_list("stock").alias("stock"), F.collect_list("fitted").alias("fitted")
+        F.sort_array(F.collect_list("month")).alias("months"), F.collect_list("stock").alias("stock"), F.collect_list("fitted").alias("fitted")
     )
     return held.where(F.size("months") > 0).select("product_id", F.size("months").alias("n"), "months", F.col("months.demand").alias("demand"), "stock", "fitted")
 

@@ -270,3 +270,17 @@ def test_best_fitted_compares_only_fitted_models(spark):
     preds = spark.createDataFrame([(p, month(0), m, 10.0, 10.0 + e) for p, m, e in rows], "product_id string, month date, model string, y_true double, y_pred double")
     got = {r.product_id: r.winner for r in choose.best_fitted(choose.ModelResults(preds, preds)).collect()}
     assert got == {"a": FC.FOREST, "b": FC.ETS}
+
+
+@pytest.mark.parametrize("horizon", [None, 3, 12, 30])
+def test_backtests_look_at_the_scored_months_and_a_season_before(spark, horizon):
+    """The same as over the whole history, from the rows that a forecast can look at."""
+    rng = np.random.default_rng(5)
+    s = series_frame(spark, {f"p{n}": [float(v) for v in rng.poisson(5, n)] for n in (1, 2, 3, 7, 13, 24, 25, 60)})
+    whole = FC._targets(FC.baseline_columns(s), horizon).select("product_id", "month", F.col("demand").alias("y_true"), *FC.BASELINES)
+    out = FC.backtest_wide(s, horizon)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+    text = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    # The scored months, the months looked at, and the bound on the length: the lags stand above a filter by place.
+    lags = text[text.index("lag(") :]
+    assert any("Filter" in x and "pos" in x for x in lags.splitlines())
