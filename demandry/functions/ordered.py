@@ -19,20 +19,42 @@ def running_balance(
     """Running sum of ``value`` per ``keys`` in the order (coarse, fine..., order...).
 
     ``coarse`` has few values per key (months); ``fine`` are order-compatible blocks inside it that
-    are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by key. A key with more than
-    ``hot_rows`` rows is cut into its months, and such a month into its blocks, so that no task holds it.
+    are bounded by construction (a day and a block of row numbers). Rows are shuffled once, by key and ``coarse``; a month
+    of a key with more than ``hot_rows`` rows is cut into its blocks instead, so that no task holds it.
     Rows without a key, month or block have no place in the order and are left out.
     """
-    block = [*keys, coarse, *fine]
+    block, group = [*keys, coarse, *fine], [*keys, coarse]
     for c in block:
         df = df.where(F.col(c).isNotNull())
+    # One row per key and month, written once: read for the sums before each month and for the hot ones.
+    sums = materialize(df.groupBy(*group).agg(F.sum(value).alias("__sum"), F.count("*").alias("__n")), "sums")
+    upto = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*group, F.coalesce(F.sum("__sum").over(upto(keys, [coarse])), F.lit(0.0)).alias("__base"))
+    hot = sums.where(F.col("__n") > hot_rows).select(*group)
+    if hot.isEmpty():
+        return _within_months(df, value, base, group, fine, order, out)
+    # At most rows / hot_rows of them.
+    mine = df.join(F.broadcast(hot), group, "left_semi")
+    rest = df.join(F.broadcast(hot), group, "left_anti")
+    return _within_months(rest, value, base, group, fine, order, out).unionByName(_by_blocks(mine, value, base, group, fine, order, out))
+
+
+def running_balance_by_key(
+    df: DataFrame, value: Column, *, keys: list[str], coarse: str, fine: list[str], order: list[str], out: str, hot_rows: int = 1_000_000
+) -> DataFrame:
+    """:func:`running_balance` for wide rows: these are shuffled once, by key alone, and no sums of months are.
+
+    Only a key with more than ``hot_rows`` rows is cut into its months."""
+    for c in (*keys, coarse, *fine):
+        df = df.where(F.col(c).isNotNull())
     hot = _hot_keys(df, keys, hot_rows)
     if hot is None:
         return _within_keys(df, value, keys, [coarse, *fine], order, out)
     # At most rows / hot_rows of them.
     mine = df.join(F.broadcast(hot), keys, "left_semi")
     rest = df.join(F.broadcast(hot), keys, "left_anti")
-    return _within_keys(rest, value, keys, [coarse, *fine], order, out).unionByName(_cut_by_months(mine, value, keys, coarse, fine, order, out, hot_rows))
+    cut = running_balance(mine, value, keys=keys, coarse=coarse, fine=fine, order=order, out=out, hot_rows=hot_rows)
+    return _within_keys(rest, value, keys, [coarse, *fine], order, out).unionByName(cut)
 
 
 # Rows are counted in so many groups of keys before any key is counted by itself.
@@ -57,23 +79,6 @@ def _within_keys(df: DataFrame, value: Column, keys: list[str], blocks: list[str
     return df.withColumn(out, F.when(known, run(keys, [*blocks, *order])))
 
 
-def _cut_by_months(
-    df: DataFrame, value: Column, keys: list[str], coarse: str, fine: list[str], order: list[str], out: str, hot_rows: int
-) -> DataFrame:
-    group = [*keys, coarse]
-    # One row per key and month, written once: read for the sums before each month and for the hot ones.
-    sums = materialize(df.groupBy(*group).agg(F.sum(value).alias("__sum"), F.count("*").alias("__n")), "sums")
-    upto = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*group, F.coalesce(F.sum("__sum").over(upto(keys, [coarse])), F.lit(0.0)).alias("__base"))
-    hot = sums.where(F.col("__n") > hot_rows).select(*group)
-    if hot.isEmpty():
-        return _within_months(df, value, base, group, fine, order, out)
-    # At most rows / hot_rows of them.
-    mine = df.join(F.broadcast(hot), group, "left_semi")
-    rest = df.join(F.broadcast(hot), group, "left_anti")
-    return _within_months(rest, value, base, group, fine, order, out).unionByName(_by_blocks(mine, value, base, group, fine, order, out))
-
-
 def _within_months(df: DataFrame, value: Column, base: DataFrame, group: list[str], fine: list[str], order: list[str], out: str) -> DataFrame:
     run = lambda part, by: F.sum(value).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
     # A row before the first value of its block has no sum. Both windows stand on one sort.

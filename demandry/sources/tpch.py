@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandry import schema as S
-from demandry.functions.ordered import running_balance
+from demandry.functions.ordered import running_balance, running_balance_by_key
 from demandry.session import drop, fresh_path, owned, parts_for, sparing
 
 # Row numbers are cut into blocks of this many orders; a block holds a bounded number of rows.
@@ -140,7 +140,7 @@ def _wide_ledger(spark: SparkSession, sf_dir: str, opening: float = 10_000.0) ->
             mine = spark.read.schema(stored).parquet(held).where(F.col("slice") == k).drop("slice")
             rows = mine.join(names.where(slice_of("p_partkey") == k), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
             rows = rows.withColumns({c: ex[c] for c in ("month", "date", "row_block")})
-            out = running_balance(rows, signed, keys=["l_partkey"], coarse="month", fine=["date", "row_block"], order=keys, out="balance")
+            out = running_balance_by_key(rows, signed, keys=["l_partkey"], coarse="month", fine=["date", "row_block"], order=keys, out="balance")
             out.drop("month", "date", "row_block").write.mode("append").parquet(path)
             drop(spark, f"{held}/slice={k}")
         drop(spark, held)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandry import session
-from demandry.functions.ordered import running_balance
+from demandry.functions.ordered import running_balance, running_balance_by_key
 from demandry.sources import files, tpch
 from demandry.sources import headers as H
 from demandry.streaming import ingest
@@ -59,12 +59,24 @@ def test_wide_ledger_by_groups_of_products(spark, sf, folder, monkeypatch):
 
 def test_balances_shuffle_rows_once_unless_a_key_is_hot(spark):
     df = spark.createDataFrame([(f"p{i % 5}", i % 3, i, 1.0) for i in range(60)], "product_id string, month int, row_seq int, v double")
-    out = running_balance(df, F.col("v"), keys=["product_id"], coarse="month", fine=[], order=["row_seq"], out="b")
+    out = running_balance_by_key(df, F.col("v"), keys=["product_id"], coarse="month", fine=[], order=["row_seq"], out="b")
     text = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert text.count("Exchange") == 1 and "Join" not in text
     assert sorted(r.b for r in out.collect()) == sorted(float(k) for k in range(1, 13) for _ in range(5))
 
 
+def test_balances_by_key_are_those_by_month(spark):
+    """With hot keys, rows without a value and rows without a place: the same as by months."""
+    rows = [("hot" if i % 2 else f"p{i % 7}", i % 3, i % 5, i, None if i % 13 == 0 else float(i % 11 - 5)) for i in range(900)]
+    df = spark.createDataFrame([*rows, (None, 0, 0, 1, 1.0), ("hot", None, 0, 1, 1.0)], "product_id string, month int, day int, row_seq int, v double")
+    given = {"keys": ["product_id"], "coarse": "month", "fine": ["day"], "order": ["row_seq"], "out": "b"}
+    want = {r.row_seq: (r.product_id, r.b) for r in running_balance(df, F.col("v"), **given).collect()}
+    assert len(want) == 900
+    for hot_rows in (20, 100, 10_000):
+        got = running_balance_by_key(df, F.col("v"), hot_rows=hot_rows, **given).collect()
+        assert {r.row_seq: (r.product_id, r.b) for r in got} == want
+
+
 def test_sparing_keeps_what_is_taken_out(spark, folder):
     before = spark.conf.get("spark.sql.parquet.compression.codec")
     with session.sparing(spark) as paths:
